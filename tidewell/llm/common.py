@@ -127,15 +127,16 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(waiting)
 
 
-def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, *, salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: str, *, salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join on key, nulls equal to nulls. right has one row for each key.
 
     right is broadcast only if it is counted to at most ``rows`` rows. Else every row of right is repeated for each
-    salt, so that the rows of a hot key on the left spread over ``salts`` tasks.
+    salt, so that the rows of a hot key on the left spread over ``salts`` tasks by a hash of ``salt_by``, which stays the same when
+    a lost task runs again.
     """
     other = right.withColumnRenamed(key, "_key")
     if right.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     return salted.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_key", "_salt", "_salt2")

@@ -161,7 +161,7 @@ def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) ->
     keys = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(mask(w))) * 16 + k for k, (s, w) in enumerate(block_bounds(radius))])
     rows = reps.select("fp", "node", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").count().where(F.col("count") > tree_rows).select("key", F.ceil(F.col("count") / tree_rows).cast("int").alias("parts"))
-    rows = common.join_small_or_salted(rows, common.kept(sizes, "shards"), "key").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = common.join_small_or_salted(rows, common.kept(sizes, "shards"), "key", "fp").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     spread = rows.withColumn("own", own).select("fp", "node", "key", "own", F.explode(tasks).alias("t")).select("fp", "node", "key", "own", "t.i", "t.j")
