@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, hosts, simhash, trigrams
+from . import hilbert, hosts, simhash, trigrams, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (hilbert.op1_hilbert_shards, trigrams.op3_secret_trigrams, simhash.op5_simhash_bktree, hosts.op6_host_rules)}
+    return {f.__name__: f for f in (hilbert.op1_hilbert_shards, warc.op2_warc_index, trigrams.op3_secret_trigrams, simhash.op5_simhash_bktree, hosts.op6_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_trigrams": trigrams.OP3_SQL, "op6_host_rules": hosts.OP6_SQL}
+    return {"op2_warc_index": warc.OP2_SQL, "op3_secret_trigrams": trigrams.OP3_SQL, "op6_host_rules": hosts.OP6_SQL}
