@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hilbert, hosts, simhash, trigrams, warc
+from . import bpe, fst, hilbert, hosts, simhash, trigrams, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (hilbert.op1_hilbert_shards, warc.op2_warc_index, trigrams.op3_secret_trigrams, simhash.op5_simhash_bktree, hosts.op6_host_rules, bpe.op8_byte_bpe)}
+    return {f.__name__: f for f in (hilbert.op1_hilbert_shards, warc.op2_warc_index, trigrams.op3_secret_trigrams, simhash.op5_simhash_bktree, hosts.op6_host_rules, fst.op7_token_fst, bpe.op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
