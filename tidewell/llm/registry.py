@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fst, hilbert, hosts, repeats, simhash, trigrams, warc, wavelet
+from . import bpe, fst, hilbert, hosts, leaks, repeats, simhash, trigrams, warc, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (hilbert.op1_hilbert_shards, warc.op2_warc_index, trigrams.op3_secret_trigrams, wavelet.op4_wavelet_shards, simhash.op5_simhash_bktree, hosts.op6_host_rules, fst.op7_token_fst, bpe.op8_byte_bpe, repeats.op10_rabin_karp_windows)}
+    return {f.__name__: f for f in (hilbert.op1_hilbert_shards, warc.op2_warc_index, trigrams.op3_secret_trigrams, wavelet.op4_wavelet_shards, simhash.op5_simhash_bktree, hosts.op6_host_rules, fst.op7_token_fst, bpe.op8_byte_bpe, leaks.op9_qgram_leaks, repeats.op10_rabin_karp_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
