@@ -140,3 +140,13 @@ def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: s
     other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     return salted.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_key", "_salt", "_salt2")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", *, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df whose id isn't in ids (one column, written already); rows without an id stay.
+
+    The ids are broadcast only if they are counted to at most ``rows``; else both sides are shuffled by id.
+    """
+    gone = ids.toDF("_gone").where("_gone is not null")
+    side = F.broadcast(gone) if gone.limit(rows + 1).count() <= rows else gone.hint("merge")
+    return df.join(side, F.col(f"`{id_column}`") == F.col("_gone"), "left_anti")

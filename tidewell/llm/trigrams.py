@@ -231,27 +231,26 @@ def spans_of(text: str, rule: Rule, order: int) -> Column:
     return walk["found"]
 
 
-def scan(df: DataFrame, rules: list[Rule] | None = None, *, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Every row's id (_id), the columns to carry, and spans: all matches of all rules by start, then the rules' order.
+def scan(df: DataFrame, rules: list[Rule] | None = None, *, id_column: str = "doc_id", text_column: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """Every row's id (_id), its text (_t), the columns to carry by their new names, and spans: all matches of all rules by start, then the rules' order.
 
     The candidates' ids, with the kinds to verify, are joined back by id: broadcast if they are counted to few, else by
     a shuffle join on the unique ids. Rules without a query are verified on every row.
     """
     rules = rules or RULES
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not True}
-    rows = df.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"), *(carry or []))
+    rows = df.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"), *[c.alias(k) for k, c in (carry or {}).items()])
     if queries:
         grams = sorted(set().union(*map(trigrams_of, queries.values())))
         found = candidates(common.kept(index(df, grams, id_column=id_column, text_column=text_column), "postings"), queries)
         flags = common.kept(found.groupBy("id").agg(F.collect_set("kind").alias("_kinds")), "candidates")
-        rows = common.join_small_or_salted(rows.withColumnRenamed("_id", "id"), flags, "id", "id", salts=1).withColumnRenamed("id", "_id")
+        rows = common.join_small_or_salted(rows, flags.withColumnRenamed("id", "_id"), "_id", "_id", salts=1)
     empty = F.array().cast("array<struct<start:int,o:int,end:int,kind:string>>")
     each = []
     for i, r in enumerate(rules):
         test = F.coalesce(F.array_contains("_kinds", r.kind), F.lit(False)) if r.kind in queries else F.lit(True)
         if r.gate:
             test &= F.col("_t").rlike(r.gate)
-        # a match that is long enough is the same for a rule of one class whether the least length is asked before or after
         each.append(F.when(test, spans_of("_t", r, i)).otherwise(empty))
     out = F.concat(*each)
     return rows.select("_id", "_t", *(carry or []), F.sort_array(out).alias("spans"))
