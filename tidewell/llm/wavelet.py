@@ -7,10 +7,10 @@ count of set bits at each 512th place a plane answers rank and select, and so th
 how often an id comes before a place, and where its k-th occurrence is, without unpacking the ids. Planes are
 compressed one by one, so a reader loads those that it needs.
 
-Encoding: the vocabulary drops white space, and no token spans it. So each word (a run without white space) that a
-worker hasn't met is encoded by the library, many at a time in one text, and the ids of a text are those of its words.
-Words that are not plain letters with plain punctuation behind them, and texts that hold a special string or a separator
-that libraries see differently, are given to the library as they are.
+Encoding: the vocabulary drops white space, and no token spans it. So of the words (runs without ASCII white space) of
+some megabytes of texts each different one is encoded once by the library, many of them in one text, and the ids of a
+text are those of its words. Words that are not plain letters with plain punctuation behind them, and texts that hold a
+special string or a separator that libraries see differently, are given to the library as they are.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first; rows that repeat an id are ordered by a
 hash of their texts; an empty table gives no shards; extra columns are ignored.
@@ -21,12 +21,15 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +39,11 @@ from .bpe import vocabulary
 
 MAGIC = b"TWM1"
 SHARD_TOKENS = 1 << 22
-#: Words that a worker remembers.
-MEMORY = 400_000
-#: Words of one text that is given to the library.
-TOGETHER = 200
-PUNCTUATION = ".,;:!?"
-#: Strings that keep a text from being cut into words.
-WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "İ")
+#: Bytes of texts whose words are encoded together, and words of one text that is given to the library.
+TEXT_BYTES, TOGETHER = 12 << 20, 200
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What keeps a text from being cut into words.
+WHOLE = "<\\||[\x1c-\x1f]|İ"
 
 
 class WaveletMatrix:
@@ -52,19 +53,25 @@ class WaveletMatrix:
 
     def __init__(self, n: int, planes: list[np.ndarray]) -> None:
         self.n, self.planes = n, planes
-        self.bits = [np.unpackbits(p, count=n).view(bool) for p in planes]
-        self.zeros = [n - int(b.sum()) for b in self.bits]
         self.ranks: list[np.ndarray | None] = [None] * len(planes)
 
+    @cached_property
+    def bits(self) -> list[np.ndarray]:
+        return [np.unpackbits(p, count=self.n).view(bool) for p in self.planes]
+
+    @cached_property
+    def zeros(self) -> list[int]:
+        return [self.n - int(b.sum()) for b in self.bits]
+
     @classmethod
     def of(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
         width = width or max(1, int(ids.max(initial=0)).bit_length())
         seq, planes = ids, []
         for b in range(width - 1, -1, -1):
-            bit = (seq >> b & 1).astype(bool)
+            bit = (seq & ids.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit))
             if b:
-                seq = np.concatenate((seq[~bit], seq[bit]))
+                seq = np.concatenate((np.compress(~bit, seq), np.compress(bit, seq)))
         return cls(len(ids), planes)
 
     def ones(self, level: int, i: int) -> int:
@@ -132,18 +139,18 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bit, z = self.bits[level], self.zeros[level]
             up = np.empty(self.n, kind)
-            up[~bit] = seq[:z]
-            up[bit] = seq[z:] | kind(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~bit)] = seq[:z]
+            up[np.flatnonzero(bit)] = seq[z:] | kind(1 << (len(self.planes) - 1 - level))
             seq = up
         return seq
 
 
-def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """A shard file: magic, length of the head, head as JSON with each section's length, compressed sections:
     doc ids, which of them are null, numbers of tokens, planes."""
     m = WaveletMatrix.of(ids)
     press = zstandard.ZstdCompressor(level=1).compress
-    parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array(lengths, "<u4").tobytes(), *[p.tobytes() for p in m.planes]]
+    parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), lengths.astype("<u4").tobytes(), *[p.tobytes() for p in m.planes]]
     parts = [press(p) for p in parts]
     head = json.dumps({"n": m.n, "docs": len(doc_ids), "planes": len(m.planes), "sections": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
@@ -163,6 +170,12 @@ def unpacked(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]]), [None if x else d for d, x in zip(ids, null, strict=True)], lengths
 
 
+def gathered(ids: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at the places and have the numbers given, one behind the other."""
+    ends = np.cumsum(number)
+    return ids[np.repeat(at - (ends - number), number) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class WordEncoder:
     """A tokenizers vocabulary whose words end in a token that says so, and that drops white space."""
 
@@ -177,46 +190,83 @@ class WordEncoder:
         mark = json.loads(data)["model"].get("end_of_word_suffix") or ""
         self.kind = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.ends = np.array([bool(mark) and (self.library.id_to_token(i) or "").endswith(mark) for i in range(size)])
-        self.memory: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        simple, parts, other = [], [], []
-        for w in words:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha():
-                simple.append(w)
-                parts.append(1 + (len(core) < len(w)))
-            else:
-                other.append(w)
-        for i in range(0, len(simple), TOGETHER):
-            some, ends = simple[i : i + TOGETHER], np.cumsum(parts[i : i + TOGETHER])
-            (e,) = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(e.ids, self.kind)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of texts as they are."""
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_letters(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words that are letters only, or no letters: all ids, and each word's place and number in them.
+
+        Such a word is one part, and the last token of a part says that it is; many words go to the library as one text.
+        """
+        at, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        strings, found, size = words.to_pylist(), [], 0
+        for i in range(0, len(strings), TOGETHER):
+            some = strings[i : i + TOGETHER]
+            (ids,) = self.plain([" ".join(some)])
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != ends[-1]:  # a word fell into more parts than it seemed to
-                other += some
-                continue
-            data, size = ids.tobytes(), self.kind.itemsize
-            cuts = [0, *(stops[ends - 1] * size).tolist()]
-            self.memory.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-        if other:
-            self.memory.update(zip(other, self.plain(other), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts as bytes of self.kind."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            some = texts[at : at + 256]
-            split = [None if any(x in t for x in WHOLE) else t.split() for t in some]
-            if new := list(set().union(*[s for s in split if s]) - self.memory.keys()):
-                self.learn(new)
-            out += [self.plain([t])[0] if s is None else b"".join(map(self.memory.__getitem__, s)) for t, s in zip(some, split, strict=True)]
-        return out
+            if len(stops) != len(some):  # a word fell into parts after all
+                each = self.plain(some)
+                ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            number[i : i + TOGETHER] = np.diff(stops, prepend=0)
+            at[i : i + TOGETHER] = size + stops - number[i : i + TOGETHER]
+            found.append(ids)
+            size += len(ids)
+        return np.concatenate([*found, np.zeros(0, self.kind)]), at, number
+
+    def of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words: all ids, and each word's place and number in them. Letters with punctuation behind them
+        are two parts, of which each different one is encoded once."""
+        core = pc.utf8_rtrim(words, PUNCTUATION)
+        # letters that come apart when they are normalised may join what stands behind them
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False).copy()
+        for i in np.flatnonzero(plain & ~pc.string_is_ascii(core).to_numpy(zero_copy_only=False)).tolist():
+            plain[i] = unicodedata.is_normalized("NFC", core[i].as_py())
+        simple = pa.array(plain)
+        mine, other = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (simple, pc.invert(simple)))
+        core = core.filter(simple)
+        letters = pc.utf8_lower(core).dictionary_encode()
+        sizes, full = pc.binary_length(core).to_numpy(zero_copy_only=False), words.filter(simple)
+        tailed = np.flatnonzero(sizes < pc.binary_length(full).to_numpy(zero_copy_only=False))
+        tails = pa.array([w[len(c) :] for w, c in zip(full.take(pa.array(tailed)).to_pylist(), core.take(pa.array(tailed)).to_pylist(), strict=True)], pa.string()).dictionary_encode()
+        ids1, at1, n1 = self.of_letters(letters.dictionary)
+        ids2, at2, n2 = self.of_letters(tails.dictionary)
+        each = self.plain(words.take(pa.array(other, pa.int64())).to_pylist())
+        ids = np.concatenate([ids1, ids2, *each])
+        first, tail = letters.indices.to_numpy(), tails.indices.to_numpy()
+        # one unit for each word that is a single part, two for letters with a tail
+        units = np.ones(len(words), np.int64)
+        units[mine[tailed]] = 2
+        place = np.cumsum(units) - units
+        at, number = np.zeros(int(units.sum()), np.int64), np.zeros(int(units.sum()), np.int64)
+        at[place[mine]], number[place[mine]] = at1[first], n1[first]
+        at[place[mine[tailed]] + 1], number[place[mine[tailed]] + 1] = len(ids1) + at2[tail], n2[tail]
+        number[place[other]] = [len(x) for x in each]
+        at[place[other]] = len(ids1) + len(ids2) + np.cumsum(number[place[other]]) - number[place[other]]
+        out, ends = gathered(ids, at, number), np.cumsum(number)
+        last = ends[place + units - 1] if len(words) else ends
+        total = np.diff(last, prepend=0)
+        return out, last - total, total
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, one text behind the other, and the number of each."""
+        whole = pc.match_substring_regex(texts, WHOLE)
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        coded = split.flatten().dictionary_encode()
+        ids, at, number = self.of_words(coded.dictionary)
+        word = coded.indices.to_numpy()
+        out = gathered(ids, at[word], number[word])
+        edges = np.concatenate(([0], np.cumsum(number[word])))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        lengths = np.diff(edges)
+        if pc.any(whole).as_py():
+            own = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            pieces, last = [], 0
+            for i, x in zip(own.tolist(), self.plain(texts.take(pa.array(own)).to_pylist()), strict=True):
+                pieces += [out[last : edges[i]], x]
+                last, lengths[i] = edges[i], len(x)
+            out = np.concatenate([*pieces, out[last:]])
+        return out, lengths
 
 
 _made: dict[str, WordEncoder] = {}
@@ -245,29 +295,49 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_column:
         from pyspark import TaskContext
 
         e, part = encoder(sent.value), TaskContext.get().partitionId()
-        end = np.array([end_id], e.kind).tobytes()
-        ids: list[int | None] = []
-        data: list[bytes] = []
-        tokens, shard = 0, 0
-
-        def close() -> pa.RecordBatch:
-            file = f"{part:06d}-{shard:06d}-{uuid.uuid4().hex}.twm"
-            common.write_file(f"{folder}/{file}", packed(np.frombuffer(b"".join(data), e.kind), ids, [len(x) // e.kind.itemsize for x in data]))
-            row = {"part": part, "shard": shard, "file": file, "docs": len(ids), "tokens": tokens}
-            ids.clear()
-            data.clear()
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
-
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []  # doc ids, numbers of tokens, tokens
+        waiting: list[pa.RecordBatch] = []
+        shard = 0
+
+        def encode() -> None:
+            table = pa.Table.from_batches(waiting)
+            waiting.clear()
+            ids, lengths = e.encode(table.column(1).combine_chunks())
+            ends = np.cumsum(lengths + 1) - 1
+            seq = np.full(len(ids) + len(lengths), end_id, e.kind)
+            inside = np.ones(len(seq), bool)
+            inside[ends] = False
+            seq[inside] = ids
+            held.append((table.column(0).to_pylist(), lengths + 1, seq))
+
+        def close(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+            """Files of whole documents until fewer tokens are left than a shard has, or none."""
+            nonlocal shard
+            docs, lengths, seq = [d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            held.clear()
+            ends, first, before = np.cumsum(lengths), 0, 0
+            while first < len(docs) and (all_of_it or ends[-1] - before >= shard_tokens):
+                last = min(int(np.searchsorted(ends, before + shard_tokens)) + 1, len(docs))
+                z = int(ends[last - 1])
+                file = f"{part:06d}-{shard:06d}-{uuid.uuid4().hex}.twm"
+                common.write_file(f"{folder}/{file}", packed(seq[before:z], docs[first:last], lengths[first:last]))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([file]), pa.array([last - first]), pa.array([z - before])], names=["part", "shard", "file", "docs", "tokens"])
+                first, before, shard = last, z, shard + 1
+            if first < len(docs):
+                held.append((docs[first:], lengths[first:], seq[before:]))
+
+        size = 0
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist()), strict=True):
-                ids.append(i)
-                data.append(x + end)
-                tokens += len(x) // e.kind.itemsize + 1
-                if tokens >= shard_tokens:
-                    yield close()
-                    tokens, shard = 0, shard + 1
-        if ids:
-            yield close()
+            waiting.append(b)
+            size += b.nbytes
+            if size >= TEXT_BYTES:
+                encode()
+                size = 0
+                yield from close(False)
+        if waiting:
+            encode()
+        if held:
+            yield from close(True)
 
     return rows.mapInArrow(task, SHARDS)
 
