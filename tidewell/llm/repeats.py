@@ -93,7 +93,8 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.cumsum(deltas, dtype=np.uint64), places.astype(np.int64), ids, checks, starts
 
 
-DEALT = "bucket int, doc_id long, chk int, data binary"
+#: kind 0: hashes of a batch; kind 1: starts of repeated windows of the documents that belong to the bucket.
+DEALT = "bucket int, kind int, data binary"
 
 
 class _Batch:
@@ -109,8 +110,8 @@ class _Batch:
             self.docs[key] = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
             self.words += len(words)
 
-    def rows(self) -> Iterator[tuple]:
-        """(bucket, None, None, packed hashes) and, for repeats within the batch, (bucket, doc_id, checksum, packed starts)."""
+    def rows(self) -> Iterator[tuple[int, int, bytes]]:
+        """The batch's rows of DEALT: its hashes by bucket, and the repeats within it by the buckets of their documents."""
         order = sorted(self.docs)
         ids, checks = np.array([k[0] for k in order], np.int64), np.array([k[1] for k in order], np.int64)
         sizes = np.array([len(self.docs[k]) for k in order], np.int64)
@@ -132,14 +133,39 @@ class _Batch:
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
         for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if j > i:
-                yield b, None, None, packed(h[i:j], places[i:j], ids, checks, starts)
-        yield from self.of_docs(again, ids, checks, starts)
+                yield b, 0, packed(h[i:j], places[i:j], ids, checks, starts)
+        doc = np.searchsorted(starts, again, "right") - 1
+        yield from dealt(ids[doc], checks[doc], again - starts[doc], self.buckets)
         self.docs, self.words = {}, 0
 
-    def of_docs(self, places: np.ndarray, ids: np.ndarray, checks: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
-        doc = np.searchsorted(starts, places, "right") - 1
-        for d, i, j in _runs(doc):
-            yield int(ids[d]) % self.buckets, int(ids[d]), int(checks[d]), (places[i:j] - starts[d]).astype("<u4").tobytes()
+
+def dealt(ids: np.ndarray, checks: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Starts of repeated windows as rows of DEALT, one for each bucket that has any of their documents. A row holds its
+    documents' ids, checksums and numbers of starts, and the starts."""
+    to = ((ids.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.lexsort((pos, checks, ids, to))
+    to, ids, checks, pos = to[order], ids[order], checks[order], pos[order]
+    for b, i, j in _runs(to):
+        first = np.flatnonzero(np.concatenate(([True], (ids[i + 1 : j] != ids[i : j - 1]) | (checks[i + 1 : j] != checks[i : j - 1]))))
+        n = np.diff(np.append(first, j - i))
+        yield b, 1, struct.pack("<I", len(first)) + zlib.compress(ids[i:j][first].astype("<i8").tobytes() + checks[i:j][first].astype("<u2").tobytes() + n.astype("<u4").tobytes() + pos[i:j].astype("<u4").tobytes(), 1)
+
+
+def by_document(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, checksum, all its starts) from the rows that dealt() made for a bucket."""
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for b in blobs:
+        (k,) = struct.unpack_from("<I", b)
+        raw = zlib.decompress(b[4:])
+        n = np.frombuffer(raw, "<u4", k, 10 * k)
+        for to, x in zip(parts, (np.repeat(np.frombuffer(raw, "<i8", k), n), np.repeat(np.frombuffer(raw, "<u2", k, 8 * k), n), np.frombuffer(raw, "<u4", -1, 14 * k)), strict=True):
+            to.append(x)
+    ids, checks, pos = (np.concatenate(x) for x in parts)
+    order = np.lexsort((checks, ids))
+    ids, checks, pos = ids[order], checks[order], pos[order]
+    doc = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1]))).astype(np.int64))
+    for _, i, j in _runs(doc):
+        yield int(ids[i]), int(checks[i]), pos[i:j].astype("<u4").tobytes()
 
 
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -149,8 +175,8 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from ((int(x[i]), i, j) for i, j in zip(cuts, cuts[1:], strict=False))
 
 
-def repeats_of(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, checksum, starts) of the windows of a bucket whose hash has an earlier place."""
+def repeats_of(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows of DEALT for the windows of a bucket whose hash has an earlier place."""
     parts = [unpacked(b) for b in blobs]
     h = np.concatenate([p[0] for p in parts])
     by = np.argsort(h, kind="stable")
@@ -175,64 +201,64 @@ def repeats_of(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     hs, ids, checks, pos = hs[order], ids[order], checks[order], pos[order]
     lead = np.maximum.accumulate(np.where(np.concatenate(([True], hs[1:] != hs[:-1])), np.arange(len(hs)), 0))
     later = (ids != ids[lead]) | (checks != checks[lead]) | (pos != pos[lead])
-    ids, checks, pos = ids[later], checks[later], pos[later]
-    order = np.lexsort((pos, checks, ids))
-    ids, checks, pos = ids[order], checks[order], pos[order]
-    doc = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1]))).astype(np.int64)) if len(ids) else ids
-    for _, i, j in _runs(doc):
-        yield int(ids[i]), int(checks[i]), pos[i:j].astype("<u4").tobytes()
+    yield from dealt(ids[later], checks[later], pos[later], buckets)
 
 
 def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(_id, _chk, starts): for each document with repeats the starts of all repeated windows, as packed parts.
+    """(_id, _chk, starts): for each document with repeats the starts of all repeated windows, packed.
 
-    rows: (_id, text as binary).
+    rows: (_id, text as binary). Two shuffles, of hashes to their buckets and of starts to the buckets of their documents,
+    both in packed rows, at most one for each task, batch and bucket.
     """
 
+    def table(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for r in rows:
+            out.append(r)
+            size += len(r[2])
+            if size > 4 << 20 or len(out) >= 5000:
+                yield _rows(out, DEALT)
+                out, size = [], 0
+        if out:
+            yield _rows(out, DEALT)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = _Batch(window, buckets)
-
-        def flush():
-            out = []
-            size = 0
-            for r in batch.rows():
-                out.append(r)
-                size += len(r[3])
-                if size > 4 << 20 or len(out) >= 1000:
-                    yield _table(out)
-                    out, size = [], 0
-            if out:
-                yield _table(out)
-
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 batch.add(i, t.as_py())
                 if batch.words >= BATCH_WORDS:
-                    yield from flush()
+                    yield from table(batch.rows())
         if batch.docs:
-            yield from flush()
+            yield from table(batch.rows())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.groups(batches, ["bucket"]):
-            blobs, out = [], []
-            for i, c, x in zip(t["doc_id"].to_pylist(), t["chk"].to_pylist(), t["data"].to_pylist(), strict=True):
-                if i is None:
-                    blobs.append(x)
-                else:
-                    out.append((0, i, c, x))
+            kinds, data = t["kind"].to_pylist(), t["data"].to_pylist()
+            bucket = t["bucket"][0].as_py()
             del t
-            out += [(0, *r) for r in repeats_of(blobs)] if blobs else []
+            yield from table((bucket, 1, x) for k, x in zip(kinds, data, strict=True) if k == 1)
+            if blobs := [x for k, x in zip(kinds, data, strict=True) if k == 0]:
+                del data
+                yield from table(repeats_of(blobs, buckets))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.groups(batches, ["bucket"]):
+            out = list(by_document(t["data"].to_pylist()))
             for k in range(0, len(out), 5000):
-                yield _table(out[k : k + 5000])
+                yield _rows(out[k : k + 5000], FOUND)
+
+    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return by_bucket(by_bucket(rows.mapInArrow(hashed, DEALT)).mapInArrow(counted, DEALT)).mapInArrow(together, FOUND)
+
 
-    dealt = rows.mapInArrow(hashed, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(counted, DEALT)
-    return found.groupBy(F.col("doc_id").alias("_id"), F.col("chk").alias("_chk")).agg(F.collect_list("data").alias("starts"))
+FOUND = "_id long, _chk int, starts binary"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    b, i, c, x = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(i, pa.int64()), pa.array(c, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "doc_id", "chk", "data"])
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
 def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -263,7 +289,7 @@ def without_repeats(df: DataFrame, *, window: int = WINDOW, id_column: str = "do
                 words = t.as_py().split()
                 n, gone = len(words), 0
                 if parts.is_valid:
-                    for a, z in reversed(intervals(np.frombuffer(b"".join(parts.as_py()), "<u4").astype(np.int64), window)):
+                    for a, z in reversed(intervals(np.frombuffer(parts.as_py(), "<u4").astype(np.int64), window)):
                         gone += z - a
                         del words[a:z]
                 line = b" ".join(words)
