@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Approximate analytics over growing tables, on Spark."""

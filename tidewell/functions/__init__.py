@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Column expressions: keyed hashes, sample sizes, guards."""

@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Sampling, profiling, storage and maintenance of samples."""

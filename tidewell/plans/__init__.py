@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Queries, their approximate plans, and the maintenance policy."""

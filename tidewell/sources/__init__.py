@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""Part of the analytics engine."""
+"""Batches that arrive as streams."""
