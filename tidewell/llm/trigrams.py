@@ -6,7 +6,7 @@ trigrams of all queries: postings are arrays of row ids by trigram and block. A
 postings block by block; only those candidates are verified by the regex. A rule without a mandatory trigram has no
 query and scans everything.
 
-Case is folded in the index (A to Z only), so a candidate set can be too large but never too small.
+Case is folded in the index, for A to Z at least, so a candidate set can be too large but never too small.
 
 Positions of matches come from the text itself: the pieces between the matches (split) and the matches have known
 lengths, whose running sums are the starts.
@@ -184,7 +184,7 @@ def index(df: DataFrame, trigrams: list[str], *, id_column: str = "doc_id", text
     """Postings (trigram, block, ids): for the trigrams given, the ids of the rows that hold them, ids in order, at most
     about ``block`` to a posting: a block is a hash class of ids, and there are as many classes as the rows need."""
     blocks = max(1, -(-df.count() // block))
-    low = F.translate(F.coalesce(F.col(text_column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.lower(F.coalesce(F.col(text_column), F.lit("")))
     rows = df.select(F.col(id_column).alias("_id"), low.alias("_t"))
     held = F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(g)), F.lit(g)) for g in trigrams]))
     rows = rows.select("_id", held.alias("_g")).where(F.size("_g") > 0).select("_id", F.explode("_g").alias("trigram"))
