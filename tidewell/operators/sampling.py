@@ -121,7 +121,8 @@ def cap_for(sizes: DataFrame, target: Column | float) -> DataFrame:
     total = by.select("group_size", F.sum("n").over(up).alias("le"), F.sum(F.col("n") * F.col("group_size")).over(up).alias("rows"), F.sum("n").over(every).alias("groups"))
     total = total.withColumn("at", F.col("rows") + F.col("group_size") * (F.col("groups") - F.col("le")))
     room = F.when(F.col("groups") > F.col("le"), F.floor((target - F.col("at")) / (F.col("groups") - F.col("le")))).otherwise(F.lit(0))
-    caps = total.agg(F.max(F.when(F.col("at") <= target, F.col("group_size") + room)).alias("c"), F.max("groups").alias("groups"))
+    last = F.max_by(F.col("group_size") + room, F.when(F.col("at") <= target, F.col("group_size")))
+    caps = total.agg(last.alias("c"), F.max("groups").alias("groups"))
     return caps.select(F.coalesce("c", F.floor(target / F.col("groups")), F.lit(0)).cast("long").alias("cap"))
 
 

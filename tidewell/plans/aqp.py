@@ -56,7 +56,7 @@ def estimate(query: Query, sample: DataFrame, tables: dict[str, DataFrame] | Non
         r = F.try_divide(col("_Y"), col("_X"))
         est = r * query.scale
         var = F.try_divide(col("_vy") - 2 * r * col("_vxy") + r * r * col("_vx"), col("_X") * col("_X")) * query.scale**2
-    return out.select(*query.group_by, est.alias(query.name), (z * F.sqrt(F.greatest(var, F.lit(0.0)))).alias(f"{query.name}_err"))
+    return out.select(*query.group_by, est.alias(query.name), F.when(var.isNotNull(), z * F.sqrt(F.greatest(var, F.lit(0.0)))).alias(f"{query.name}_err"))
 
 
 def _sum_known(v: Column, f: Column) -> Column:

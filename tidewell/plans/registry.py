@@ -230,11 +230,11 @@ def _moments_sql(where: str = "true") -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS d, coalesce(var_pop({c}), 0) AS s2, coalesce(avg({c}), 0) AS avg, coalesce(sum({c}), 0) AS sum FROM lineitem WHERE {where}" for c in _MONEY)
 
 
-_ROUNDED = "column_name, d, round(s2, 5) AS s2, round(avg, 6) AS avg, round(sum, 1) AS sum, round(e, 6) AS e"
+_ROUNDED = "column_name, d, round(s2, 5) AS s2, round(avg, 6) AS avg, round(sum, 2) AS sum, round(e, 6) AS e"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    digits = {"s2": 5, "avg": 6, "sum": 1, "e": 6}
+    digits = {"s2": 5, "avg": 6, "sum": 2, "e": 6}
     return df.select("column_name", "d", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
@@ -287,7 +287,7 @@ _K = ", ".join(KEYS_SQL)
 _BOTTOM = lambda k, where="true": f"SELECT * FROM lineitem WHERE {where} ORDER BY {U}, {_K} LIMIT {k}"
 
 
-@_query(f"SELECT l_returnflag, {SUMS}, round(sum(n0 / 2000.0), 3) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem) AS n0 FROM ({_BOTTOM(2000)})) GROUP BY l_returnflag")
+@_query(f"SELECT l_returnflag, {SUMS}, round(sum(n0 / 2000.0), 6) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem) AS n0 FROM ({_BOTTOM(2000)})) GROUP BY l_returnflag")
 def n15_uniform_resample(spark, sf_dir):
     """A new uniform sample of 2,000 rows."""
     df = lineitem(spark, sf_dir)
@@ -295,10 +295,10 @@ def n15_uniform_resample(spark, sf_dir):
 
 
 def _weighed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("key_sum"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.sum(1 / F.col(sampling.PROB)), 3).alias("weight"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("key_sum"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.sum(1 / F.col(sampling.PROB)), 6).alias("weight"))
 
 
-@_query(f"SELECT l_returnflag, {SUMS}, round(sum(n0 / 2000.0), 3) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem) AS n0 FROM ({_BOTTOM(2000)})) GROUP BY l_returnflag")
+@_query(f"SELECT l_returnflag, {SUMS}, round(sum(n0 / 2000.0), 6) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem) AS n0 FROM ({_BOTTOM(2000)})) GROUP BY l_returnflag")
 def n7_reservoir_uniform(spark, sf_dir):
     """A sample of the base updated by a batch; the same as a new sample of all rows."""
     base, batch = split(lineitem(spark, sf_dir))
@@ -306,7 +306,7 @@ def n7_reservoir_uniform(spark, sf_dir):
     return _weighed(sampling.uniform_update(sampling.uniform(base, a, 2000, SEED, KEYS), batch, 2000, a, b, SEED, KEYS), "l_returnflag")
 
 
-_CAP = """SELECT coalesce(max(CASE WHEN low <= t THEN s + CASE WHEN g > le THEN floor((t - low) / (g - le)) ELSE 0 END END), floor(any_value(t) / any_value(g)))::BIGINT AS cap
+_CAP = """SELECT coalesce(arg_max(s + CASE WHEN g > le THEN floor((t - low) / (g - le)) ELSE 0 END, s) FILTER (low <= t), floor(any_value(t) / any_value(g)))::BIGINT AS cap
 FROM (SELECT s, le, g, t, r + s * (g - le) AS low FROM (SELECT s, sum(n) OVER (ORDER BY s) AS le, sum(n * s) OVER (ORDER BY s) AS r, sum(n) OVER () AS g, {target} AS t FROM (SELECT s, count(*) AS n FROM ({sizes}) GROUP BY s)))"""
 _SIZES = "SELECT l_suppkey AS k, count(*) AS s FROM lineitem GROUP BY 1"
 
@@ -323,7 +323,7 @@ def _strat_sql(cap: str, where: str = "true") -> str:
 
 
 _CAP2000 = f"SELECT greatest(cap, 10) FROM ({_CAP.format(target=2000, sizes=_SIZES)})"
-_WEIGHED = SUMS + ", round(sum(1 / p), 3) AS weight"
+_WEIGHED = SUMS + ", round(sum(1 / p), 6) AS weight"
 
 
 @_query(f"SELECT l_suppkey, {_WEIGHED} FROM ({_strat_sql(_CAP2000)}) GROUP BY l_suppkey")
@@ -342,7 +342,7 @@ def n8_reservoir_stratified(spark, sf_dir):
     return _weighed(sampling.stratified_update(sampling.stratified(base, "l_suppkey", a, 20, SEED, KEYS), batch, "l_suppkey", sizes, 20, SEED, KEYS), "l_suppkey")
 
 
-@_query(f"SELECT l_returnflag, {SUMS}, round(sum(w), 3) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem WHERE NOT ({BATCH})) / 1200.0 AS w FROM ({_BOTTOM(1200, 'NOT (' + BATCH + ')')}) UNION ALL SELECT *, (SELECT count(*) FROM lineitem WHERE {BATCH}) / 800.0 AS w FROM ({_BOTTOM(800, BATCH)})) GROUP BY l_returnflag")
+@_query(f"SELECT l_returnflag, {SUMS}, round(sum(w), 6) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem WHERE NOT ({BATCH})) / 1200.0 AS w FROM ({_BOTTOM(1200, 'NOT (' + BATCH + ')')}) UNION ALL SELECT *, (SELECT count(*) FROM lineitem WHERE {BATCH}) / 800.0 AS w FROM ({_BOTTOM(800, BATCH)})) GROUP BY l_returnflag")
 def n9_adaptive_uniform(spark, sf_dir):
     """1,200 rows of a sample of the base and 800 of a batch, each part with its own weight."""
     base, batch = split(lineitem(spark, sf_dir))
@@ -368,7 +368,7 @@ def n11_find_x(spark, sf_dir):
     return spark.createDataFrame([(int(ok),)], "ok int")
 
 
-@_query(f"SELECT l_returnflag, {SUMS}, round(sum(CAST(10 AS DOUBLE)), 3) AS weight FROM lineitem WHERE {U} < {keyed.below(0.1)} GROUP BY l_returnflag")
+@_query(f"SELECT l_returnflag, {SUMS}, round(sum(CAST(10 AS DOUBLE)), 6) AS weight FROM lineitem WHERE {U} < {keyed.below(0.1)} GROUP BY l_returnflag")
 def n13_incremental_uniform(spark, sf_dir):
     """A sample at a ratio and the batch's rows at the same ratio."""
     base, batch = split(lineitem(spark, sf_dir))
@@ -384,7 +384,7 @@ def n14_incremental_stratified(spark, sf_dir):
     return _weighed(old.unionByName(sampling.stratified(batch, "l_suppkey", b, sampling.LEAST, SEED, KEYS)), "l_suppkey")
 
 
-@_query(f"SELECT l_suppkey, {SUMS}, round(sum(1 / p), 3) AS weight FROM (SELECT *, least(1.0, greatest(20::DOUBLE / s, {sizing.guard_sql('s')})) AS p FROM lineitem JOIN (SELECT l_suppkey AS k, count(*) AS s FROM lineitem GROUP BY 1) ON l_suppkey = k) WHERE {U} < p * {keyed.RANGE} GROUP BY l_suppkey")
+@_query(f"SELECT l_suppkey, {SUMS}, round(sum(1 / p), 6) AS weight FROM (SELECT *, least(1.0, greatest(20::DOUBLE / s, {sizing.guard_sql('s')})) AS p FROM lineitem JOIN (SELECT l_suppkey AS k, count(*) AS s FROM lineitem GROUP BY 1) ON l_suppkey = k) WHERE {U} < p * {keyed.RANGE} GROUP BY l_suppkey")
 def n17_guarded_bernoulli(spark, sf_dir):
     """Rows by chance, cap / size or the guard that keeps about ten of each stratum."""
     df = lineitem(spark, sf_dir)
