@@ -305,5 +305,5 @@ s AS (
   FROM z WHERE gn >= least GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
        coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents LEFT JOIN s USING (doc_id)
+FROM (SELECT doc_id FROM documents) d LEFT JOIN s USING (doc_id)
 """

@@ -93,7 +93,8 @@ def with_originals(df: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
     Only payloads that come again are joined, by digest; a hot payload is spread by salts or its table broadcast.
     """
-    rows = df.withColumn("digest", F.sha2("payload", 256))
+    payload = F.coalesce("payload", F.lit(b""))
+    rows = df.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256))
     mine = F.when(F.col("id").isNotNull(), F.struct("id", "url", "at"))
     again = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min(mine).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     both = common.join_small_or_salted(rows, common.kept(again, "payloads"), "digest", "id")
@@ -108,7 +109,7 @@ def write(df: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES) ->
     runs, so a task that runs again leaves at most a file that nobody reads.
     """
     common.ready(df.sparkSession, 500)
-    rows = df.select("id", "url", "at", F.coalesce("payload", F.lit(b"")).alias("payload"), "digest", "o")
+    rows = df.select("id", "url", "at", "payload", "digest", "o")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
