@@ -218,7 +218,7 @@ def encoded(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.encode_all(b.column(1).to_pylist()), pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(task, schema)
+    return common.spread(rows).mapInArrow(task, schema)
 
 
 def decoded(df: DataFrame, ranks: bytes, pattern: str, ids_column: str = "ids") -> DataFrame:

@@ -36,6 +36,12 @@ def ready(spark: SparkSession, rows_per_batch: int = 1000) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: dealt anew where it has fewer partitions than there are cores, as a table of one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)

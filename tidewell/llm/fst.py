@@ -212,7 +212,7 @@ def counted(df: DataFrame, model: bytes, *, id_column: str = "doc_id", text_colu
             f.trim()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=schema.names)
 
-    return rows.mapInArrow(task, schema)
+    return common.spread(rows).mapInArrow(task, schema)
 
 
 TOKEN_LIMIT = 4096

@@ -30,7 +30,7 @@ def measured(df: DataFrame, text_column: str, carry: dict[str, Column]) -> DataF
     Repeated windows: the windows' hashes are sorted with their places in the row itself, so no row leaves its task.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    a = df.select(*[c.alias(k) for k, c in carry.items()], text.alias("_t"))
+    a = common.spread(df.select(*[c.alias(k) for k, c in carry.items()], text.alias("_t")))
     a = a.withColumn("_w", F.filter(F.split("_t", common.WORD_SPACE), lambda x: x != ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = a.withColumn("_l", lines)

@@ -259,7 +259,7 @@ def leaks(df: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_co
     """(doc_id, item_id, edits, start, end): a row for each document and passage that stands in it; places are in normal(text)."""
     spark = common.ready(df.sparkSession, 256)
     rows = df.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
-    out = None
+    rows, out = common.spread(rows), None
     for block in blocks(items, item_column, item_text_column, block_bytes):
         sent = spark.sparkContext.broadcast(Passages(block, q, share))
 

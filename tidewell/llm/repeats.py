@@ -277,7 +277,7 @@ def without_repeats(df: DataFrame, *, window: int = WINDOW, id_column: str = "do
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(id_column).cast("long").alias("_id"), F.encode(text, "UTF-8").alias("_t"))
-    found = repeated_windows(rows, window, buckets)
+    found = repeated_windows(common.spread(rows), window, buckets)
     mine = rows.select(F.col("_id").alias("doc_id"), F.coalesce("_id", F.lit(NO_ID)).alias("_id"), (F.crc32("_t") % 65536).cast("int").alias("_chk"), "_t")
     both = mine.join(found, ["_id", "_chk"], "left").select("doc_id", "_t", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep_text else "")

@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, *, id_column: str = "doc_id", text_column: str =
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=schema.names)
 
-    return rows.mapInArrow(take, schema)
+    return common.spread(rows).mapInArrow(take, schema)
 
 
 class BKTree:

@@ -185,7 +185,7 @@ def index(df: DataFrame, trigrams: list[str], *, id_column: str = "doc_id", text
     about ``block`` to a posting: a block is a hash class of ids, and there are as many classes as the rows need."""
     blocks = max(1, -(-df.count() // block))
     low = F.lower(F.coalesce(F.col(text_column), F.lit("")))
-    rows = df.select(F.col(id_column).alias("_id"), low.alias("_t"))
+    rows = common.spread(df.select(F.col(id_column).alias("_id"), low.alias("_t")))
     held = F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(g)), F.lit(g)) for g in trigrams]))
     rows = rows.select("_id", held.alias("_g")).where(F.size("_g") > 0).select("_id", F.explode("_g").alias("trigram"))
     return rows.groupBy("trigram", F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_set(F.struct(F.col("_id").alias("id")))).alias("ids"))
@@ -240,6 +240,7 @@ def scan(df: DataFrame, rules: list[Rule] | None = None, *, id_column: str = "do
     rules = rules or RULES
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not True}
     rows = df.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"), *[c.alias(k) for k, c in (carry or {}).items()])
+    rows = common.spread(rows)
     if queries:
         grams = sorted(set().union(*map(trigrams_of, queries.values())))
         found = candidates(common.kept(index(df, grams, id_column=id_column, text_column=text_column), "postings"), queries)
