@@ -14,7 +14,6 @@ from ..functions import keyed, sizing
 PROB, PART = "verdict_vprob", "verdict_vpart"
 #: Least rows kept of a stratum that has them.
 LEAST = 10
-_BUCKETS = 1 << 16
 
 
 def bernoulli(df: DataFrame, p: float | Column, seed: int | str, keys: list[str]) -> DataFrame:
@@ -23,28 +22,42 @@ def bernoulli(df: DataFrame, p: float | Column, seed: int | str, keys: list[str]
     return df.where(keyed.unit(seed, keys) < bound)
 
 
+def _edge(counts: dict[int, int], k: int) -> tuple[int | None, int]:
+    """The first bucket with which more than k rows are reached, if there is one, and the rows before it."""
+    done = 0
+    for b in sorted(counts):
+        if done + counts[b] > k:
+            return b, done
+        done += counts[b]
+    return None, done
+
+
 def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str]) -> DataFrame:
-    """The k rows with the least keyed numbers, ties by key.
+    """The k rows with the least keyed numbers, ties by key: a filter of df, without a sort or a shuffle of its rows.
 
-    Counts by the numbers' upper 16 bits, one row a bucket, tell in which bucket the k-th row lies. All rows of the buckets
-    before it are drawn by a filter; only that bucket's share of the rows, about one in 65,536, is ordered.
+    Counts by the numbers' upper 16 bits, and in one bucket of those by the lower 16, one row a bucket, tell up to which
+    number all rows are drawn. Only of rows that share that very number the first by key are looked up.
     """
     k = max(0, int(k))
     if not k:
         return df.limit(0)
     u = df.withColumn("_u", keyed.unit(seed, keys))
-    counts = {r["b"]: r["n"] for r in u.groupBy(F.shiftright("_u", 16).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    done, edge = 0, _BUCKETS
-    for b in sorted(counts):
-        if done + counts[b] > k:
-            edge = b
-            break
-        done += counts[b]
-    sure = u.where(F.col("_u") < edge << 16)
-    if edge == _BUCKETS or done == k:
-        return sure.drop("_u")
-    last = u.where(F.shiftright("_u", 16) == edge).orderBy("_u", *keys).limit(k - done)
-    return sure.unionByName(last).drop("_u")
+
+    def counted(rows: DataFrame, bucket: Column) -> dict[int, int]:
+        return {r["b"]: r["n"] for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    high, done = _edge(counted(u, F.shiftright("_u", 16)), k)
+    if high is None:
+        return df
+    ends = counted(u.where(F.shiftright("_u", 16) == high), F.col("_u").bitwiseAND(0xFFFF))
+    low, more = _edge(ends, k - done)
+    edge, rest = (high << 16) + low, k - done - more
+    drawn = F.col("_u") < edge
+    if rest:
+        tied = u.where(F.col("_u") == edge).orderBy(*keys).limit(rest).agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
+        last = F.struct(*[F.lit(tied[c]).cast(df.schema[c].dataType).alias(c) for c in keys])
+        drawn |= (F.col("_u") == edge) & (F.struct(*keys) <= last)
+    return u.where(drawn).drop("_u")
 
 
 def weighted(df: DataFrame, p: float | Column, seed: int | str, keys: list[str]) -> DataFrame:
