@@ -50,13 +50,13 @@ def test_cap_of_nothing(spark):
 
 
 def test_null_and_odd_strata(spark):
-    rows = [(i, k, 1.0) for i, k in enumerate([None] * 30 + ["null"] * 30 + ["VERDICT_NULL"] * 5 + ["one"])]
+    rows = [(i, k, 1.0) for i, k in enumerate([None] * 30 + ["null"] * 30 + ["<null>"] * 5 + ["one"])]
     df = spark.createDataFrame(rows, "id long, g string, y double")
     sizes = sampling.group_sizes(df, "g")
     s = sampling.stratified(df, "g", sizes, 10, 1, ["id"])
     got = {r["g"]: (r["n"], r["p"]) for r in s.groupBy("g").agg(F.count("*").alias("n"), F.max(sampling.PROB).alias("p")).collect()}
-    assert got == {None: (10, 10 / 30), "null": (10, 10 / 30), "VERDICT_NULL": (5, 1.0), "one": (1, 1.0)}
-    assert sampling.stratified_bernoulli(df, "g", sizes, 1, 1, ["id"]).where("g = 'one' or g = 'VERDICT_NULL'").count() == 6
+    assert got == {None: (10, 10 / 30), "null": (10, 10 / 30), "<null>": (5, 1.0), "one": (1, 1.0)}
+    assert sampling.stratified_bernoulli(df, "g", sizes, 1, 1, ["id"]).where("g = 'one' or g = '<null>'").count() == 6
 
 
 def test_stratified_update_equals_new_draw(spark):

@@ -47,7 +47,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Base and batch."""
-    u = keyed.unit("batch", KEYS)
+    df, u = files.spread(df.select(*KEYS, "l_extendedprice", "l_returnflag")), keyed.unit("batch", KEYS)
     return df.where(u >= keyed.below(0.2)), df.where(u < keyed.below(0.2))
 
 
@@ -247,7 +247,8 @@ def n2_profile(spark, sf_dir):
 @_query(f"SELECT {_ROUNDED} FROM (SELECT a.*, e FROM ({_moments_sql()}) a JOIN (SELECT column_name, least(abs(avg) * 0.1, 100000) AS e FROM ({_moments_sql('NOT (' + BATCH + ')')})) USING (column_name))")
 def n3_profile_refresh(spark, sf_dir):
     """The profile after a batch, from the profile before it and the batch; the same as of the whole table."""
-    base, batch = split(lineitem(spark, sf_dir))
+    df, u = lineitem(spark, sf_dir), keyed.unit("batch", KEYS)
+    base, batch = df.where(u >= keyed.below(0.2)), df.where(u < keyed.below(0.2))
     return _rounded(profile.refreshed(profile.profile(base, _MONEY), batch))
 
 
@@ -290,7 +291,7 @@ _BOTTOM = lambda k, where="true": f"SELECT * FROM lineitem WHERE {where} ORDER B
 @_query(f"SELECT l_returnflag, {SUMS}, round(sum(n0 / 2000.0), 6) AS weight FROM (SELECT *, (SELECT count(*) FROM lineitem) AS n0 FROM ({_BOTTOM(2000)})) GROUP BY l_returnflag")
 def n15_uniform_resample(spark, sf_dir):
     """A new uniform sample of 2,000 rows."""
-    df = lineitem(spark, sf_dir)
+    df = files.spread(lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", "l_returnflag"))
     return _weighed(sampling.uniform(df, df.count(), 2000, SEED, KEYS), "l_returnflag")
 
 

@@ -76,3 +76,9 @@ def read_results(spark: SparkSession, path: str, schema: str, sep: str = "|") ->
 def append(df: DataFrame, path: str, batch_id: int) -> None:
     """A batch into a table of batches; the same batch again replaces itself."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it comes from fewer partitions than there are cores and is read several times."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
