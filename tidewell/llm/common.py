@@ -36,10 +36,14 @@ def ready(spark: SparkSession, rows_per_batch: int = 1000) -> SparkSession:
     return spark
 
 
+def partitions(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: dealt anew where it has fewer partitions than there are cores, as a table of one small file has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if partitions(df) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

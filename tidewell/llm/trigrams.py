@@ -181,14 +181,17 @@ def trigrams_of(query) -> set[str]:
 
 
 def index(df: DataFrame, trigrams: list[str], *, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
-    """Postings (trigram, block, ids): for the trigrams given, the ids of the rows that hold them, ids in order, at most
-    about ``block`` to a posting: a block is a hash class of ids, and there are as many classes as the rows need."""
-    blocks = max(1, -(-df.count() // block))
+    """Postings (trigram, block, ids): for the trigrams given, the ids of the rows that hold them, ids in order, about
+    ``block`` to a posting at most: a block is a partition of the rows, or a hash class of its ids if it has more.
+
+    The partition's number also keeps the optimizer from testing a row's trigrams once more for each later filter.
+    """
     low = F.lower(F.coalesce(F.col(text_column), F.lit("")))
     rows = common.spread(df.select(F.col(id_column).alias("_id"), low.alias("_t")))
+    classes = max(1, -(-df.count() // (block * max(1, common.partitions(rows)))))
     held = F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(g)), F.lit(g)) for g in trigrams]))
-    rows = rows.select("_id", held.alias("_g")).where(F.size("_g") > 0).select("_id", F.explode("_g").alias("trigram"))
-    return rows.groupBy("trigram", F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_set(F.struct(F.col("_id").alias("id")))).alias("ids"))
+    rows = rows.select("_id", held.alias("_g"), F.spark_partition_id().cast("long").alias("_p")).select("_id", "_p", F.explode("_g").alias("trigram"))
+    return rows.groupBy("trigram", (F.col("_p") * classes + F.pmod(F.xxhash64("_id"), F.lit(classes))).alias("block")).agg(F.sort_array(F.collect_set(F.struct(F.col("_id").alias("id")))).alias("ids"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, object]) -> DataFrame:
