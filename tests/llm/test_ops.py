@@ -281,14 +281,19 @@ def test_bk_tree_finds_all():
         assert sorted(t.values[i] for i in t.within(x, 4)) == sorted(y for y in set(v) if (x ^ y).bit_count() <= 4)
 
 
-@pytest.mark.parametrize("tree_rows", [3, 50, 4096])
-def test_links_in_split_shards(spark, tree_rows):
+def test_blocks_grow():
+    sizes = [simhash.blocks_for(n, 4, 2048) for n in (0, 10**5, 10**7, 10**9, 10**10, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 5 and sizes[-1] <= 10
+
+
+@pytest.mark.parametrize(("tree_rows", "blocks"), [(3, None), (50, None), (4096, None), (50, 6), (4096, 8)])
+def test_links_in_split_shards(spark, tree_rows, blocks):
     """A chain and a crowd of near values; shards that are over the limit are split, and groups stay whole."""
     rng = np.random.default_rng(1)
     v = np.unique(np.concatenate([np.array([(1 << i) - 1 for i in range(0, 61, 4)]), 1 << 62 | (1 << rng.integers(0, 20, 60)) | (1 << rng.integers(0, 20, 60)), rng.integers(0, 2**62, 40)])).astype(np.int64)
     df = spark.createDataFrame([(int(x), 1000 - i) for i, x in enumerate(v)], "fp long, node long")
     common.ready(spark)
-    got_ = {r[0]: r[1] for r in simhash.components(simhash.links(df, tree_rows=tree_rows)).collect()}
+    got_ = {r[0]: r[1] for r in simhash.components(simhash.links(df, tree_rows=tree_rows, blocks=blocks)).collect()}
     up = {1000 - i: 1000 - i for i in range(len(v))}
 
     def root(a):

@@ -2,8 +2,8 @@
 
 1. A fingerprint per document, in Arrow batches.
 2. Distinct fingerprints only, each with its smallest doc_id, so copies cost one row.
-3. Shards: two fingerprints at radius r or less agree on at least one of r + 1 bit blocks, so each fingerprint goes to
-   one shard for each block and no link is lost. A shard over ``tree_rows`` is split into parts, and each pair of parts is
+3. Shards: two fingerprints at radius r or less agree on at least b - r of b bit blocks, so each fingerprint goes to one
+   shard for each choice of b - r blocks and no link is lost; b grows with the number of fingerprints. A shard over ``tree_rows`` is split into parts, and each pair of parts is
    a task of its own: a tree of one part, which the other part's fingerprints search.
 4. In a task a BK-tree keeps children by their integer distance to the parent; a search follows the edges within the
    radius only. Links are joined at once in a union-find, so a task gives at most one link per fingerprint, never pairs.
@@ -18,11 +18,12 @@ rows stay; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -145,20 +146,40 @@ def tree_links(values: np.ndarray, nodes: np.ndarray, side: np.ndarray, radius:
     return [(ids[i], ids[root(i)]) for i in range(len(ids)) if root(i) != i]
 
 
-def block_bounds(radius: int) -> list[tuple[int, int]]:
-    """radius + 1 blocks of bits that cover all 64: (shift, width)."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+def block_bounds(blocks: int) -> list[tuple[int, int]]:
+    """Blocks of bits that cover all 64: (shift, width)."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
+def blocks_for(n: int, radius: int, rows: int) -> int:
+    """Into how many blocks n fingerprints are cut: with b blocks, two within the radius agree on b - radius of them, so
+    every choice of that many is a key, of about 64 (b - radius) / b bits. The fewest that give shards of rows / 8 if bits
+    were even; as fingerprints grow more, keys get longer, shards stay small, and work grows about as the number."""
+    b = radius + 1
+    while b < 2 * radius + 2 and n >> (64 * (b - radius) // b) > rows // 8:
+        b += 1
+    return b
+
+
+def block_keys(fp: Column, radius: int, blocks: int) -> Column:
+    """The shards of a fingerprint: for each choice of blocks - radius blocks their bits and the choice's number."""
+    bounds, keys = block_bounds(blocks), []
+    for k, choice in enumerate(combinations(bounds, blocks - radius)):
+        value = F.lit(0).cast("long")
+        for shift, width in choice:
+            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(value * 256 + k)
+    return F.array(*keys)
+
+
+def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, blocks: int | None = None) -> DataFrame:
     """(u, v), u > v: links between the nodes of reps (fp, node) that span every group of fingerprints within the radius.
 
     A shard's rows go to the parts ``fp_hash mod parts``; the task (i, j) gets parts i and j. Parts grow with the shard, so
     no tree is over about ``tree_rows`` rows however hot its block value is.
     """
-    mask = lambda w: (1 << w) - 1
-    keys = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(mask(w))) * 16 + k for k, (s, w) in enumerate(block_bounds(radius))])
+    keys = block_keys(F.col("fp"), radius, blocks or blocks_for(reps.count(), radius, tree_rows))
     rows = reps.select("fp", "node", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").count().where(F.col("count") > tree_rows).select("key", F.ceil(F.col("count") / tree_rows).cast("int").alias("parts"))
     rows = common.join_small_or_salted(rows, common.kept(sizes, "shards"), "key", "fp").withColumn("parts", F.coalesce("parts", F.lit(1)))
