@@ -28,8 +28,8 @@ from . import common
 Q = 8
 #: Edits that a passage may have, as a share of its characters.
 BUDGET = 0.1
-#: Bytes of passages that are sent at once, and characters of texts that are counted at once.
-BLOCK_BYTES, TEXT_CHARS = 4 << 20, 1 << 20
+#: Bytes of passages that are sent at once, whose index takes about 40 times as much in each worker, and characters of texts that are counted at once.
+BLOCK_BYTES, TEXT_CHARS = 1 << 20, 1 << 20
 #: Alignments that are made together.
 ALIGNED = 64
 
