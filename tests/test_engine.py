@@ -36,6 +36,7 @@ def test_updates_equal_new_draws(spark, tmp_path):
     new = sampling.uniform(frame(spark, 1400), 1400, u.rows, 42, ["id"])
     assert sorted(t.store.read(u.at).collect()) == sorted(new.select(t.store.read(u.at).columns).collect())
     assert t.base().count() == 1400
+    assert sorted(x.name for x in (tmp_path / "a" / "stats").iterdir()) == ["v1", "v2"]
 
 
 def test_a_batch_again_is_no_work(spark, tmp_path):

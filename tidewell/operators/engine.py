@@ -80,6 +80,7 @@ class SampledTable:
             report |= {f"table.variance.{r['column_name']}": r["s2"], f"error-bound.{r['column_name']}": r["e"]}
         report["cost.profile"] = time.time() - began
         before, groups = s["rows"], dict(s["groups"])
+        gone, replaced = s.get("replaced", []), [x for x in (s["stats"], *groups.values(), *(x["at"] for x in s["samples"])) if x]
         s = s | {"batch": batch_id, "rows": before + n, "batches": [*s["batches"], at], "stats": stats_at}
         for column, where in groups.items():
             merged = sampling.merged_sizes(self.store.read(where), sampling.group_sizes(batch, column), column)
@@ -88,7 +89,10 @@ class SampledTable:
         if s["samples"] and n and not self.set.flags.skip:
             need = profile.need(stats, self.set.z)
             s["samples"] = [self._kept_up(x, s, batch, before, n, need, report).dict() for x in self.samples(s)]
-        self.store.switch(s)
+        now = {s["stats"], *s["groups"].values(), *(x["at"] for x in s["samples"])}
+        self.store.switch(s | {"replaced": [x for x in replaced if x not in now]})
+        for x in gone:  # what the batch before this one replaced; readers of the last state still find theirs
+            self.store.drop(x)
         return report
 
     def _kept_up(self, x: Sample, s: dict, batch: DataFrame, before: int, n: int, need: int, report: dict) -> Sample:
