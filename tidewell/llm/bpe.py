@@ -30,7 +30,7 @@ LONG = 256
 #: Most cells of a matrix.
 CELLS = 1 << 18
 #: Most pieces that a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
