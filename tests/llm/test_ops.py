@@ -381,6 +381,12 @@ def test_op8_ids(spark, folder, tik):
     assert got(spark, "op8_byte_bpe", folder, "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+def test_two_passes_equal_one(spark, edge):
+    docs, ranks = spark.read.parquet(f"{edge}/documents.parquet"), bpe.vocabulary("byte_bpe_50k.tiktoken")
+    two = bpe.decoded(bpe.encoded(docs, ranks, P.PATTERN), ranks, P.PATTERN)
+    assert sorted(two.collect()) == sorted(bpe.round_trip(docs, ranks, P.PATTERN).collect())
+
+
 def test_heap_equals_matrix():
     c = bpe.codec(bpe.vocabulary("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = np.random.default_rng(1)

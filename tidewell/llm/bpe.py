@@ -236,9 +236,25 @@ def decoded(df: DataFrame, ranks: bytes, pattern: str, ids_column: str = "ids")
     return df.mapInArrow(task, schema)
 
 
+def round_trip(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id_column, ids, decoded): encoded() and decoded() in one pass through one worker a task."""
+    common.ready(df.sparkSession, 500)
+    rows = df.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
+    schema = rows.select(id_column).schema.add("ids", "binary").add("decoded", "binary")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(sent.value, pattern)
+        for b in batches:
+            ids = c.encode_all(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], names=schema.names)
+
+    return common.spread(rows).mapInArrow(task, schema)
+
+
 def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    both = decoded(encoded(docs, ranks, pattern), ranks, pattern)
+    both = round_trip(docs, ranks, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
