@@ -32,7 +32,7 @@ from . import common
 
 WINDOW = 20
 #: Words of a batch, and bytes of text that a bucket stands for.
-BATCH_WORDS, BUCKET_BYTES = 2_500_000, 16 << 20
+BATCH_WORDS, BUCKET_BYTES = 800_000, 16 << 20
 NO_ID = -(2**63)
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
