@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, common, hosts, leaks, simhash, trigrams
+from tidewell.llm import bpe, common, hosts, jaccard, leaks, trigrams
 
 
 def _carried(docs: DataFrame) -> dict:
@@ -27,9 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay."""
-    gone = simhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return common.without_ids(docs, common.kept(gone, "near"))
+    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) the document with the smallest id stays; documents
+    without an id and equal rows stay."""
+    rows, key = common.keyed(docs, "near")
+    groups = common.kept(jaccard.near_groups(rows, key=key).join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row"), "near")
+    first = groups.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first"))
+    gone = groups.where("id is not null").join(first, "root").where("struct(id, fp) <> first").select("row")
+    return common.without_ids(rows, common.kept(gone, "near"), key).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("Jaccard near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("secret scans", mask_secrets),
     ("byte-level BPE", encode),

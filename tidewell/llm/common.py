@@ -160,3 +160,11 @@ def without_ids(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", *, row
     gone = ids.toDF("_gone").where("_gone is not null")
     side = F.broadcast(gone) if gone.limit(rows + 1).count() <= rows else gone.hint("merge")
     return df.join(side, F.col(f"`{id_column}`") == F.col("_gone"), "left_anti")
+
+
+def keyed(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df, written with a column more that is unique for each row, and that column's name."""
+    name = "_row"
+    while name in [c.lower() for c in df.columns]:
+        name += "_"
+    return kept(df.withColumn(name, F.monotonically_increasing_id()), tag), name
