@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each written as Parquet in the shared folder and read by the next.
 
-Quality rules drop documents; of each group of near-duplicates the one with the smallest id stays; documents that hold
+Quality rules drop documents; of each group of near-duplicates one row stays, of the smallest id; documents that hold
 a benchmark passage go; secrets are masked in the text; what is left is encoded.
 """
 
@@ -27,19 +27,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) the document with the smallest id stays; documents
-    without an id and equal rows stay."""
+    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) one row stays: of the smallest id, nulls last."""
     rows, key = common.keyed(docs, "near")
     groups = common.kept(jaccard.near_groups(rows, key=key).join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row"), "near")
-    first = groups.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first"))
-    gone = groups.where("id is not null").join(first, "root").where("struct(id, fp) <> first").select("row")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row")
+    first = groups.groupBy("root").agg(F.min(place).alias("first"))
+    gone = groups.join(first, "root").where("row <> first.row").select("row")
     return common.without_ids(rows, common.kept(gone, "near"), key).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return common.without_ids(docs, common.kept(found.select("doc_id").distinct(), "leaks"))
+    """Rows whose text holds a passage of the benchmark go, whatever their ids."""
+    rows, key = common.keyed(docs, "leaks")
+    found = leaks.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=key)
+    return common.without_ids(rows, common.kept(found.select("doc_id").distinct(), "leaks"), key).drop(key)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,16 @@ def test_prefixes_of_similar_sets_meet():
         t = s[: -(-4 * len(s) // 5)]
         late = np.sort(rng.choice(s, len(s) // 2, replace=False))
         assert set(jaccard.prefix(s, late).tolist()) & set(jaccard.prefix(t, late).tolist())
+
+
+def test_verdicts_are_by_row(spark, tmp_path):
+    """Null and repeated ids: one row of a group stays, each leaking row goes, and no other row of the same id."""
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (3, c), (3, d), (None, e), (5, e), (5, f), (None, f)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, a), (None, b), (2, c), (3, d), (5, e), (5, f)], key=repr)
+    spark.createDataFrame([(0, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{b} {a}"), (None, b), (1, f"{a} {c}"), (1, c), (1, c), (2, None), (None, None)]
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, b), (1, c), (1, c), (2, None), (None, None)], key=repr)
