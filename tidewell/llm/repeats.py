@@ -11,7 +11,7 @@
 Two unequal windows share a 64-bit hash with a chance of 2**-64 a pair, which is about n**2 / 2**65 among n windows.
 
 Defined cases: a null text has no words; documents with fewer words than a window lose none; a null doc_id comes before
-all others; rows that share a doc_id are documents of their own, in the order of a 16-bit checksum of their texts, and
+all others; rows that share a doc_id are documents of their own, told apart by 63 bits of their texts and in the order of these, and
 equal rows are one document, returned as often as it comes; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -76,17 +76,16 @@ def packed(hashes: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, checks:
     """Sorted hashes with places in the batch, and the batch's documents that they lie in: id, checksum, first place."""
     used = np.unique(np.searchsorted(starts, places, "right") - 1)
     ids, firsts = doc_ids[used], starts[used]
-    docs = zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes() + np.diff(firsts, prepend=0).astype("<u4").tobytes(), 1) + checks[used].astype("<u2").tobytes()
+    docs = zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes() + np.diff(firsts, prepend=0).astype("<u4").tobytes() + checks[used].astype("<i8").tobytes(), 1)
     return struct.pack("<III", len(hashes), len(used), len(docs)) + docs + planes(np.diff(hashes, prepend=np.uint64(0))) + planes(places.astype(np.uint64))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, k, size = struct.unpack_from("<III", blob)
-    docs = blob[12 : 12 + size - 2 * k]
-    raw = zlib.decompress(docs)
+    raw = zlib.decompress(blob[12 : 12 + size])
     ids = np.cumsum(np.frombuffer(raw, "<i8", k))
     starts = np.cumsum(np.frombuffer(raw, "<u4", k, 8 * k), dtype=np.int64)
-    checks = np.frombuffer(blob, "<u2", k, 12 + size - 2 * k)
+    checks = np.frombuffer(raw, "<i8", k, 12 * k)
     view = memoryview(blob)[12 + size :]
     deltas, used = unplanes(view, n)
     places, _ = unplanes(view[used:], n)
@@ -103,8 +102,8 @@ class _Batch:
         self.docs: dict[tuple[int, int], np.ndarray] = {}
         self.words = 0
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
-        key = (NO_ID if doc_id is None else doc_id, zlib.crc32(text) & 0xFFFF)
+    def add(self, doc_id: int, text: bytes, check: int = 0) -> None:
+        key = (doc_id, check)
         words = text.split()
         if len(words) >= self.window and key not in self.docs:
             self.docs[key] = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
@@ -148,7 +147,7 @@ def dealt(ids: np.ndarray, checks: np.ndarray, pos: np.ndarray, buckets: int) ->
     for b, i, j in _runs(to):
         first = np.flatnonzero(np.concatenate(([True], (ids[i + 1 : j] != ids[i : j - 1]) | (checks[i + 1 : j] != checks[i : j - 1]))))
         n = np.diff(np.append(first, j - i))
-        yield b, 1, struct.pack("<I", len(first)) + zlib.compress(ids[i:j][first].astype("<i8").tobytes() + checks[i:j][first].astype("<u2").tobytes() + n.astype("<u4").tobytes() + pos[i:j].astype("<u4").tobytes(), 1)
+        yield b, 1, struct.pack("<I", len(first)) + zlib.compress(ids[i:j][first].astype("<i8").tobytes() + checks[i:j][first].astype("<i8").tobytes() + n.astype("<u4").tobytes() + pos[i:j].astype("<u4").tobytes(), 1)
 
 
 def by_document(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
@@ -157,8 +156,8 @@ def by_document(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     for b in blobs:
         (k,) = struct.unpack_from("<I", b)
         raw = zlib.decompress(b[4:])
-        n = np.frombuffer(raw, "<u4", k, 10 * k)
-        for to, x in zip(parts, (np.repeat(np.frombuffer(raw, "<i8", k), n), np.repeat(np.frombuffer(raw, "<u2", k, 8 * k), n), np.frombuffer(raw, "<u4", -1, 14 * k)), strict=True):
+        n = np.frombuffer(raw, "<u4", k, 16 * k)
+        for to, x in zip(parts, (np.repeat(np.frombuffer(raw, "<i8", k), n), np.repeat(np.frombuffer(raw, "<i8", k, 8 * k), n), np.frombuffer(raw, "<u4", -1, 20 * k)), strict=True):
             to.append(x)
     ids, checks, pos = (np.concatenate(x) for x in parts)
     order = np.lexsort((checks, ids))
@@ -207,7 +206,7 @@ def repeats_of(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, int, byt
 def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     """(_id, _chk, starts): for each document with repeats the starts of all repeated windows, packed.
 
-    rows: (_id, text as binary). Two shuffles, of hashes to their buckets and of starts to the buckets of their documents,
+    rows: (_id, _chk, text as binary), as documents() makes them. Two shuffles, of hashes to their buckets and of starts to the buckets of their documents,
     both in packed rows, at most one for each task, batch and bucket.
     """
 
@@ -225,8 +224,8 @@ def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = _Batch(window, buckets)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                batch.add(i, t.as_py())
+            for i, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                batch.add(i, t.as_py(), c)
                 if batch.words >= BATCH_WORDS:
                     yield from table(batch.rows())
         if batch.docs:
@@ -252,7 +251,7 @@ def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     return by_bucket(by_bucket(rows.mapInArrow(hashed, DEALT)).mapInArrow(counted, DEALT)).mapInArrow(together, FOUND)
 
 
-FOUND = "_id long, _chk int, starts binary"
+FOUND = "_id long, _chk long, starts binary"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -270,15 +269,29 @@ def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(s[np.concatenate(([0], cut + 1))].tolist(), (s[np.concatenate((cut, [len(s) - 1]))] + window).tolist(), strict=True))
 
 
+def documents(rows: DataFrame) -> DataFrame:
+    """(doc_id, _id, _chk, _t) from (doc_id, _t): _id and _chk tell documents apart. _chk is zero for an id that comes once, so that it
+    takes no room in the shuffle; else 63 bits of the text, a 16-bit checksum before 47 bits of a hash."""
+    again = common.kept(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    n = again.limit(common.BROADCAST_ROWS + 1).count()
+    if n:
+        again = F.broadcast(again) if n <= common.BROADCAST_ROWS else again
+        rows = rows.join(again, F.col("doc_id") == F.col("_again"), "left")
+    else:
+        rows = rows.withColumn("_again", F.lit(None).cast("long"))
+    check = F.shiftleft(F.crc32("_t") % 65536, 47).bitwiseOR(F.shiftrightunsigned(F.xxhash64("_t"), 17))
+    many = F.col("doc_id").isNull() | F.col("_again").isNotNull()
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.when(many, check).otherwise(F.lit(0).cast("long")).alias("_chk"), "_t")
+
+
 def without_repeats(df: DataFrame, *, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; with keep_text also text, the kept words joined by spaces."""
     spark = common.ready(df.sparkSession, 64)
     text = F.coalesce(F.col(text_column), F.lit(""))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(id_column).cast("long").alias("_id"), F.encode(text, "UTF-8").alias("_t"))
-    found = repeated_windows(common.spread(rows), window, buckets)
-    mine = rows.select(F.col("_id").alias("doc_id"), F.coalesce("_id", F.lit(NO_ID)).alias("_id"), (F.crc32("_t") % 65536).cast("int").alias("_chk"), "_t")
+    mine = documents(df.select(F.col(id_column).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("_t")))
+    found = repeated_windows(common.spread(mine.select("_id", "_chk", "_t")), window, buckets)
     both = mine.join(found, ["_id", "_chk"], "left").select("doc_id", "_t", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep_text else "")
 
