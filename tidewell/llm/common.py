@@ -13,16 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be sent to every executor; beyond it another plan is used.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a table that may be sent to every executor; beyond either another plan is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Bytes that cross to a Python worker at once; the same for all operators, so that frames of several may be built before one runs.
+BATCH_BYTES = 4 << 20
 #: What separates words everywhere in this subpackage.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def ready(spark: SparkSession, rows_per_batch: int = 1000) -> SparkSession:
-    """Lets Python workers import this package and bounds the rows that cross to Python at once.
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package and bounds the bytes that cross to Python at once.
 
     On a cluster ship the package with ``--py-files``; in local mode the workers find it by the path set here.
     """
@@ -32,7 +34,7 @@ def ready(spark: SparkSession, rows_per_batch: int = 1000) -> SparkSession:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH") or now) if x)
     if root not in sys.path:
         sys.path.append(root)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -137,16 +139,23 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(waiting)
 
 
-def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: str, *, salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df, counted, has at most so many rows and bytes (as text). df is written already or cheap to make."""
+    n, b = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (b or 0) <= size
+
+
+def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: str, *, salts: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join on key, nulls equal to nulls. right has one row for each key.
 
-    right is broadcast only if it is counted to at most ``rows`` rows. Else every row of right is repeated for each
-    salt, so that the rows of a hot key on the left spread over ``salts`` tasks by a hash of ``salt_by``, which stays the same when
-    a lost task runs again.
+    right is broadcast only if it is counted to few rows and bytes. Else every row of right is repeated for each
+    salt, so that the rows of a hot key on the left spread over ``salts`` tasks (an eighth of the shuffle's partitions, 16 at
+    least) by a hash of ``salt_by``, which stays the same when a lost task runs again.
     """
     other = right.withColumnRenamed(key, "_key")
-    if right.limit(rows + 1).count() <= rows:
+    if small(right, rows):
         return left.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    salts = salts or max(16, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     return salted.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_key", "_salt", "_salt2")
@@ -158,7 +167,7 @@ def without_ids(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", *, row
     The ids are broadcast only if they are counted to at most ``rows``; else both sides are shuffled by id.
     """
     gone = ids.toDF("_gone").where("_gone is not null")
-    side = F.broadcast(gone) if gone.limit(rows + 1).count() <= rows else gone.hint("merge")
+    side = F.broadcast(gone) if small(gone, rows) else gone.hint("merge")
     return df.join(side, F.col(f"`{id_column}`") == F.col("_gone"), "left_anti")
 
 
