@@ -1,12 +1,18 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Every document is measured by rules on its words, lines and symbols. Failures are counted by host, each host's failure
-rate is drawn towards the rate of all hosts by a beta prior that is fitted to the spread of the hosts themselves, and
-hosts whose drawn rate is over the rule's limit lose their documents. A host with few documents is judged mostly by the
-prior, one with many by its own documents.
+Every document is measured by rules on its words, lines and symbols. Failures are counted by host, and each host's failure
+rate is drawn towards the rate of all hosts by a beta prior that is fitted to the spread of the hosts themselves: a host
+with few documents is judged mostly by the prior, one with many by its own documents. Where the host's rate is with high
+chance (its posterior mean less Z standard deviations) over a limit, the verdict is joined back to its documents:
+
+- over the rule's first limit the host is *strict* in it, and its documents that fail the rule go;
+- over the second limit the host is *bad*, and all its documents go.
+
+So a host that fails a rule now and then keeps its odd documents, and a good document goes only with a bad host.
 
 Defined cases: a null text has no words and fails the base; a null host is a host of its own; repeated rows count and
-are returned as often as they come; an empty table gives no rows; extra columns are ignored unless they are carried.
+are returned as often as they come; very long texts are measured whole, in their own row; an empty table gives no rows; extra
+columns, whatever their names, are ignored unless they are carried.
 """
 
 from __future__ import annotations
@@ -20,8 +26,11 @@ MIN_WORDS = 50
 #: In percent of the words.
 MAX_REPEAT, MAX_SYMBOLS = 50, 20
 SYMBOLS = "#*$%&|<>"
-#: Rules of a document, and the drawn failure rate beyond which a host goes.
-RULES = {"short": 0.8, "repeats": 0.8, "symbols": 0.8}
+#: Rules of a document, with the host's failure rates beyond which it is strict and bad. Documents that are short or repeat
+#: themselves fail the base whatever their host.
+RULES = {"short": (0.05, 0.5), "repeats": (0.05, 0.5), "symbols": (0.05, 0.5)}
+#: Standard deviations of the posterior by which a rate has to be over a limit.
+Z = 1.96
 
 
 def measured(df: DataFrame, text_column: str, carry: dict[str, Column]) -> DataFrame:
@@ -57,35 +66,41 @@ def measured(df: DataFrame, text_column: str, carry: dict[str, Column]) -> DataF
     return a.select("*", (short | repeats).alias("base_failed"), short.alias("f_short"), repeats.alias("f_repeats"), symbols.alias("f_symbols"))
 
 
-def host_verdicts(rows: DataFrame, host: str, rules: dict[str, float]) -> DataFrame:
-    """(host, host_docs, rate_<rule>..., host_ok) for each host of rows, which hold f_<rule>.
+def host_verdicts(rows: DataFrame, host: str, rules: dict[str, tuple[float, float]]) -> DataFrame:
+    """(host, host_docs, low_<rule>..., strict_<rule>..., bad) for each host of rows, which hold f_<rule>.
 
     The prior of a rule, from one row of sums over the hosts: mean m of all documents; variance between hosts v, less
-    what chance alone gives; strength m(1 - m)/v - 1. The drawn rate is (failures + m strength) / (documents + strength).
+    what chance alone gives; strength s = m(1 - m)/v - 1. The posterior of k failures among n documents is the beta
+    distribution of k + m s and n - k + (1 - m) s; low is its mean less Z standard deviations.
     """
     by = rows.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), *[F.sum(F.col(f"f_{r}").cast("long")).alias(f"k_{r}") for r in rules])
     by = common.kept(by, "hosts")
     n = F.col("host_docs")
     s = by.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("hosts"), *[x for r in rules for x in (F.sum(f"k_{r}").alias(f"k_{r}"), F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / n).alias(f"q_{r}"))]).first()
-    rates = {}
+    low = {}
     for r in rules:
         m = (s[f"k_{r}"] or 0) / max(s["n"] or 0, 1)
         spread = (s[f"q_{r}"] or 0) / max(s["n"] or 0, 1) - m * m - m * (1 - m) * s["hosts"] / max(s["n"] or 0, 1)
         strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
-        rates[r] = (F.col(f"k_{r}") + m * strength) / (n + strength)
-    ok = F.lit(True)
-    for r, limit in rules.items():
-        ok &= F.col(f"rate_{r}") <= limit
-    return by.select(host, "host_docs", *[c.alias(f"rate_{r}") for r, c in rates.items()]).withColumn("host_ok", ok)
+        mean = (F.col(f"k_{r}") + m * strength) / (n + strength)
+        low[r] = mean - Z * F.sqrt(mean * (1 - mean) / (n + strength + 1))
+    out = by.select(host, "host_docs", *[c.alias(f"low_{r}") for r, c in low.items()])
+    bad = F.lit(False)
+    for r, (_, most) in rules.items():
+        bad |= F.col(f"low_{r}") > most
+    return out.select("*", *[(F.col(f"low_{r}") > first).alias(f"strict_{r}") for r, (first, _) in rules.items()], bad.alias("bad"))
 
 
-def judged(df: DataFrame, *, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", carry: dict[str, Column] | None = None, rules: dict[str, float] | None = None) -> DataFrame:
-    """The measures of every row, its host's size and rates, and kept. The measured rows are written once and read twice."""
+def judged(df: DataFrame, *, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text", carry: dict[str, Column] | None = None, rules: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The measures of every row, its host's size and verdicts, and kept. The measured rows are written once and read twice."""
     rules = rules or RULES
     rows = common.kept(measured(df, text_column, {"_id": F.col(id_column), "_host": F.col(host_column)} | (carry or {})), "measured")
     hosts = host_verdicts(rows, "_host", rules)
     both = common.join_small_or_salted(rows, hosts, "_host", "_id")
-    return both.withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
+    gone = F.col("base_failed") | F.col("bad")
+    for r in rules:
+        gone |= F.col(f"strict_{r}") & F.col(f"f_{r}")
+    return both.withColumn("kept", ~gone)
 
 
 OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -99,23 +114,27 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
-  FROM documents),
+  SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT row_id, unnest(l) AS x, unnest(range(len(l))) AS i
+  FROM (SELECT row_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM d)),
 g AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+  SELECT row_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY row_id ORDER BY i)),
+c AS (
+  SELECT row_id, i, z IS NOT NULL AND count(*) OVER (PARTITION BY row_id, x, y, z) > 1 AS again FROM g),
 r AS (
-  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
-  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+  SELECT row_id, count(*) AS n_words, count(*) FILTER (hit) AS n_repeat_words
+  FROM (SELECT row_id, again OR coalesce(lag(again) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS hit
+        FROM c WINDOW o AS (PARTITION BY row_id ORDER BY i)) GROUP BY row_id),
+l AS (
+  SELECT row_id, count(*) - count(DISTINCT x) AS n_dup_lines
+  FROM (SELECT row_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY row_id),
 m AS (
-  SELECT d.doc_id, source, len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  SELECT d.doc_id, source, coalesce(n_words, 0)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM d LEFT JOIN r USING (doc_id)),
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN r USING (row_id) LEFT JOIN l USING (row_id)),
 f AS (
   SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 100 * n_symbols > 20 * n_words AS f3 FROM m),
 h AS (
@@ -127,9 +146,12 @@ p AS (
 s AS (
   SELECT rule, m, CASE WHEN q - m * m - m * (1 - m) * hosts / docs > 0
     THEN least(greatest(m * (1 - m) / (q - m * m - m * (1 - m) * hosts / docs) - 1, 1), 1e6) ELSE 1e6 END AS strength FROM p),
+b AS (
+  SELECT source, rule, (k + m * strength) / (n + strength) AS mean, n + strength + 1 AS size FROM h JOIN s USING (rule)),
 v AS (
-  SELECT source, bool_and((k + m * strength) / (n + strength) <= 0.8) AS host_ok FROM h JOIN s USING (rule) GROUP BY source)
+  SELECT source, max(CASE WHEN rule = 3 THEN low END) > 0.05 AS strict, max(low) > 0.5 AS bad
+  FROM (SELECT source, rule, mean - 1.96 * sqrt(mean * (1 - mean) / size) AS low FROM b) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-       NOT (f1 OR f2) AND host_ok AS kept, f.source AS host
+       NOT (f1 OR f2 OR bad OR (strict AND f3)) AS kept, f.source AS host
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
