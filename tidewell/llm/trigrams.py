@@ -6,13 +6,14 @@ trigrams of all queries: postings are arrays of row ids by trigram and block. A
 postings block by block; only those candidates are verified by the regex. A rule without a mandatory trigram has no
 query and scans everything.
 
-Case is folded in the index, for A to Z at least, so a candidate set can be too large but never too small.
+Case is folded in the index, and a literal outside ASCII, whose folding may differ, counts as unknown, so a candidate set can be
+too large but never too small.
 
 Positions of matches come from the text itself: the pieces between the matches (split) and the matches have known
 lengths, whose running sums are the starts.
 
-Defined cases: a null text is empty; null ids are ids like any other; rows that share an id are all verified; an empty
-table gives no rows; extra columns are ignored.
+Defined cases: a null text is empty; null ids are ids like any other; rows that share an id are all verified; very long texts
+are scanned whole; an empty table gives no rows; extra columns, whatever their names, are ignored unless they are carried.
 """
 
 from __future__ import annotations
@@ -128,20 +129,25 @@ def _fold(c: int) -> str:
     return chr(c + 32) if 65 <= c <= 90 else chr(c)
 
 
+def _known(lo: int, hi: int) -> bool:
+    """Whether lower() leaves these characters alone but for A to Z; other alphabets fold in ways of their own."""
+    return lo < 128 and hi < 128
+
+
 def _walk(tree) -> _Info:
     out = _Info({""}, set(), set(), True)
     for op, arg in tree:
         name = str(op)
         if name == "LITERAL":
-            one = _Info({_fold(arg)}, set(), set(), True)
+            one = _Info({_fold(arg)}, set(), set(), True) if _known(arg, arg) else _ANY()
         elif name == "IN":
             chars: set | None = set()
             for o, v in arg:
                 if chars is None or str(o) in ("NEGATE", "CATEGORY"):
                     chars = None
-                elif str(o) == "LITERAL":
+                elif str(o) == "LITERAL" and _known(v, v):
                     chars.add(_fold(v))
-                elif v[1] - v[0] < 64:
+                elif str(o) == "RANGE" and _known(*v) and v[1] - v[0] < 64:
                     chars |= {_fold(c) for c in range(v[0], v[1] + 1)}
                 else:
                     chars = None
