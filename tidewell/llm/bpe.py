@@ -5,8 +5,8 @@ are put into integer matrices by length, padded on the right. A round looks up t
 hash table, merges in each row the leftmost pair of least rank, closes the gap, and takes finished rows out. Pieces over
 ``LONG`` bytes, for which a row would take a round for each byte, go through a heap instead, with the same result.
 
-Defined cases: a null text is empty and has no tokens; null ids and repeated rows are returned as they come; an empty
-table gives no rows; extra columns are ignored.
+Defined cases: a null text is empty and has no tokens; null ids and repeated rows are returned as they come; a very long text is
+encoded whole, in its row; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ NO_RANK = np.int32(2**31 - 1)
 LONG = 256
 #: Most cells of a matrix.
 CELLS = 1 << 18
-#: Most pieces that a worker remembers.
-MEMORY = 250_000
+#: Most pieces that a worker remembers, and most bytes of them and their ids; a piece over KEEP bytes is forgotten after its texts.
+MEMORY, MEMORY_BYTES, KEEP = 250_000, 64 << 20, 1 << 10
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
@@ -89,6 +89,7 @@ class Codec:
         self.pairs, self.table = pairs, PairTable(pairs)
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def from_ranks(cls, data: bytes, pattern: str) -> Codec:
@@ -179,16 +180,22 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
         out = []
         for at in range(0, len(texts), 64):
             split = [self.pattern.findall(t) for t in texts[at : at + 64]]
-            if new := list(set().union(*split) - self.memory.keys()):
+            new = list(set().union(*split) - self.memory.keys())
+            if new:
                 self.learn(new)
             out += [b"".join(map(self.memory.__getitem__, pieces)) for pieces in split]
-            if len(self.memory) > 2 * MEMORY:
+            for s in new:
+                size = len(s) + len(self.memory[s])
+                if size > KEEP:
+                    del self.memory[s]
+                else:
+                    self.held += size
+            if len(self.memory) > MEMORY or self.held > MEMORY_BYTES:
                 self.memory.clear()
+                self.held = 0
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -208,7 +215,7 @@ def codec(data: bytes, pattern: str) -> Codec:
 
 def encoded(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id_column, ids): the ids of every whole text as binary. ranks is the content of a rank file, sent to the executors once."""
-    common.ready(df.sparkSession, 500)
+    common.ready(df.sparkSession)
     rows = df.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
     sent = df.sparkSession.sparkContext.broadcast(ranks)
     schema = rows.select(id_column).schema.add("ids", "binary")
@@ -223,7 +230,7 @@ def encoded(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_
 
 def decoded(df: DataFrame, ranks: bytes, pattern: str, ids_column: str = "ids") -> DataFrame:
     """df with the column decoded: the bytes that the ids stand for."""
-    common.ready(df.sparkSession, 500)
+    common.ready(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(ids_column)
     schema = df.select("*").schema.add("decoded", "binary")
@@ -238,7 +245,7 @@ def decoded(df: DataFrame, ranks: bytes, pattern: str, ids_column: str = "ids")
 
 def round_trip(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id_column, ids, decoded): encoded() and decoded() in one pass through one worker a task."""
-    common.ready(df.sparkSession, 500)
+    common.ready(df.sparkSession)
     rows = df.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
     sent = df.sparkSession.sparkContext.broadcast(ranks)
     schema = rows.select(id_column).schema.add("ids", "binary").add("decoded", "binary")
