@@ -6,12 +6,15 @@ of each text are counted by passage and by bands of 2(k + 1) diagonals that over
 one band, and only bands that reach the bound are aligned. The alignment is kept to the band's diagonals, with k to either
 side; it gives the least number of edits with which the passage stands there.
 
-Texts are compared in lower case with every run of white space as one space. Passages are taken in blocks of a bounded
-size; each block is sent to the executors and held against all documents.
+Texts are compared in lower case with every run of white space as one space. Shared q-grams are counted in steps of PAIRS
+(place, posting) pairs at most, and only the sums by band are kept from step to step, so a q-gram that is frequent on both
+sides costs time but no memory. A text over SEGMENT characters is held in segments that overlap by more than the longest
+passage with its edits. Passages go to the executors in groups of GROUP_BYTES, each in one scan of the documents; in a task they are
+indexed block by block, one at a time.
 
 Defined cases: a null or empty text holds nothing; null and empty passages are found nowhere; passages of fewer characters
-than q are found by equality alone; null ids are returned as such; a row that repeats gives its pairs again; an empty
-table on either side gives no pairs; extra columns are ignored.
+than q are found by equality alone; null ids are returned as such; a row that repeats gives its pairs again; a very long text is
+searched whole; an empty table on either side gives no pairs; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ from . import common
 Q = 8
 #: Edits that a passage may have, as a share of its characters.
 BUDGET = 0.1
-#: Bytes of passages that are sent at once, whose index takes about 40 times as much in each worker, and characters of texts that are counted at once.
-BLOCK_BYTES, TEXT_CHARS = 1 << 20, 1 << 20
+#: Bytes of passages that are indexed at once, whose index takes about 40 times as much in each worker, and that are sent at once.
+BLOCK_BYTES, GROUP_BYTES = 1 << 20, 32 << 20
+#: Characters of texts that are counted at once, of a segment of a long text, and of texts that wait where there are several blocks.
+TEXT_CHARS, SEGMENT, WAITING = 1 << 20, 1 << 20, 8 << 20
+#: Pairs of a place in a text and a posting that are made at once.
+PAIRS = 1 << 20
 #: Alignments that are made together.
 ALIGNED = 64
 
@@ -93,6 +100,9 @@ class Passages:
         self.bits = max(12, min(26, (16 * max(1, len(h))).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        #: makes half bands positive, and the overlap of a long text's segments
+        self.shift = max(map(len, self.texts), default=0) + 2
+        self.overlap = 2 * self.shift + q
         self.automaton = None
         if self.short:
             import ahocorasick
@@ -116,40 +126,45 @@ class Passages:
         at, g = at[good], g[good]
         if not len(at):
             return []
-        found, step = [], max(1, (1 << 22) // max(1, int(self.many.max())))
-        # a chunk ends between texts where it can, so that a band is counted whole
         text_of = np.searchsorted(limits, at, "right") - 1
-        i = 0
+        span = int(np.diff(limits).max()) + int(max(map(len, self.texts))) + 4
+        place, ends = at - limits[text_of], np.cumsum(self.many[g])
+        found, keys, counts, i = [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         while i < len(at):
-            j = min(i + step, len(at))
-            if j < len(at):
-                back = int(np.searchsorted(text_of, text_of[j - 1]))
-                j = back if back > i else int(np.searchsorted(text_of, text_of[j - 1], "right"))
-            found += self._count(at[i:j] - limits[text_of[i:j]], text_of[i:j], g[i:j])
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            keys, counts = merged(keys, counts, *self._counted(place[i:j], text_of[i:j], g[i:j], span))
             i = j
+            # what is surely whole: all texts before the one that the next place lies in
+            whole = len(keys) if i == len(at) else int(np.searchsorted(keys, int(text_of[i]) * len(self.ids) * span))
+            if whole:
+                found += self._met(keys[:whole], counts[:whole], span)
+                keys, counts = keys[whole:], counts[whole:]
         return found
 
-    def _count(self, at: np.ndarray, text: np.ndarray, g: np.ndarray) -> list[tuple[int, int, int]]:
+    def _counted(self, at: np.ndarray, text: np.ndarray, g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of text, passage and half band, and how many of the places' q-grams fall into each."""
         n = self.many[g]
         src = np.repeat(np.arange(len(at)), n)
         post = np.repeat(self.first[g] - (np.cumsum(n) - n), n) + np.arange(len(src))
         item = self.item[post]
-        diagonal = at[src] - self.place[post]
-        width = self.k[item] + 1
-        band = np.floor_divide(diagonal, width)
-        pair = text[src] * len(self.ids) + item
-        # most pairs of text and passage share too few q-grams in all; they are put aside before bands are sorted
-        _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = count[back] >= self.least[item]
-        pair, band, item = pair[enough], band[enough], item[enough]
+        band = np.floor_divide(at[src] - self.place[post], self.k[item] + 1)
+        return np.unique((text[src] * len(self.ids) + item) * span + band + self.shift, return_counts=True)
+
+    def _met(self, keys: np.ndarray, counts: np.ndarray, span: int) -> list[tuple[int, int, int]]:
+        """The (text, passage, band) of two neighbouring half bands that reach the bound."""
+        pair, band = np.divmod(keys, span)
+        cut = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        # most pairs of text and passage share too few q-grams in all
+        total = np.repeat(np.add.reduceat(counts, cut), np.diff(np.append(cut, len(pair))))
+        enough = total >= self.least[pair % len(self.ids)]
+        pair, band, counts = pair[enough], band[enough] - self.shift, counts[enough]
         if not len(pair):
             return []
-        key = np.concatenate((pair, pair)), np.concatenate((band, band - 1))
-        by = np.lexsort((key[1], key[0]))
-        p, b = key[0][by], key[1][by]
+        p, b, n = np.concatenate((pair, pair)), np.concatenate((band, band - 1)), np.concatenate((counts, counts))
+        by = np.lexsort((b, p))
+        p, b, n = p[by], b[by], n[by]
         cut = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (b[1:] != b[:-1]))))
-        count = np.diff(np.append(cut, len(p)))
-        met = count >= self.least[p[cut] % len(self.ids)]
+        met = np.add.reduceat(n, cut) >= self.least[p[cut] % len(self.ids)]
         return [(x // len(self.ids), x % len(self.ids), y) for x, y in zip(p[cut][met].tolist(), b[cut][met].tolist(), strict=True)]
 
     def aligned(self, texts: list[str], places: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
@@ -180,13 +195,19 @@ class Passages:
     def found(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, edits, start, end) for each text and passage with a place in the budget: the best, then the first."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        joined, limits = [], [0]
-        for t in texts:
-            joined += [codes(t), np.array([0xFFFFFFFF], np.uint32)]
-            limits.append(limits[-1] + len(t) + 1)
-        if joined and self.ids:
-            for t, item, got in self.aligned(texts, self.bands(np.concatenate(joined), np.array(limits, np.int64))):
-                best[t, item] = min(best.get((t, item), got), got)
+        if self.ids:
+            parts, source, size = [], [], 0  # segments, and the text and place of each
+            step = max(SEGMENT, 2 * self.overlap)
+            for t, text in enumerate(texts):
+                for a in range(0, max(len(text) - self.overlap, 1), step):
+                    parts.append(text[a : a + step + self.overlap])
+                    source.append((t, a))
+                    size += len(parts[-1])
+                    if size >= TEXT_CHARS:
+                        self._best(parts, source, best)
+                        parts, source, size = [], [], 0
+            if parts:
+                self._best(parts, source, best)
         out = [(t, self.ids[i], *x) for (t, i), x in best.items()]
         if self.automaton:
             for t, text in enumerate(texts):
@@ -198,6 +219,25 @@ class Passages:
                             out.append((t, i, 0, end + 1 - len(p), end + 1))
         return out
 
+    def _best(self, parts: list[str], source: list[tuple[int, int]], best: dict) -> None:
+        joined = np.concatenate([x for p in parts for x in (codes(p), np.array([0xFFFFFFFF], np.uint32))])
+        limits = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))).astype(np.int64)
+        for s, item, (edits, start, end) in self.aligned(parts, self.bands(joined, limits)):
+            t, a = source[s]
+            got = edits, start + a, end + a
+            best[t, item] = min(best.get((t, item), got), got)
+
+
+def merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, more_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of keys with counts as one."""
+    if not len(keys):
+        return more, more_counts
+    keys, counts = np.concatenate((keys, more)), np.concatenate((counts, more_counts))
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[cut], np.add.reduceat(counts, cut)
+
 
 def banded(ps: list[np.ndarray], ts: list[np.ndarray], low: np.ndarray, width: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int] | None]:
     """For each passage and text: the least edits between the passage and any part of the text on the diagonals low to
@@ -242,46 +282,68 @@ def banded(ps: list[np.ndarray], ts: list[np.ndarray], low: np.ndarray, width: n
     return out
 
 
-PAIRS = "doc_id long, item_id long, edits int, start long, end long"
+PAIRS_FOUND = "doc_id long, item_id long, edits int, start long, end long"
 
 
-def blocks(items: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The passages in lists of about block_bytes, one list on the driver at a time."""
-    rows = items.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).where("t is not null")
+def groups_of(items: DataFrame, id_column: str, text_column: str, block_bytes: int, group_bytes: int) -> Iterator[list[list[tuple[int, str]]]]:
+    """The passages in groups of about group_bytes, each a list of blocks of about block_bytes; one group on the driver at a time."""
+    rows = items.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).where("t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = -(-size // block_bytes)
+    n = -(-size // group_bytes)
     for b in range(n):
         mine = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else rows
-        yield [(r["i"], normal(r["t"])) for r in mine.distinct().collect()]
+        group, held = [[]], 0
+        for r in mine.toLocalIterator():
+            if held > block_bytes:
+                group.append([])
+                held = 0
+            group[-1].append((r["i"], normal(r["t"])))
+            held += 64 + len(r["t"].encode())
+        yield group
+
 
+def leaks(df: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", q: int = Q, share: float = BUDGET, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, item_id, edits, start, end): a row for each document and passage that stands in it; places are in normal(text).
 
-def leaks(df: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", q: int = Q, share: float = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, edits, start, end): a row for each document and passage that stands in it; places are in normal(text)."""
-    spark = common.ready(df.sparkSession, 256)
+    Where there is more than one group of passages, each group's pairs are written before the next is sent.
+    """
+    spark = common.ready(df.sparkSession)
     rows = df.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
-    rows, out = common.spread(rows), None
-    for block in blocks(items, item_column, item_text_column, block_bytes):
-        sent = spark.sparkContext.broadcast(Passages(block, q, share))
+    rows, parts, waiting = common.spread(rows), [], None
+    for group in groups_of(items, item_column, item_text_column, block_bytes, group_bytes):
+        if waiting is not None:
+            parts.append(common.kept(waiting, "leaks"))
+        sent = spark.sparkContext.broadcast(group)
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            p = sent.value
-            for b in batches:
-                ids, texts = b.column(0).to_pylist(), [normal(t) for t in b.column(1).to_pylist()]
-                a = 0
-                while a < len(texts):
-                    z, chars = a, 0
-                    while z < len(texts) and (z == a or chars + len(texts[z]) <= TEXT_CHARS):
-                        chars += len(texts[z])
-                        z += 1
-                    got = p.found(texts[a:z])
+            blocks = sent.value
+            built = Passages(blocks[0], q, share) if len(blocks) == 1 else None
+            ids, texts, chars = [], [], 0
+
+            def found() -> Iterator[pa.RecordBatch]:
+                for block in blocks:
+                    got = (built or Passages(block, q, share)).found(texts)
                     if got:
                         t, item, edits, start, end = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[a + x] for x in t], pa.int64()), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "edits", "start", "end"])
-                    a = z
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in t], pa.int64()), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = rows.mapInArrow(task, PAIRS)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], PAIRS)
+            for b in batches:
+                for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    ids.append(i)
+                    texts.append(normal(t.as_py()))
+                    chars += len(texts[-1])
+                    if chars >= (TEXT_CHARS if built else WAITING):
+                        yield from found()
+                        ids, texts, chars = [], [], 0
+            if texts:
+                yield from found()
+
+        waiting = rows.mapInArrow(task, PAIRS_FOUND)
+    if waiting is None:
+        return spark.createDataFrame([], PAIRS_FOUND)
+    for part in parts:
+        waiting = waiting.unionByName(part)
+    return waiting
 
 
 def op9_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
