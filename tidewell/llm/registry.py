@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": warc.OP2_SQL, "op3_secret_trigrams": trigrams.OP3_SQL, "op6_host_rules": hosts.OP6_SQL}
+    return {"op2_warc_index": warc.OP2_SQL, "op3_secret_trigrams": trigrams.OP3_SQL, "op6_host_rules": hosts.OP6_SQL, "op10_rabin_karp_windows": repeats.OP10_SQL}

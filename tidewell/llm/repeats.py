@@ -12,7 +12,8 @@ Two unequal windows share a 64-bit hash with a chance of 2**-64 a pair, which is
 
 Defined cases: a null text has no words; documents with fewer words than a window lose none; a null doc_id comes before
 all others; rows that share a doc_id are documents of their own, told apart by 63 bits of their texts and in the order of these, and
-equal rows are one document, returned as often as it comes; an empty table gives no rows; extra columns are ignored.
+equal rows are one document, returned as often as it comes; a very long text is hashed whole, as a batch of its own; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ class _Batch:
 def dealt(ids: np.ndarray, checks: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Starts of repeated windows as rows of DEALT, one for each bucket that has any of their documents. A row holds its
     documents' ids, checksums and numbers of starts, and the starts."""
-    to = ((ids.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    to = (((ids ^ checks).astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     order = np.lexsort((pos, checks, ids, to))
     to, ids, checks, pos = to[order], ids[order], checks[order], pos[order]
     for b, i, j in _runs(to):
@@ -247,7 +248,8 @@ def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             for k in range(0, len(out), 5000):
                 yield _rows(out[k : k + 5000], FOUND)
 
-    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # a bucket's number is its task's, so that every task has one bucket
+    by_bucket = lambda df: df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     return by_bucket(by_bucket(rows.mapInArrow(hashed, DEALT)).mapInArrow(counted, DEALT)).mapInArrow(together, FOUND)
 
 
@@ -284,15 +286,29 @@ def documents(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.when(many, check).otherwise(F.lit(0).cast("long")).alias("_chk"), "_t")
 
 
+def with_starts(mine: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, _t, starts) of every document; starts is null for one without repeats.
+
+    If the documents with repeats are counted to few, theirs are the only texts that are shuffled, and the others stay where
+    they are read; else all are joined by a shuffle.
+    """
+    ids = found.select(F.col("_id").alias("_i"), F.col("_chk").alias("_c"))
+    if not common.small(ids):
+        return mine.join(found, ["_id", "_chk"], "left").select("doc_id", "_t", "starts")
+    ids, on = F.broadcast(ids), (F.col("_id") == F.col("_i")) & (F.col("_chk") == F.col("_c"))
+    moved = mine.join(ids, on, "left_semi").join(found, ["_id", "_chk"]).select("doc_id", "_t", "starts")
+    return mine.join(ids, on, "left_anti").select("doc_id", "_t", F.lit(None).cast("binary").alias("starts")).unionByName(moved)
+
+
 def without_repeats(df: DataFrame, *, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; with keep_text also text, the kept words joined by spaces."""
-    spark = common.ready(df.sparkSession, 64)
+    spark = common.ready(df.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     mine = documents(df.select(F.col(id_column).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("_t")))
-    found = repeated_windows(common.spread(mine.select("_id", "_chk", "_t")), window, buckets)
-    both = mine.join(found, ["_id", "_chk"], "left").select("doc_id", "_t", "starts")
+    found = common.kept(repeated_windows(common.spread(mine.select("_id", "_chk", "_t")), window, buckets), "starts")
+    both = with_starts(mine, found)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,3 +336,21 @@ def without_repeats(df: DataFrame, *, window: int = WINDOW, id_column: str = "do
 def op10_rabin_karp_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 20 words or more that come earlier."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents)),
+n AS (
+  SELECT doc_id, i, x, string_agg(x, ' ') OVER o AS s, count(*) OVER o AS c
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (
+  SELECT doc_id, i, x, c = 20 AND row_number() OVER (PARTITION BY c = 20, s ORDER BY doc_id NULLS FIRST, i) > 1 AS again FROM n),
+h AS (
+  SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+a AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM h GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN a USING (doc_id)
+"""
