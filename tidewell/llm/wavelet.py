@@ -2,18 +2,19 @@
 
 Documents in ascending order of their ids are encoded with a tokenizers vocabulary; every run of documents of about
 ``SHARD_TOKENS`` tokens becomes one file, a shard. In it the ids stand as a wavelet matrix (Claude, Navarro and Ordóñez
-2015): one plane of bits for each bit of an id, from the highest, every plane ordered by the bits before it. With the
-count of set bits at each 512th place a plane answers rank and select, and so the file answers which id stands at a place,
-how often an id comes before a place, and where its k-th occurrence is, without unpacking the ids. Planes are
-compressed one by one, so a reader loads those that it needs.
+2015): one plane of bits for each bit of an id, from the highest, every plane ordered by the bits before it. The file holds
+with each plane the number of set bits before each 512th place, so a plane answers rank and select, and the file answers which
+id stands at a place, how often an id comes before a place, and where its k-th occurrence is. Planes are compressed in blocks of
+BLOCK bits and everything has a known place, so that one such answer reads a few blocks of each plane and not the file.
 
 Encoding: the vocabulary drops white space, and no token spans it. So of the words (runs without ASCII white space) of
 some megabytes of texts each different one is encoded once by the library, many of them in one text, and the ids of a
 text are those of its words. Words that are not plain letters with plain punctuation behind them, and texts that hold a
 special string or a separator that libraries see differently, are given to the library as they are.
 
-Defined cases: a null text is empty and has the end id alone; null ids come first; rows that repeat an id are ordered by a
-hash of their texts; an empty table gives no shards; extra columns are ignored.
+Defined cases: a null text is empty and has the end id alone; null ids come first; rows without an id or of one id are in the
+order of the table; a very long text is encoded whole and makes a long shard; an empty table gives no shards; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import vocabulary
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 SHARD_TOKENS = 1 << 22
+#: Bits from one stored rank to the next, and bits of a compressed block.
+STEP, BLOCK = 512, 1 << 17
 #: Bytes of texts whose words are encoded together, and words of one text that is given to the library.
 TEXT_BYTES, TOGETHER = 12 << 20, 200
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -46,50 +49,108 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 WHOLE = "<\\||[\x1c-\x1f]|İ"
 
 
-class WaveletMatrix:
-    """A sequence of unsigned integers as bit planes. planes: packed bits, most significant bit of an id first."""
+Read = Callable[[int, int], bytes]
 
-    STEP = 512
 
-    def __init__(self, n: int, planes: list[np.ndarray]) -> None:
-        self.n, self.planes = n, planes
-        self.ranks: list[np.ndarray | None] = [None] * len(planes)
+class Plane:
+    """A plane of bits in a file: ranks before each STEP, places of blocks, blocks. read(start, length) reads bytes of the file."""
 
-    @cached_property
-    def bits(self) -> list[np.ndarray]:
-        return [np.unpackbits(p, count=self.n).view(bool) for p in self.planes]
+    def __init__(self, n: int, ones: int, at: int, read: Read) -> None:
+        self.n, self.total, self.at, self.read = n, ones, at, read
+        self.steps, self.blocks = -(-n // STEP) + 1, -(-n // BLOCK)
+        self.held: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def packed(bits: np.ndarray) -> bytes:
+        data = np.packbits(bits)
+        wide = np.zeros(-(-len(data) // (STEP // 8)) * (STEP // 8), np.uint8)
+        wide[: len(data)] = data
+        ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(wide).reshape(-1, STEP // 8).sum(axis=1, dtype=np.uint32)))).astype("<u4")
+        press = zstandard.ZstdCompressor(level=1).compress
+        blocks = [press(data[i : i + BLOCK // 8].tobytes()) for i in range(0, len(data), BLOCK // 8)]
+        return ranks.tobytes() + np.cumsum([0, *map(len, blocks)]).astype("<u4").tobytes() + b"".join(blocks)
 
     @cached_property
-    def zeros(self) -> list[int]:
-        return [self.n - int(b.sum()) for b in self.bits]
+    def ranks(self) -> np.ndarray:
+        return np.frombuffer(self.read(self.at, 4 * self.steps), "<u4")
+
+    def block(self, b: int) -> np.ndarray:
+        """The bytes of a block; the last few are held."""
+        if (got := self.held.get(b)) is None:
+            at = self.at + 4 * self.steps
+            a, z = np.frombuffer(self.read(at + 4 * b, 8), "<u4").tolist()
+            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.read(at + 4 * (self.blocks + 1) + a, z - a)), np.uint8)
+            while len(self.held) > 3:
+                del self.held[next(iter(self.held))]
+            self.held[b] = got
+        return got
+
+    def bytes(self) -> np.ndarray:
+        """The whole plane, with zeros up to a whole step."""
+        at = self.at + 4 * self.steps
+        ends = np.frombuffer(self.read(at, 4 * (self.blocks + 1)), "<u4").tolist()
+        data, open_ = self.read(at + 4 * (self.blocks + 1), ends[-1]), zstandard.ZstdDecompressor().decompress
+        out = b"".join(open_(data[a:z]) for a, z in zip(ends, ends[1:], strict=False))
+        return np.frombuffer(out + bytes(-len(out) % (STEP // 8)), np.uint8)
+
+    def bit(self, i: int) -> bool:
+        return bool(self.block(i // BLOCK)[i % BLOCK // 8] >> (7 - i % 8) & 1)
+
+    def ones(self, i: int) -> int:
+        """Set bits before place i: the rank at the step before it, and the bits from there."""
+        step, rest = divmod(i, STEP)
+        before = int(self.ranks[step]) if "ranks" in self.__dict__ else int.from_bytes(self.read(self.at + 4 * step, 4), "little")
+        if not rest:
+            return before
+        part = self.block(i // BLOCK)[step * STEP % BLOCK // 8 : (i - 1) % BLOCK // 8 + 1]
+        last = int(part[-1]) >> (-i % 8)
+        return before + int(np.bitwise_count(part[:-1]).sum()) + last.bit_count()
+
+    def ones_at(self, places: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """ones() of many places; data is bytes()."""
+        step, rest = places // STEP, places % STEP
+        rows = np.concatenate((data, np.zeros(STEP // 8, np.uint8))).reshape(-1, STEP // 8)[step]
+        bits = np.clip(rest[:, None] - 8 * np.arange(STEP // 8), 0, 8)
+        return self.ranks[step].astype(np.int64) + np.bitwise_count(rows & (0xFF00 >> bits & 0xFF).astype(np.uint8)).sum(axis=1, dtype=np.int64)
+
+    def select(self, bit: int, k: int) -> int:
+        """The place of the k-th (from 0) bit of this kind."""
+        before = self.ranks.astype(np.int64)
+        if not bit:
+            before = np.minimum(np.arange(self.steps, dtype=np.int64) * STEP, self.n) - before
+        s = int(np.searchsorted(before, k, "right")) - 1
+        part = np.unpackbits(self.block(s * STEP // BLOCK)[s * STEP % BLOCK // 8 :][: STEP // 8])
+        return s * STEP + int(np.flatnonzero(part == bit)[k - int(before[s])])
 
-    @classmethod
-    def of(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
-        width = width or max(1, int(ids.max(initial=0)).bit_length())
+
+class WaveletMatrix:
+    """A sequence of n unsigned integers as planes of bits, the most significant bit of an id first."""
+
+    def __init__(self, n: int, planes: list[Plane]) -> None:
+        self.n, self.planes = n, planes
+
+    @staticmethod
+    def bits_of(ids: np.ndarray) -> list[np.ndarray]:
+        """The planes' bits."""
         seq, planes = ids, []
-        for b in range(width - 1, -1, -1):
+        for b in range(max(1, int(ids.max(initial=0)).bit_length()) - 1, -1, -1):
             bit = (seq & ids.dtype.type(1 << b)) != 0
-            planes.append(np.packbits(bit))
+            planes.append(bit)
             if b:
                 seq = np.concatenate((np.compress(~bit, seq), np.compress(bit, seq)))
-        return cls(len(ids), planes)
+        return planes
 
-    def ones(self, level: int, i: int) -> int:
-        """Set bits before place i of a plane: the count at the step before it, and the bits from there."""
-        if self.ranks[level] is None:
-            steps = np.add.reduceat(self.bits[level], np.arange(0, self.n, self.STEP), dtype=np.int64) if self.n else np.zeros(0, np.int64)
-            self.ranks[level] = np.concatenate(([0], np.cumsum(steps)))
-        s = i // self.STEP
-        return int(self.ranks[level][s]) + int(self.bits[level][s * self.STEP : i].sum())
+    def _bit(self, value: int, level: int) -> int:
+        return value >> (len(self.planes) - 1 - level) & 1
 
     def access(self, i: int) -> int:
         """The id at place i."""
         value = 0
-        for level in range(len(self.planes)):
-            one = bool(self.bits[level][i])
+        for p in self.planes:
+            one = p.bit(i)
             value = value << 1 | one
-            ones = self.ones(level, i)
-            i = self.zeros[level] + ones if one else i - ones
+            ones = p.ones(i)
+            i = self.n - p.total + ones if one else i - ones
         return value
 
     def rank(self, value: int, i: int) -> int:
@@ -97,14 +158,21 @@ class WaveletMatrix:
         if value >> len(self.planes):
             return 0
         low = 0
-        for level in range(len(self.planes)):
-            a, b = self.ones(level, low), self.ones(level, i)
-            if value >> (len(self.planes) - 1 - level) & 1:
-                low, i = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                low, i = low - a, i - b
+        for level, p in enumerate(self.planes):
+            a, b = p.ones(low), p.ones(i)
+            low, i = (self.n - p.total + a, self.n - p.total + b) if self._bit(value, level) else (low - a, i - b)
         return i - low
 
+    def ranks(self, value: int, places: np.ndarray) -> np.ndarray:
+        """rank() of many places, which reads whole planes."""
+        at = np.concatenate(([0], places)).astype(np.int64)
+        if value >> len(self.planes):
+            return np.zeros(len(places), np.int64)
+        for level, p in enumerate(self.planes):
+            ones = p.ones_at(at, self._data[level])
+            at = self.n - p.total + ones if self._bit(value, level) else at - ones
+        return at[1:] - at[0]
+
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
@@ -112,32 +180,28 @@ class WaveletMatrix:
         """The place of the k-th occurrence (from 0) of an id: down to where its occurrences stand together, then back up."""
         if k >= self.count(value):
             raise IndexError(f"{value} comes {self.count(value)} times")
-        low, bits = 0, []
-        for level in range(len(self.planes)):
-            one = value >> (len(self.planes) - 1 - level) & 1
-            a = self.ones(level, low)
-            low = self.zeros[level] + a if one else low - a
-            bits.append(one)
+        low = 0
+        for level, p in enumerate(self.planes):
+            a = p.ones(low)
+            low = self.n - p.total + a if self._bit(value, level) else low - a
         i = low + k
         for level in range(len(self.planes) - 1, -1, -1):
-            i = self._select_bit(level, bits[level], i - self.zeros[level] if bits[level] else i)
+            p, one = self.planes[level], self._bit(value, level)
+            i = p.select(one, i - (self.n - p.total) if one else i)
         return i
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        self.ones(level, 0)
-        before = self.ranks[level] if bit else np.minimum(np.arange(len(self.ranks[level])) * self.STEP, self.n) - self.ranks[level]
-        s = int(np.searchsorted(before, k, "right")) - 1
-        part = self.bits[level][s * self.STEP : (s + 1) * self.STEP]
-        return s * self.STEP + int(np.flatnonzero(part == bool(bit))[k - int(before[s])])
-
     def occurrences(self, value: int) -> list[int]:
         return [self.select(value, k) for k in range(self.count(value))]
 
+    @cached_property
+    def _data(self) -> list[np.ndarray]:
+        return [p.bytes() for p in self.planes]
+
     def decode(self, kind=np.uint32) -> np.ndarray:
         """All ids in order: from the last plane up, each plane says which ids stood on its two sides."""
         seq = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit, z = self.bits[level], self.zeros[level]
+            bit, z = np.unpackbits(self._data[level], count=self.n).view(bool), self.n - self.planes[level].total
             up = np.empty(self.n, kind)
             up[np.flatnonzero(~bit)] = seq[:z]
             up[np.flatnonzero(bit)] = seq[z:] | kind(1 << (len(self.planes) - 1 - level))
@@ -146,28 +210,54 @@ class WaveletMatrix:
 
 
 def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """A shard file: magic, length of the head, head as JSON with each section's length, compressed sections:
-    doc ids, which of them are null, numbers of tokens, planes."""
-    m = WaveletMatrix.of(ids)
+    """A shard file: magic, length of the head, head as JSON, then what the head has the lengths of: doc ids, which of them are
+    null and numbers of tokens, each compressed; planes."""
     press = zstandard.ZstdCompressor(level=1).compress
-    parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), lengths.astype("<u4").tobytes(), *[p.tobytes() for p in m.planes]]
-    parts = [press(p) for p in parts]
-    head = json.dumps({"n": m.n, "docs": len(doc_ids), "planes": len(m.planes), "sections": [len(p) for p in parts]}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
-
-
-def unpacked(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix, doc ids and numbers of tokens of a shard file."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a shard file")
-    (size,) = struct.unpack_from("<I", data, 4)
-    head = json.loads(data[8 : 8 + size])
-    at, parts, open_ = 8 + size, [], zstandard.ZstdDecompressor().decompress
-    for n in head["sections"]:
-        parts.append(open_(data[at : at + n]))
-        at += n
-    ids, null, lengths = np.frombuffer(parts[0], "<i8").tolist(), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], "<u4")
-    return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]]), [None if x else d for d, x in zip(ids, null, strict=True)], lengths
+    docs = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), lengths.astype("<u4").tobytes()]
+    docs, bits = [press(x) for x in docs], WaveletMatrix.bits_of(ids)
+    planes = [Plane.packed(b) for b in bits]
+    head = json.dumps({"n": len(ids), "sections": [len(x) for x in docs], "planes": [len(x) for x in planes], "ones": [int(b.sum()) for b in bits]}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *docs, *planes])
+
+
+class Shard:
+    """A shard file, of which only what is asked for is read."""
+
+    def __init__(self, read: Read) -> None:
+        start = read(0, 8)
+        if start[:4] != MAGIC:
+            raise ValueError("not a shard file")
+        (size,) = struct.unpack_from("<I", start, 4)
+        self.head, self.read, at, planes = json.loads(read(8, size)), read, 8 + size, []
+        self.sections = []
+        for n in self.head["sections"]:
+            self.sections.append((at, n))
+            at += n
+        for n, ones in zip(self.head["planes"], self.head["ones"], strict=True):
+            planes.append(Plane(self.head["n"], ones, at, read))
+            at += n
+        self.matrix = WaveletMatrix(self.head["n"], planes)
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """Ids and numbers of tokens."""
+        ids, null, lengths = (zstandard.ZstdDecompressor().decompress(self.read(*x)) for x in self.sections)
+        return [None if x else d for d, x in zip(np.frombuffer(ids, "<i8").tolist(), null, strict=True)], np.frombuffer(lengths, "<u4")
+
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(lambda start, length: data[start : start + length])
+
+
+def opened(uri: str) -> Shard:
+    """A shard file that is read by places."""
+    fs, path = common.file_system(uri)
+    file = fs.open_input_file(path)
+
+    def read(start: int, length: int) -> bytes:
+        file.seek(start)
+        return file.read(length)
+
+    return Shard(read)
 
 
 def gathered(ids: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -285,10 +375,12 @@ SHARDS = "part int, shard int, file string, docs long, tokens long"
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_column: str = "doc_id", text_column: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards and returns (part, shard, file, docs, tokens): shards in order of part and shard hold the
     documents in ascending order. Files have names of their own from each attempt, so a task may run again."""
-    spark = common.ready(df.sparkSession, 500)
+    spark = common.ready(df.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"))
-    rows = rows.repartitionByRange(parts, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_t"))
+    # the place in the table deals rows of one id, or of none, over several ranges
+    rows = df.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_t"), F.monotonically_increasing_id().alias("_n"))
+    order = [F.col("_id").asc_nulls_first(), F.col("_n")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("_id", "_t")
     sent = spark.sparkContext.broadcast(tokenizer)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +434,10 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_column:
     return rows.mapInArrow(task, SHARDS)
 
 
-def read(shards: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' files. start counts the tokens of all
-    documents before it: of earlier parts (one row a part goes to the driver), of earlier shards, and in the shard."""
+def read(shards: DataFrame, folder: str, end_id: int = 2) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, n_end_ids) of every document, from the shards' files. start counts the tokens of all
+    documents before it: of earlier parts (one row a part goes to the driver), of earlier shards, and in the shard.
+    n_end_ids: how often the end id stands in the document, by rank at its two ends."""
     from pyspark.sql import Window
 
     spark = common.ready(shards.sparkSession)
@@ -360,15 +453,17 @@ def read(shards: DataFrame, folder: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, file, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                m, ids, lengths = unpacked(common.read_file(f"{folder}/{file}"))
+                shard = Shard.of(common.read_file(f"{folder}/{file}"))  # all of it is asked for
+                m, (ids, lengths) = shard.matrix, shard.documents()
                 seq = m.decode(np.uint16 if len(m.planes) <= 16 else np.uint32)
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
+                marks = np.diff(m.ranks(end_id, np.concatenate(([0], ends))))
                 crc = [zlib.crc32(seq[a:z].astype("<u4").tobytes()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [pa.array(ids, pa.int64()), pa.array(starts + at + before[part]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                cols = [pa.array(ids, pa.int64()), pa.array(starts + at + before[part]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(marks)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids"])
 
-    return dealt.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long")
 
 
 END_ID = 2
@@ -379,4 +474,4 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = common.scratch(spark, "wavelet")
     shards = common.kept(write(docs, folder, vocabulary("word_bpe_49k.json").decode(), END_ID), "shards")
-    return read(shards, folder)
+    return read(shards, folder, END_ID)
