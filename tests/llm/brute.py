@@ -69,6 +69,27 @@ def rules(text):
     return (*r, r[0] < 50 or 100 * r[4] > 50 * r[0])
 
 
+def judged(docs, sources):
+    """{doc_id: text} of the documents that their rules and hosts let pass."""
+    m = {d: rules(t) for d, t in docs.items()}
+    fails = {d: (x[0] < 50, 100 * x[4] > 50 * x[0], 100 * x[2] > 20 * x[0]) for d, x in m.items()}
+    n, strict, bad = Counter(sources.values()), set(), set()
+    for r in range(3):
+        k = Counter({h: 0 for h in n} | Counter(sources[d] for d in docs if fails[d][r]))
+        total = sum(n.values())
+        mean = sum(k.values()) / total
+        spread = sum(k[h] ** 2 / n[h] for h in n) / total - mean**2 - mean * (1 - mean) * len(n) / total
+        s = min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 0 else 1e6
+        for h in n:
+            p = (k[h] + mean * s) / (n[h] + s)
+            low = p - 1.96 * (p * (1 - p) / (n[h] + s + 1)) ** 0.5
+            if low > 0.5:
+                bad.add(h)
+            if low > 0.05:
+                strict.add((h, r))
+    return {d: t for d, t in docs.items() if not m[d][5] and sources[d] not in bad and not any(f and (sources[d], r) in strict for r, f in enumerate(fails[d]))}
+
+
 KINDS = [
     ("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidewell.llm import jaccard
+from tidewell.llm import simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -53,23 +53,31 @@ def corpus(copies):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-def test_near_dedup_is_jaccard(spark, monkeypatch):
+def test_near_dedup_is_jaccard(spark):
     docs = corpus(100)
-    monkeypatch.setattr(jaccard, "LARGE", 16)
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, SCHEMA), "")
     assert sorted(r["doc_id"] for r in got.collect()) == survivors(docs)
     assert len(survivors(docs)) < len(docs)
 
 
-def test_prefixes_of_similar_sets_meet():
+def test_tables_reach_the_recall():
+    for n in (10, 10**4, 10**6, 10**9):
+        tables = simhash.tables_for(n)
+        width = len(tables[0])
+        assert 1 - (1 - (1 - simhash.BIT_DIFFERENCE) ** width) ** len(tables) >= simhash.RECALL
+        assert n >> width <= 8
+
+
+def test_wide_prints_differ_as_sets_do():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for n in range(1, 60):
-        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        t = s[: -(-4 * len(s) // 5)]
-        late = np.sort(rng.choice(s, len(s) // 2, replace=False))
-        assert set(jaccard.prefix(s, late).tolist()) & set(jaccard.prefix(t, late).tolist())
+    far = []
+    for _ in range(200):
+        s = rng.integers(0, 1 << 63, 220).astype(np.uint64)
+        a, b = (int.from_bytes(simhash.wide_print(np.unique(x)), "little") for x in (s[:200], s[20:]))  # similarity 180 / 220
+        far.append((a ^ b).bit_count())
+    assert max(far) <= simhash.WIDE_RADIUS and abs(np.mean(far) / 256 - 0.145) < 0.02
 
 
 def test_verdicts_are_by_row(spark, tmp_path):
