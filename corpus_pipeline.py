@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, common, hosts, jaccard, leaks, trigrams
+from tidewell.llm import bpe, common, hosts, leaks, simhash, trigrams
 
 
 def _carried(docs: DataFrame) -> dict:
@@ -27,10 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) one row stays: of the smallest id, nulls last."""
+    """Of each group of near-duplicates one row stays: of the smallest id, nulls last.
+
+    Groups are linked by SimHash fingerprints of five-word shingles in BK-trees, each link verified by a Jaccard similarity of 0.8
+    or more. Rows are told apart by a key of their own, so null and repeated ids are rows like others; texts without words
+    are copies of each other.
+    """
     rows, key = common.keyed(docs, "near")
-    groups = common.kept(jaccard.near_groups(rows, key=key).join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row"), "near")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row")
+    groups = common.kept(simhash.similar_groups(rows, key=key).join(rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")), "row"), "near")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row")
     first = groups.groupBy("root").agg(F.min(place).alias("first"))
     gone = groups.join(first, "root").where("row <> first.row").select("row")
     return common.without_ids(rows, common.kept(gone, "near"), key).drop(key)
@@ -60,7 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("Jaccard near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("secret scans", mask_secrets),
     ("byte-level BPE", encode),
