@@ -1,29 +1,40 @@
-"""SimHash near-duplicates: 64-bit fingerprints, linked within a Hamming radius through BK-trees, joined into groups.
+"""SimHash near-duplicates: fingerprints, linked within a Hamming radius through BK-trees, joined into groups.
 
-1. A fingerprint per document, in Arrow batches.
-2. Distinct fingerprints only, each with its smallest doc_id, so copies cost one row.
+*By fingerprints alone* (``near_duplicates``):
+
+1. A 64-bit fingerprint per document, in Arrow batches.
+2. Distinct fingerprints only, so copies cost one row, and rows without an id count like any other.
 3. Shards: two fingerprints at radius r or less agree on at least b - r of b bit blocks, so each fingerprint goes to one
-   shard for each choice of b - r blocks and no link is lost; b grows with the number of fingerprints. A shard over ``tree_rows`` is split into parts, and each pair of parts is
-   a task of its own: a tree of one part, which the other part's fingerprints search.
+   shard for each choice of b - r blocks and no link is lost; b grows with the number of fingerprints. The fingerprints of
+   shards over ``tree_rows`` are sharded once more, all together, by longer keys; only what is dense even then is split into
+   parts, of which each pair is a task: a tree of one part, which the other part's fingerprints search.
 4. In a task a BK-tree keeps children by their integer distance to the parent; a search follows the edges within the
    radius only. Links are joined at once in a union-find, so a task gives at most one link per fingerprint, never pairs.
 5. Groups: alternating large-star and small-star rounds (Kiveris et al. 2014) until nothing changes. What a round
    makes is written to the shared folder.
 
+*Verified* (``similar_groups``), for a similarity whose fingerprints differ in too many bits for blocks: fingerprints of 256
+bits; each of a number of tables deals them to shards by bits of its own choice, so that a pair of the least similarity meets
+in some table with the chance ``RECALL``; a BK-tree a shard finds those within ``WIDE_RADIUS``; and every link is decided by
+the Jaccard similarity of the two whole shingle sets. Two rounds first hold each document against the roots of its shards'
+trees, so that a large group of copies becomes one component at a cost that grows as its size; then what is still apart is
+compared.
+
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; null doc_ids never
 name a group, and their rows belong to the group that their fingerprint is in (null if no row of it has an id); repeated
-rows stay; an empty table gives no rows; extra columns are ignored.
+rows stay; a very long text is hashed whole; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,26 +45,45 @@ SHINGLE_WORDS = 4
 #: Most fingerprints in one BK-tree.
 TREE_ROWS = 2048
 
+#: What verified groups take: words of a shingle, and the least similarity as a fraction.
+SIMILAR_WORDS, NUM, DEN = 5, 4, 5
+#: 64-bit words of a wide fingerprint, and its radius: pairs of Jaccard 0.8 differ in 0.15 of the bits, on average.
+WIDE, WIDE_RADIUS = 4, 58
+#: The chance with which a pair that differs in BIT_DIFFERENCE of the bits meets in some table.
+RECALL, BIT_DIFFERENCE = 0.99, 0.145
+#: Rounds against the roots of trees, and roots that a document is held against in a round.
+ROUNDS, ROOTS = 2, 4
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
-    """Bit i is set if more than half of the shingle hashes have it."""
+
+def shingle_hashes(text: bytes, words: int) -> tuple[bytes, np.ndarray]:
+    """The words in lower case joined by spaces, and the hashes of all shingles, repeats included."""
     w = text.lower().split()
-    if not w:
-        return 0
     line = b" ".join(w)
+    if not w:
+        return line, np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
     if len(w) <= words:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return line, np.array([digest(line, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(w) - words + 1].tolist()
     stops = (ends[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    count = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65536):
-        part = h[i : i + 65536]
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * count > len(h), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return line, np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> bytes:
+    """The bits that more than half of the rows of h (hashes x 64-bit words) have, little-endian."""
+    wide = h.shape[1] * 8
+    count = np.zeros(8 * wide, np.int64)
+    for i in range(0, len(h), 16384):
+        part = np.ascontiguousarray(h[i : i + 16384]).view(np.uint8).reshape(-1, wide)
+        count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * count > len(h), bitorder="little").tobytes()
+
+
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
+    """Bit i is set if more than half of the shingle hashes have it."""
+    _, h = shingle_hashes(text, words)
+    return int.from_bytes(majority(h.reshape(-1, 1)), "little")
 
 
 def fingerprints(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -173,35 +203,45 @@ def block_keys(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, blocks: int | None = None) -> DataFrame:
-    """(u, v), u > v: links between the nodes of reps (fp, node) that span every group of fingerprints within the radius.
-
-    A shard's rows go to the parts ``fp_hash mod parts``; the task (i, j) gets parts i and j. Parts grow with the shard, so
-    no tree is over about ``tree_rows`` rows however hot its block value is.
-    """
-    keys = block_keys(F.col("fp"), radius, blocks or blocks_for(reps.count(), radius, tree_rows))
-    rows = reps.select("fp", "node", F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").count().where(F.col("count") > tree_rows).select("key", F.ceil(F.col("count") / tree_rows).cast("int").alias("parts"))
-    rows = common.join_small_or_salted(rows, common.kept(sizes, "shards"), "key", "fp").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    spread = rows.withColumn("own", own).select("fp", "node", "key", "own", F.explode(tasks).alias("t")).select("fp", "node", "key", "own", "t.i", "t.j")
-    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def searched(dealt: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """(u, v) from rows (fp, node, *keys, side) of which those of equal keys are a tree and its searchers."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for t in common.groups(batches, ["key", "i", "j"]):
+        for t in common.groups(batches, keys):
             if t.num_rows > 1:
-                own, j = t["own"].to_numpy(), t["j"].to_numpy()
-                side = ((own == j) & (t["i"].to_numpy() != j)).astype(np.int8)
-                found += tree_links(t["fp"].to_numpy(), t["node"].to_numpy(), side, radius)
+                found += tree_links(t["fp"].to_numpy(), t["node"].to_numpy(), t["side"].to_numpy(), radius)
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
                 found = []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
-    return dealt.mapInArrow(search, "u long, v long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long")
+
+
+def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, blocks: int | None = None) -> DataFrame:
+    """(u, v), u > v: links between the nodes of reps (fp, node; written) that span every group of fingerprints within the radius.
+
+    Fingerprints of shards over ``tree_rows`` rows are dealt again by keys of most blocks, which hold half of all bits and more. A
+    shard that is over the limit even then goes to parts ``fp_hash mod parts``; the task (i, j) gets parts i and j.
+    """
+    most = 2 * radius + 2
+    blocks = blocks or blocks_for(reps.count(), radius, tree_rows)
+    rows = reps.select("fp", "node", F.explode(block_keys(F.col("fp"), radius, blocks)).alias("key"))
+    sizes = common.kept(rows.groupBy("key").count().where(F.col("count") > tree_rows).select("key", F.ceil(F.col("count") / tree_rows).cast("int").alias("parts")), "shards")
+    if not sizes.head(1):
+        return searched(rows.withColumn("side", F.lit(0).cast("byte")), ["key"], radius).distinct()
+    rows = common.join_small_or_salted(rows, sizes, "key", "fp")
+    cold = searched(rows.where("parts is null").select("fp", "node", "key", F.lit(0).cast("byte").alias("side")), ["key"], radius)
+    rows = rows.where("parts is not null")
+    if blocks < most:
+        hot = common.kept(rows.select("fp", "node").distinct(), "hot")
+        return cold.unionByName(links(hot, radius, tree_rows, most)).distinct()
+    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    split = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("fp", "node", "key", "own", F.explode(tasks).alias("t"))
+    side = ((F.col("own") == F.col("t.j")) & (F.col("t.i") != F.col("t.j"))).cast("byte")
+    return cold.unionByName(searched(split.select("fp", "node", "key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), side.alias("side")), ["key", "i", "j"], radius)).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -228,13 +268,229 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """(id_column, fp, component_id) for each row: component_id is the smallest id in its group of near-duplicates."""
+    """(id_column, fp, component_id) for each row: component_id is the smallest id in its group of near-duplicates.
+
+    The nodes are the fingerprints themselves, so that those of rows without an id link others too.
+    """
     fps = common.kept(fingerprints(df, id_column=id_column, text_column=text_column, words=words), "fps")
-    reps = common.kept(fps.groupBy("fp").agg(F.min(id_column).cast("long").alias("node")), "reps")
-    named = reps.where("node is not null")
-    roots = components(links(named, radius, tree_rows))
-    labels = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(labels, "fp").select(id_column, "fp", "component_id")
+    reps = common.kept(fps.groupBy("fp").agg(F.min(id_column).cast("long").alias("least")).withColumn("node", F.col("fp")), "reps")
+    roots = components(links(reps, radius, tree_rows))
+    rooted = reps.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    rooted = common.kept(rooted, "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = common.kept(rooted.join(names, "root").select("fp", "component_id"), "labels")
+    return common.join_small_or_salted(fps, labels, "fp", id_column).select(id_column, "fp", "component_id")
+
+
+# groups verified by Jaccard similarity
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    """A fingerprint of WIDE words from the distinct hashes of a text's shingles."""
+    out = np.empty((len(hashes), WIDE), np.uint64)
+    for k in range(WIDE):
+        x = hashes * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        out[:, k] = x ^ (x >> np.uint64(29))
+    return majority(out)
+
+
+def wide_prints(texts: DataFrame, words: int) -> DataFrame:
+    """(row, digest, fp): a 128-bit digest of the words and the wide fingerprint, from (row, _t as binary)."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, fps = [], []
+            for t in b.column(1):
+                line, h = shingle_hashes(t.as_py(), words)
+                digests.append(xxhash.xxh3_128_digest(line))
+                fps.append(wide_print(np.unique(h)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.binary())], names=["row", "digest", "fp"])
+
+    return common.spread(texts).mapInArrow(take, "row long, digest binary, fp binary")
+
+
+def tables_for(n: int) -> list[np.ndarray]:
+    """For n fingerprints the bits that each table's key takes: so many that a shard of bits without bias has about four rows, and
+    so many tables that RECALL holds. As n grows, the number of tables grows about as its fourth root."""
+    width = min(60, max(4, math.ceil(math.log2(max(n, 1))) - 2))
+    meet = (1 - BIT_DIFFERENCE) ** width
+    count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(64 * WIDE, width, replace=False)) for _ in range(count)]
+
+
+def table_keys(nodes: DataFrame) -> DataFrame:
+    """(key, row, comp, fp) for each table and each of nodes (row, comp, fp)."""
+    tables = tables_for(nodes.count())
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, 8 * WIDE)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                for k, choice in enumerate(tables):
+                    key = bits[:, choice].astype(np.int64) @ (np.int64(1) << np.arange(len(choice), dtype=np.int64))
+                    key = key * np.int64(len(tables)) + k if len(choice) < 50 else key ^ np.int64(k * 0x9E3779B97F4A7C15 % 2**63)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], names=["key", "row", "comp", "fp"])
+
+    return nodes.mapInArrow(take, "key long, row long, comp long, fp binary")
+
+
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, components, fingerprints, starts) of the runs of equal keys in a sorted partition that have documents of two
+    components or more; many whole runs at once, starts with the end behind them."""
+    tail: pa.Table | None = None
+
+    def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        key, row, comp = (table[c].to_numpy() for c in ("key", "row", "comp"))
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        sizes = np.diff(np.append(starts, len(key)))
+        keep = np.flatnonzero(np.repeat(mixed, sizes))
+        fps = np.frombuffer(b"".join(table["fp"].take(pa.array(keep)).to_pylist()), np.uint64).reshape(-1, WIDE)
+        return row[keep], comp[keep], fps, np.concatenate(([0], np.cumsum(sizes[mixed])))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b])
+        table = pa.concat_tables([tail, table]) if tail is not None else table
+        key = table["key"].to_numpy()
+        at = int(np.searchsorted(key, key[-1]))
+        if at:
+            yield cut(table.slice(0, at))
+        tail = table.slice(at)
+    if tail is not None:
+        yield cut(tail)
+
+
+def with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(key, row, fp): of each shard the documents that have another within the radius. Those near the root of the shard's
+    BK-tree have one; only the others search the tree."""
+    keys = 0
+    for rows, _, fps, starts in shards(batches):
+        if len(starts) < 2:
+            continue
+        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        first = starts[:-1][run]
+        hit = np.bitwise_count(fps ^ fps[first]).sum(axis=1) <= radius
+        several = np.add.reduceat(hit, starts[:-1]) > 1
+        hit &= several[run]
+        lone = ~hit
+        lone[starts[:-1]] |= ~several
+        todo = np.unique(run[lone])
+        values = fps.view(f"S{8 * WIDE}").ravel()
+        for r in todo.tolist():
+            i, j = int(starts[r]), int(starts[r + 1])
+            own = [int.from_bytes(x, "little") for x in values[i:j].tolist()]
+            tree, places = BKTree(), []
+            for k, x in enumerate(own):
+                if tree.add(x) == len(places):
+                    places.append(i + k)
+            for k in np.flatnonzero(lone[i:j]).tolist():
+                near = tree.within(own[k], radius)
+                if len(near) > 1 or places[near[0]] != i + k:
+                    hit[i + k] = True
+                    hit[[places[p] for p in near]] = True
+        keep = np.flatnonzero(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(run[keep] + keys), pa.array(rows[keep]), pa.array([x.ljust(8 * WIDE, b"\0") for x in values[keep].tolist()], pa.binary())], names=["key", "row", "fp"])
+        keys += len(starts)
+
+
+def root_candidates(batches: Iterator[pa.RecordBatch], radius: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): a is the root of a shard's BK-tree, b a document of the shard that is of another component and within the radius.
+
+    The least hash is the root, so that shards of the same documents have the same root.
+    """
+    for rows, comps, fps, starts in shards(batches):
+        if len(starts) < 2:
+            continue
+        lot = (rows.astype(np.uint64) + np.uint64(seed << 40)) * np.uint64(0x9E3779B97F4A7C15)
+        lot = (lot ^ (lot >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        root = np.lexsort((lot, run))[starts[:-1]][run]
+        near = np.bitwise_count(fps ^ fps[root]).sum(axis=1) <= radius
+        ok = near & (comps != comps[root])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[root[ok]]), pa.array(rows[ok])], names=["a", "b"])
+
+
+def tree_candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b: documents of one shard and different components within the radius, found in the shard's BK-tree."""
+    for rows, comps, fps, starts in shards(batches):
+        a, b = [], []
+        rows, comps, values, starts = rows.tolist(), comps.tolist(), [int.from_bytes(x, "little") for x in fps.view(f"S{8 * WIDE}").ravel().tolist()], starts.tolist()
+        for i, j in zip(starts, starts[1:], strict=False):
+            tree, held = BKTree(), []
+            for k in range(i, j):
+                for p in tree.within(values[k], radius):
+                    for other in held[p]:
+                        if comps[other] != comps[k]:
+                            a.append(min(rows[other], rows[k]))
+                            b.append(max(rows[other], rows[k]))
+                at = tree.add(values[k])
+                if at == len(held):
+                    held.append([k])
+                else:
+                    held[at].append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def enough(shared: int, n: int, m: int) -> bool:
+    """Whether sets of n and m elements with so many in common have the similarity."""
+    return shared * (NUM + DEN) >= NUM * (n + m)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(u, v), u > v: the written pairs (a, b) whose whole shingle sets have the similarity, written."""
+    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), words)[1]).tobytes() for t in b.column(1)], pa.binary())], names=["row", "s"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate((s, t)))
+                ok.append(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(s), len(t)))
+            u, v = (b.column(k).to_numpy()[np.array(ok, bool)] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    few = texts.join(F.broadcast(rows), "row", "left_semi") if common.small(rows) else texts.join(rows, "row", "left_semi")
+    sets = common.kept(few.mapInArrow(take, "row long, s binary"), "sets")
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    return common.kept(both.mapInArrow(decide, "u long, v long"), "links")
+
+
+def similar_groups(df: DataFrame, *, key: str, text_column: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
+    """(row, digest, root) for each row of df, whose key is unique and written: digest tells texts of equal words, root the group."""
+    spark = common.ready(df.sparkSession)
+    texts = df.select(F.col(key).alias("row"), F.encode(F.coalesce(F.col(text_column), F.lit("")), "UTF-8").alias("_t"))
+    every = common.kept(wide_prints(texts, words), "prints")
+    nodes = common.kept(every.groupBy("digest").agg(F.min(F.struct("row", "fp")).alias("x")).select("digest", "x.row", "x.fp"), "nodes")
+    dealt = table_keys(nodes.select("row", F.col("row").alias("comp"), "fp")).repartition("key").sortWithinPartitions("key")
+    near = dealt.mapInArrow(lambda b: with_neighbours(b, WIDE_RADIUS), "key long, row long, fp binary")
+    shared = common.kept(near.select(F.struct(F.spark_partition_id().alias("part"), "key").alias("key"), "row", "fp").select(F.xxhash64("key").alias("key"), "row", "fp"), "shared")
+    links_, roots = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, root long")
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        now = shared.join(roots, shared["row"] == roots["node"], "left").select("key", "row", F.coalesce("root", "row").alias("comp"), "fp")
+        found = (lambda b: tree_candidates(b, WIDE_RADIUS)) if last else (lambda b, turn=turn: root_candidates(b, WIDE_RADIUS, turn))
+        pairs = now.repartition("key").sortWithinPartitions("key").mapInArrow(found, "a long, b long").groupBy("a", "b").count()
+        if not last:
+            best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+            pairs = pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= ROOTS)
+        new = similar(common.kept(pairs.select("a", "b"), "pairs"), texts, words)
+        if new.head(1):
+            links_ = links_.unionByName(new)
+            roots = common.kept(components(links_.distinct()), "roots")
+    labels = nodes.join(roots, nodes["row"] == roots["node"], "left").select("digest", F.coalesce("root", "row").alias("root"))
+    return common.join_small_or_salted(every.select("row", "digest"), common.kept(labels, "labels"), "digest", "row").select("row", "digest", "root")
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
