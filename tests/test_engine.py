@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import keyed
 from tidewell.operators import engine, sampling
 from tidewell.plans.policy import Flags
 from tidewell.plans.query import Query
@@ -36,7 +37,7 @@ def test_updates_equal_new_draws(spark, tmp_path):
     new = sampling.uniform(frame(spark, 1400), 1400, u.rows, 42, ["id"])
     assert sorted(t.store.read(u.at).collect()) == sorted(new.select(t.store.read(u.at).columns).collect())
     assert t.base().count() == 1400
-    assert sorted(x.name for x in (tmp_path / "a" / "stats").iterdir()) == ["v1", "v2"]
+    assert sorted(x.name for x in (tmp_path / "a" / "groups" / "g").iterdir()) == ["v1", "v2"]
 
 
 def test_a_batch_again_is_no_work(spark, tmp_path):
@@ -81,6 +82,7 @@ def test_answers_and_statements(spark, tmp_path):
     got = t.approximate(q).join(q.exact({"t": t.base()}).withColumnRenamed("sum", "exact"), "g")
     assert got.where("abs(sum - exact) <= 2 * sum_err").count() == 7
     assert engine.audit(t, q, t.samples()[1]).count() == 7
+    assert t.listed().count() == 2 and t.stats().count() == 1
     assert len(t.sql("CREATE 20% SAMPLE OF t", default_column="g")) == 2
     assert t.sql("DROP 20% UNIFORM SAMPLES OF t") == 1
     assert t.sql("SELECT count(*) FROM t").first()[0] == 1000
@@ -102,12 +104,81 @@ def test_stream_equals_batches(spark, tmp_path):
         next((tmp_path / f"part{i}").glob("part-*.csv")).rename(inbox / f"{i}.csv")
     t = make(spark, tmp_path / "a")
     for _ in range(2):  # the second finds nothing new
-        ingest.into(ingest.file_batches(spark, str(inbox), SCHEMA), t, str(tmp_path / "ck"), first_id=1).awaitTermination()
+        ingest.into(ingest.file_batches(spark, str(inbox), SCHEMA), t, str(tmp_path / "ck")).awaitTermination()
     assert t.state()["batch"] == 3 and t.state()["rows"] == 1600
     u = next(x for x in t.samples() if x.kind == "uniform")
     assert t.store.read(u.at).select("id").exceptAll(sampling.uniform(frame(spark, 1600), 1600, u.rows, 42, ["id"]).select("id")).count() == 0
 
 
+def test_samples_keep_their_size(spark, tmp_path):
+    """Ten batches that each bring a new stratum: the targets stay, and so do the sizes, within what one cap more or less makes."""
+    t = make(spark, tmp_path / "a", relative=10.0)
+    first = {x.id: x.rows for x in t.samples()}
+    for i in range(1, 11):
+        t.receive(spark.range(1000 + 100 * i, 1100 + 100 * i).select("id", F.lit(6 + i).cast("long").alias("g"), F.lit(1.0).alias("y")), i)
+    now = {x.id: x for x in t.samples()}
+    assert {x.target for x in now.values()} == {100}
+    for x in now.values():
+        assert x.rows == first[x.id] if x.kind == "uniform" else x.rows > 100 - 17 or x.rows == 170  # ten rows of each stratum at least
+    assert t.sql("DROP 10% UNIFORM SAMPLES OF t") == 1 and t.sql("DROP 10% STRATIFIED SAMPLES OF t") == 1
+    assert t.state()["groups"] == {} and not (tmp_path / "a" / "groups" / "g").exists()
+
+
+def test_a_crash_keeps_the_last_state(spark, tmp_path, monkeypatch):
+    """A run that dies between writing the new pointer and renaming it, or before, leaves the old state; the batch can come again."""
+    t = make(spark, tmp_path / "a")
+    before, store = t.state(), t.store
+    path = type(store)._path
+
+    class Dying:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, *a):
+            raise OSError("died")
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(type(store), "_path", lambda self, at: (Dying(path(self, at)[0]), path(self, at)[1]) if at.endswith(".part") else path(self, at))
+    with pytest.raises(OSError):
+        t.receive(frame(spark, 200, 1000), 1)
+    monkeypatch.undo()
+    again = engine.SampledTable(spark, str(tmp_path / "a"), "t", settings())
+    assert again.state() == before and again.base().count() == 1000
+    again.receive(frame(spark, 200, 1000), 1)
+    assert again.base().count() == 1200 and again.state()["rows"] == 1200
+
+
+def test_sources_count_for_themselves(spark, tmp_path):
+    t = make(spark, tmp_path / "a")
+    t.receive(frame(spark, 2, 1000), 0, "stream")
+    assert t.state()["rows"] == 1002
+    assert t.receive(frame(spark, 2, 1000), 0, "stream") == {"batch.skipped": True}
+    assert t.receive(frame(spark, 2, 1000), 0) == {"batch.skipped": True}
+
+
+def test_files_by_name(spark, tmp_path):
+    """In the order of names, not of times; a second call goes on."""
+    (tmp_path / "in").mkdir()
+    for name, i in (("b", 1100), ("a", 1000), ("c", 1200)):
+        (tmp_path / "in" / f"{name}.csv").write_text("".join(f"{k},1,1.0\n" for k in range(i, i + 10)))
+    t = make(spark, tmp_path / "a")
+    folder = str(tmp_path / "in")
+    assert [r["batch.rows"] for r in ingest.by_name(t, folder, SCHEMA, files=2, most=1)] == [20]
+    assert t.base().where("id >= 1200").count() == 0
+    assert [r["batch.rows"] for r in ingest.by_name(t, folder, SCHEMA, files=2)] == [10]
+    assert ingest.by_name(t, folder, SCHEMA) == [] and t.state()["rows"] == 1030
+
+
+def test_fast_draws(spark, tmp_path):
+    t = make(spark, tmp_path / "a", fast=True)
+    t.receive(frame(spark, 200, 1000), 1)
+    u = next(x for x in t.samples() if x.kind == "uniform")
+    new = sampling.uniform(frame(spark, 1200), 1200, u.rows, keyed.Fast(42), ["id"])
+    assert sorted(t.store.read(u.at).collect()) == sorted(new.select(t.store.read(u.at).columns).collect())
+
+
 def test_socket_lines(spark, tmp_path):
     s = socket.create_server(("127.0.0.1", 0))
 

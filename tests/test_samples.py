@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import sizing
+from tidewell.functions import keyed, sizing
 from tidewell.operators import evaluate, profile, sampling
 from tidewell.plans import aqp
 from tidewell.plans.query import Query
@@ -19,7 +19,27 @@ def ids(df):
 
 @pytest.mark.parametrize("k", [0, 1, 37, 999, 1000, 5000])
 def test_bottom_k_has_k_rows(spark, k):
-    assert len(ids(sampling.bottom_k(frame(spark, 1000), k, 1, ["id"]))) == min(k, 1000)
+    """With the number of rows told, rightly or wrongly, or not: the same rows."""
+    df = frame(spark, 1000)
+    by = [r[0] for r in df.orderBy(keyed.unit(1, ["id"]), "id").limit(k).collect()]
+    for rows in (None, 1000, 10, 100_000):
+        assert ids(sampling.bottom_k(df, k, 1, ["id"], rows)) == sorted(by)
+
+
+def test_bottom_k_of_one_key(spark):
+    df = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") % 7).alias("j"))
+    for rows in (None, 500):
+        assert sampling.bottom_k(df.where("j < 3"), 1000, 1, ["k"], rows).count() == df.where("j < 3").count()
+        assert sampling.bottom_k(df, 3, 1, ["k", "j"], rows).count() >= 3
+
+
+def test_profile_of_nulls(spark):
+    """A base of 1 and null, a batch of 3: by the values that are there, on the driver as in frames."""
+    base, batch = spark.createDataFrame([(1.0,), (None,)], "x double"), spark.createDataFrame([(3.0,)], "x double")
+    got = profile.refreshed(profile.profile(base, ["x"]), batch).first().asDict()
+    assert (got["d"], got["filled"], got["avg"], got["s2"], got["sum"]) == (3, 2, 2.0, 1.0, 4.0)
+    rows = profile.merged_rows([r.asDict() for r in profile.profile(base, ["x"]).collect()], [r.asDict() for r in profile.moments(batch, ["x"]).collect()])
+    assert rows[0] == got
 
 
 def test_bottom_k_merges(spark):
@@ -92,7 +112,7 @@ def test_profile_edges(spark):
     stats = profile.profile(df, ["a", "b", "c"])
     got = {r["column_name"]: r["n"] for r in profile.required(stats).collect()}
     assert got["a"] == 2.0 and got["b"] == 0.0
-    assert sorted(profile.refreshed(stats, df.limit(0)).collect()) == sorted(stats.select("column_name", "d", "s2", "avg", "sum", "e").collect())
+    assert sorted(profile.refreshed(stats, df.limit(0)).collect()) == sorted(stats.select("column_name", "d", "filled", "s2", "avg", "sum", "e").collect())
     assert profile.need(profile.profile(df.limit(0), ["a"])) == 0
 
 

@@ -26,6 +26,10 @@ class Sample:
     base_rows: int
     at: str = ""
     attenuation: float = 1.0
+    #: Ratio by which it was created, which names it in statements, and the rows that updates keep it at; both last while
+    #: ratio and rows follow the table.
+    declared: float = 0.0
+    target: int = 0
 
     def dict(self) -> dict:
         return asdict(self)

@@ -6,10 +6,12 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import keyed
 from ..plans import aqp, policy
 from ..plans.query import Query
-from . import ddl, profile, sampling
+from . import catalog, ddl, profile, sampling
 from .catalog import Sample
 from .store import Store
 
@@ -17,7 +19,8 @@ from .store import Store
 @dataclass
 class Settings:
     """relative or absolute error bound, confidence factor, columns to profile (all numeric ones if none), what an update and
-    a new draw do (reservoir or incremental; bottom or bernoulli), over-provision of new draws, seed and row key."""
+    a new draw do (reservoir or incremental; bottom or bernoulli), over-provision of new draws, seed and row key. fast takes
+    Spark's own hash for the draws instead of MD5, which other engines can check."""
 
     keys: list[str]
     relative: float = 0.1
@@ -27,9 +30,14 @@ class Settings:
     update: str = "reservoir"
     resample: str = "bottom"
     overflow: float = 1.01
-    seed: int = 42
+    seed: int | str = 42
+    fast: bool = False
     flags: policy.Flags = field(default_factory=policy.Flags)
 
+    def __post_init__(self) -> None:
+        if self.fast:
+            self.seed = keyed.Fast(self.seed)
+
 
 class SampledTable:
     """State is in the store alone, so a new object on the same root goes on where the last one ended."""
@@ -41,7 +49,8 @@ class SampledTable:
     # state
 
     def state(self) -> dict:
-        return self.store.state() or {"batch": -1, "rows": 0, "batches": [], "stats": None, "samples": [], "groups": {}, "next": 0}
+        """batch: the last batch's number; seen: the last id of each source; stats: the profile's rows."""
+        return self.store.state() or {"batch": -1, "seen": {}, "rows": 0, "batches": [], "stats": [], "samples": [], "groups": {}, "next": 0}
 
     def base(self, state: dict | None = None) -> DataFrame:
         """The whole table: its batches' folders."""
@@ -52,75 +61,82 @@ class SampledTable:
         return [Sample(**x) for x in (state or self.state())["samples"]]
 
     def stats(self) -> DataFrame:
-        return self.store.read(self.state()["stats"])
+        return self.spark.createDataFrame([tuple(r[c] for c in ("column_name", "d", "filled", "s2", "avg", "sum", "e")) for r in self.state()["stats"]], profile.STATS)
 
     # batches
 
-    def receive(self, batch: DataFrame, batch_id: int) -> dict:
-        """Takes in a batch and keeps up every sample; returns a report with dotted keys. A batch that came before is no work.
+    def receive(self, batch: DataFrame, batch_id: int | str, source: str = "") -> dict:
+        """Takes in a batch and keeps up every sample; returns a report with dotted keys.
 
-        An update reads the batch and the sample, never the table; only a new draw reads the table.
+        Ids of a source grow; a batch that came before from the same source is no work. Sources (a stream's checkpoint, a folder)
+        count for themselves. An update reads the batch and the sample, never the table; only a new draw reads the table.
         """
         s = self.state()
-        if batch_id <= s["batch"]:
+        if source in s["seen"] and batch_id <= s["seen"][source]:
             return {"batch.skipped": True}
         report: dict[str, float | int | str] = {}
-        began = time.time()
-        at = self.store.write(batch, "base", f"{batch_id}")
+        number, began = s["batch"] + 1, time.time()
+        at, n = self.store.write_counted(batch, "base", f"{number}")
         batch = self.store.read(at)
-        n = batch.count()
         report |= {"batch.rows": n, "table.rows": s["rows"] + n, "cost.ingest": time.time() - began}
         began = time.time()
-        columns = profile.numeric(batch, self.set.columns)
-        old = self.store.read(s["stats"]) if s["stats"] else None
-        new = profile.refreshed(old, batch, relative=self.set.relative) if old is not None else profile.profile(batch, columns, self.set.relative, self.set.absolute)
-        stats_at = self.store.write(new, "stats", f"{batch_id}")
-        stats = self.store.read(stats_at)
-        for r in stats.select("column_name", "s2", "e").collect():
+        if s["stats"]:
+            new = profile.moments(batch, [r["column_name"] for r in s["stats"]]).collect()
+            stats = profile.merged_rows(s["stats"], [r.asDict() for r in new])
+        else:
+            stats = [r.asDict() for r in profile.profile(batch, profile.numeric(batch, self.set.columns), self.set.relative, self.set.absolute).collect()]
+        for r in stats:
             report |= {f"table.variance.{r['column_name']}": r["s2"], f"error-bound.{r['column_name']}": r["e"]}
         report["cost.profile"] = time.time() - began
         before, groups = s["rows"], dict(s["groups"])
-        gone, replaced = s.get("replaced", []), [x for x in (s["stats"], *groups.values(), *(x["at"] for x in s["samples"])) if x]
-        s = s | {"batch": batch_id, "rows": before + n, "batches": [*s["batches"], at], "stats": stats_at}
-        for column, where in groups.items():
-            merged = sampling.merged_sizes(self.store.read(where), sampling.group_sizes(batch, column), column)
-            groups[column] = self.store.write(merged, f"groups/{column}", f"{batch_id}")
+        gone, replaced = s.get("replaced", []), [x for x in (*groups.values(), *(x["at"] for x in s["samples"])) if x]
+        s = s | {"batch": number, "seen": s["seen"] | {source: batch_id}, "rows": before + n, "batches": [*s["batches"], at], "stats": stats}
+        if n:
+            for column, where in groups.items():
+                merged = sampling.merged_sizes(self.store.read(where), sampling.group_sizes(batch, column), column)
+                groups[column] = self.store.write(merged, f"groups/{column}", f"{number}")
         s["groups"] = groups
         if s["samples"] and n and not self.set.flags.skip:
-            need = profile.need(stats, self.set.z)
+            need = profile.need_of(stats, self.set.z)
             s["samples"] = [self._kept_up(x, s, batch, before, n, need, report).dict() for x in self.samples(s)]
-        now = {s["stats"], *s["groups"].values(), *(x["at"] for x in s["samples"])}
+        now = {*s["groups"].values(), *(x["at"] for x in s["samples"])}
         self.store.switch(s | {"replaced": [x for x in replaced if x not in now]})
         for x in gone:  # what the batch before this one replaced; readers of the last state still find theirs
             self.store.drop(x)
         return report
 
     def _kept_up(self, x: Sample, s: dict, batch: DataFrame, before: int, n: int, need: int, report: dict) -> Sample:
-        p, began = self.set, time.time()
+        p, began, target = self.set, time.time(), x.target
         d = policy.decide(need, x.rows, before + n, n, x.ratio, policy.State(x.attenuation), p.flags, p.overflow)
         data, cap_sizes = self.store.read(x.at), self.store.read(s["groups"][x.column]) if x.column else None
         if d.action is policy.Action.RESAMPLE:
+            target = self._target(s, d.ratio)
             new = self._drawn(self.base(s), s, x.kind, x.column, d.ratio)
         elif d.action is policy.Action.ADAPTIVE:
             k = sampling.find_x(need, x.rows, d.m, f"{p.seed}/{s['batch']}")
             report[f"adaptive.X.{x.id}"] = k
+            target = need
             if x.column:
                 new = sampling.stratified_adaptive(data, batch, x.column, cap_sizes, k, need, p.seed, p.keys)
             else:
                 new = sampling.uniform_adaptive(data, batch, need, k, before, n, p.seed, p.keys)
         elif p.update == "incremental":
-            new = sampling.stratified_incremental(data, batch, x.column, x.ratio, n, p.seed, p.keys) if x.column else sampling.uniform_incremental(data, batch, x.ratio, p.seed, p.keys)
+            new = sampling.stratified_incremental(data, batch, x.column, x.ratio * n, p.seed, p.keys) if x.column else sampling.uniform_incremental(data, batch, x.ratio, p.seed, p.keys)
         elif x.column:
-            new = sampling.stratified_update(data, batch, x.column, cap_sizes, sampling.cap_value(cap_sizes, x.rows), p.seed, p.keys)
+            new = sampling.stratified_update(data, batch, x.column, cap_sizes, sampling.cap_value(cap_sizes, target), p.seed, p.keys)
         else:
-            new = sampling.uniform_update(data, batch, x.rows, before, n, p.seed, p.keys)
-        at = self.store.write(new, f"samples/{x.id}", f"{s['batch']}")
-        rows = self.store.read(at).count()  # what was written
+            new = sampling.uniform_update(data, batch, target, before, n, p.seed, p.keys)
+        at, rows = self.store.write_counted(new, f"samples/{x.id}", f"{s['batch']}")
+        if d.action is policy.Action.UPDATE and p.update == "incremental":
+            target = rows
         report |= {f"sampling.action.{x.id}": d.action.value, f"sampling.count.{x.id}": rows, f"sampling.cost.{x.id}": time.time() - began, f"sample.need.{x.id}": need}
-        return Sample(**x.dict() | {"rows": rows, "base_rows": before + n, "ratio": rows / max(before + n, 1), "at": at, "attenuation": d.state.attenuation})
+        return Sample(**x.dict() | {"rows": rows, "base_rows": before + n, "ratio": rows / max(before + n, 1), "at": at, "attenuation": d.state.attenuation, "target": target})
+
+    def _target(self, s: dict, ratio: float) -> int:
+        return max(1, round(ratio * s["rows"]))
 
     def _drawn(self, base: DataFrame, s: dict, kind: str, column: str | None, ratio: float) -> DataFrame:
-        p, k = self.set, max(1, round(ratio * s["rows"]))
+        p, k = self.set, self._target(s, ratio)
         if kind == "uniform":
             return sampling.uniform_ratio(base, ratio, p.seed, p.keys) if p.resample == "bernoulli" else sampling.uniform(base, s["rows"], k, p.seed, p.keys)
         sizes = self.store.read(s["groups"][column])
@@ -135,21 +151,48 @@ class SampledTable:
         if kind == "stratified" and column not in s["groups"]:
             s["groups"] = s["groups"] | {column: self.store.write(sampling.group_sizes(self.base(s), column), f"groups/{column}", f"{s['batch']}")}
         id_ = f"vs_{self.table}_{kind}_{column or 'all'}_{s['next']}"
-        at = self.store.write(self._drawn(self.base(s), s, kind, column, ratio), f"samples/{id_}", f"{s['batch']}")
-        rows = self.store.read(at).count()
-        x = Sample(id_, self.schema, self.table, kind, ratio, column, rows, s["rows"], at)
+        at, rows = self.store.write_counted(self._drawn(self.base(s), s, kind, column, ratio), f"samples/{id_}", f"{s['batch']}")
+        x = Sample(id_, self.schema, self.table, kind, ratio, column, rows, s["rows"], at, declared=ratio, target=self._target(s, ratio))
         self.store.switch(s | {"samples": [*s["samples"], x.dict()], "next": s["next"] + 1})
         return x
 
     def drop(self, kind: str | None = None, ratio: float | None = None) -> int:
-        """Drops samples by kind and ratio, all if neither is told; how many."""
+        """Drops samples by kind and by the ratio that they were created with, all if neither is told; how many. The sizes of a
+        column's strata go with its last sample."""
         s = self.state()
-        gone = [x for x in self.samples(s) if (kind in (None, x.kind)) and (ratio is None or abs(x.ratio - ratio) < 1e-5)]
-        self.store.switch(s | {"samples": [x.dict() for x in self.samples(s) if x not in gone]})
-        for x in gone:
-            self.store.drop(f"samples/{x.id}")
+        gone = [x for x in self.samples(s) if (kind in (None, x.kind)) and (ratio is None or abs(x.declared - ratio) < 1e-5)]
+        left = [x for x in self.samples(s) if x not in gone]
+        groups = {c: at for c, at in s["groups"].items() if any(x.column == c for x in left)}
+        self.store.switch(s | {"samples": [x.dict() for x in left], "groups": groups})
+        for at in [f"samples/{x.id}" for x in gone] + [f"groups/{c}" for c in s["groups"] if c not in groups]:
+            self.store.drop(at)
         return len(gone)
 
+    def listed(self) -> DataFrame:
+        """The table's samples as the catalog lists them: names with sizes, in order."""
+        mine = self.samples()
+        return catalog.listed(catalog.name_table(self.spark, mine), catalog.size_table(self.spark, mine), self.table)
+
+    def publish(self, root: str) -> tuple[DataFrame, DataFrame]:
+        """Brings the catalog that several tables share, two tables under root, up to this table's samples: rows of samples that
+        are gone are removed, others replaced or added, and base sizes set to the rows now. Returns names and sizes."""
+        shared, mine, s = Store(self.spark, root), self.samples(), self.state()
+        names, sizes, at = catalog.name_table(self.spark, mine), catalog.size_table(self.spark, mine), shared.state()
+        if at:
+            old_names, old_sizes = shared.read(at["names"]), shared.read(at["sizes"])
+            owned = (F.col("originalschemaname") == self.schema) & (F.col("originaltablename") == self.table)
+            gone = [r["sampletablename"] for r in old_names.where(owned).collect() if r["sampletablename"] not in {x.id for x in mine}]
+            for x in gone:
+                old_names = catalog.removed(old_names, sampletablename=x)
+                old_sizes = catalog.removed(old_sizes, schemaname=f"{self.schema}_samples", tablename=x)
+            names = catalog.upserted(old_names, names, ["sampleschemaaname", "sampletablename"])
+            sizes = catalog.upserted(old_sizes, sizes, ["schemaname", "tablename"])
+        sizes = catalog.resized(sizes, self.table, s["rows"])
+        version = at.get("version", -1) + 1
+        new = {"names": shared.write(names, "names", f"{version}"), "sizes": shared.write(sizes, "sizes", f"{version}"), "version": version}
+        shared.switch(new)
+        return shared.read(new["names"]), shared.read(new["sizes"])
+
     def sql(self, text: str, default_column: str | None = None) -> DataFrame | list[Sample] | int:
         """A statement on samples, or any SQL over the table by its name."""
         st = ddl.parse(text)

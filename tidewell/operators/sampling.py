@@ -32,11 +32,13 @@ def _edge(counts: dict[int, int], k: int) -> tuple[int | None, int]:
     return None, done
 
 
-def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str]) -> DataFrame:
+def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str], rows: int | None = None) -> DataFrame:
     """The k rows with the least keyed numbers, ties by key: a filter of df, without a sort or a shuffle of its rows.
 
-    Counts by the numbers' upper 16 bits, and in one bucket of those by the lower 16, one row a bucket, tell up to which
-    number all rows are drawn. Only of rows that share that very number the first by key are looked up.
+    One row a bucket of numbers goes to the driver and tells up to which number all rows are drawn. If ``rows`` is told, of
+    which df's are those with the least numbers, the k-th number is known to within ten standard deviations, and fine
+    buckets of that window mostly settle it at once. Else, or where the window misses, the numbers' upper 16 bits are
+    counted, and then the lower ones of a single bucket. Only of rows that share the last number the first by key are looked up.
     """
     k = max(0, int(k))
     if not k:
@@ -46,15 +48,35 @@ def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str]) -> DataFra
     def counted(rows: DataFrame, bucket: Column) -> dict[int, int]:
         return {r["b"]: r["n"] for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    high, done = _edge(counted(u, F.shiftright("_u", 16)), k)
-    if high is None:
-        return df
-    ends = counted(u.where(F.shiftright("_u", 16) == high), F.col("_u").bitwiseAND(0xFFFF))
-    low, more = _edge(ends, k - done)
-    edge, rest = (high << 16) + low, k - done - more
+    base, step, done = 0, 1 << 16, 0
+    found: int | None = None
+    if rows and rows > k:
+        spread = 10 * k**0.5 + 50
+        low, high = (max(0, min(keyed.RANGE, int((k + d) / rows * keyed.RANGE))) for d in (-spread, spread))
+        width = max(1, -(-(high - low) // (1 << 16)))
+        where = F.when(F.col("_u") < low, -1).when(F.col("_u") < high, F.floor((F.col("_u") - low) / width))
+        counts = counted(u, where.cast("long"))
+        beyond, before = counts.pop(None, 0), counts.pop(-1, 0)
+        if before <= k:
+            found, more = _edge(counts, k - before)
+            if found is None and not beyond and before + more <= k:
+                return df
+            base, step, done = low, width, before + more
+            if found is None and done == k:
+                return u.where(F.col("_u") < high).drop("_u")
+    if found is None:
+        base, step = 0, 1 << 16
+        found, done = _edge(counted(u, F.shiftright("_u", 16)), k)
+        if found is None:
+            return df
+    edge = base + found * step
+    if done < k and step > 1:
+        ends = counted(u.where((F.col("_u") >= edge) & (F.col("_u") < edge + step)), F.col("_u"))
+        edge, more = _edge(ends, k - done)
+        done += more
     drawn = F.col("_u") < edge
-    if rest:
-        tied = u.where(F.col("_u") == edge).orderBy(*keys).limit(rest).agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
+    if done < k:
+        tied = u.where(F.col("_u") == edge).orderBy(*keys).limit(k - done).agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
         last = F.struct(*[F.lit(tied[c]).cast(df.schema[c].dataType).alias(c) for c in keys])
         drawn |= (F.col("_u") == edge) & (F.struct(*keys) <= last)
     return u.where(drawn).drop("_u")
@@ -72,7 +94,7 @@ def plain(sample: DataFrame) -> DataFrame:
 
 def uniform(base: DataFrame, rows: int, k: int, seed: int | str, keys: list[str]) -> DataFrame:
     """A new sample of k of the base's rows."""
-    return weighted(bottom_k(base, k, seed, keys), min(1.0, k / max(rows, 1)), seed, keys)
+    return weighted(bottom_k(base, k, seed, keys, rows), min(1.0, k / max(rows, 1)), seed, keys)
 
 
 def uniform_ratio(base: DataFrame, ratio: float, seed: int | str, keys: list[str]) -> DataFrame:
@@ -84,7 +106,7 @@ def uniform_ratio(base: DataFrame, ratio: float, seed: int | str, keys: list[str
 def uniform_update(sample: DataFrame, batch: DataFrame, size: int, base_rows: int, batch_rows: int, seed: int | str, keys: list[str]) -> DataFrame:
     """The sample of base and batch of the same size, from sample and batch alone. base_rows excludes the batch."""
     both = plain(sample).unionByName(batch)
-    return weighted(bottom_k(both, size, seed, keys), min(1.0, size / max(base_rows + batch_rows, 1)), seed, keys)
+    return weighted(bottom_k(both, size, seed, keys, base_rows + batch_rows), min(1.0, size / max(base_rows + batch_rows, 1)), seed, keys)
 
 
 def find_x(need: int, size: int, m: int, seed: int | str) -> int:
@@ -97,8 +119,8 @@ def find_x(need: int, size: int, m: int, seed: int | str) -> int:
 
 def uniform_adaptive(sample: DataFrame, batch: DataFrame, need: int, x: int, base_rows: int, batch_rows: int, seed: int | str, keys: list[str]) -> DataFrame:
     """x rows of the old sample and need - x of the batch, each part with its own chance."""
-    old = bottom_k(plain(sample), x, seed, keys)
-    new = bottom_k(batch, need - x, seed, keys)
+    old = bottom_k(plain(sample), x, seed, keys, base_rows)
+    new = bottom_k(batch, need - x, seed, keys, batch_rows)
     a = weighted(old, min(1.0, x / max(base_rows, 1)), seed, keys)
     return a.unionByName(weighted(new, min(1.0, (need - x) / max(batch_rows, 1)), seed, keys))
 
@@ -144,18 +166,19 @@ def cap_value(sizes: DataFrame, target: float, least: int = LEAST) -> int:
 
 
 def bottom_cap(df: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
-    """Of each stratum its cap rows with the least keyed numbers, all if it has no more; with kept, their number.
+    """Of each stratum its cap rows with the least keyed numbers, all if it has no more; with _kept, their number, and _size.
 
     Rows that are surely not among them are filtered before strata are ordered: in a stratum of s rows of which c are drawn,
     the c-th least number is below (c + 10 sqrt(c) + 50) / s of the range, save with a chance under 1e-15. So what is
-    ordered is about the sample, and a stratum that holds most rows isn't sorted whole. The sizes are those of df itself.
+    ordered is about the sample, and a stratum that holds most rows isn't sorted whole. The sizes are those of the table of which
+    df holds the rows with the least numbers; of a table that grew they are the sizes now.
     """
     bound = cap + 10 * cap**0.5 + 50
-    u = df.withColumn("_u", keyed.unit(seed, keys))
-    own = sizes.select(F.col(column).alias("_g"), F.col("group_size").alias("_n"))
-    near = u.join(own, F.col(column).eqNullSafe(F.col("_g"))).where((F.col("_n") <= bound) | (F.col("_u") < F.lit(bound) / F.col("_n") * keyed.RANGE))
-    rank = F.row_number().over(Window.partitionBy(column).orderBy("_u", *keys))
-    return near.withColumn("_r", rank).where(F.col("_r") <= cap).withColumn("_kept", F.least("_n", F.lit(cap))).drop("_u", "_g", "_n", "_r")
+    rows = _with_size(df.withColumn("_u", keyed.unit(seed, keys)), column, sizes)
+    near = rows.where((F.col("_size") <= bound) | (F.col("_u") < F.lit(bound) / F.col("_size") * keyed.RANGE))
+    stratum = Window.partitionBy(column)
+    ranked = near.withColumn("_r", F.row_number().over(stratum.orderBy("_u", *keys))).withColumn("_kept", F.least(F.count(F.lit(1)).over(stratum), F.lit(cap)))
+    return ranked.where(F.col("_r") <= cap).drop("_u", "_r")
 
 
 def _with_size(df: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
@@ -165,7 +188,7 @@ def _with_size(df: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
 
 def stratified(base: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
     """A new sample with at most cap rows of each stratum; sizes are the base's."""
-    drawn = _with_size(bottom_cap(base, column, sizes, cap, seed, keys), column, sizes)
+    drawn = bottom_cap(base, column, sizes, cap, seed, keys)
     return weighted(drawn, F.col("_kept") / F.col("_size"), seed, keys).drop("_kept", "_size")
 
 
@@ -178,8 +201,7 @@ def stratified_bernoulli(base: DataFrame, column: str, sizes: DataFrame, cap: in
 
 def stratified_update(sample: DataFrame, batch: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
     """The sample by a cap of base and batch, from sample and batch alone. sizes are those of base and batch together."""
-    both = plain(sample).unionByName(batch)
-    drawn = _with_size(bottom_cap(both, column, group_sizes(both, column), cap, seed, keys), column, sizes)
+    drawn = bottom_cap(plain(sample).unionByName(batch), column, sizes, cap, seed, keys)
     return weighted(drawn, F.col("_kept") / F.col("_size"), seed, keys).drop("_kept", "_size")
 
 
@@ -188,27 +210,17 @@ def stratified_adaptive(sample: DataFrame, batch: DataFrame, column: str, sizes:
     old, a, b = plain(sample), group_sizes(sample, column), group_sizes(batch, column)
     kept_old = bottom_cap(old, column, a, cap_value(a, x), seed, keys)
     kept_new = bottom_cap(batch, column, b, cap_value(b, need - x), seed, keys)
-    both = kept_old.drop("_kept").unionByName(kept_new.drop("_kept"))
-    kept = group_sizes(both, column).withColumnRenamed("group_size", "_k").withColumnRenamed(column, "_c")
-    rows = _with_size(both, column, sizes).join(kept, F.col(column).eqNullSafe(F.col("_c")))
-    return weighted(rows, F.col("_k") / F.col("_size"), seed, keys).drop("_k", "_c", "_size")
+    both = kept_old.drop("_kept", "_size").unionByName(kept_new.drop("_kept", "_size"))
+    rows = _with_size(both, column, sizes).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(column)))
+    return weighted(rows, F.col("_k") / F.col("_size"), seed, keys).drop("_k", "_size")
 
 
-def stratified_incremental(sample: DataFrame, batch: DataFrame, column: str, ratio: float, batch_rows: int, seed: int | str, keys: list[str]) -> DataFrame:
-    """The old sample and a stratified sample of the batch alone."""
+def stratified_incremental(sample: DataFrame, batch: DataFrame, column: str, target: float, seed: int | str, keys: list[str]) -> DataFrame:
+    """The old sample and a stratified sample of the batch alone, of about target rows."""
     b = group_sizes(batch, column)
-    return sample.unionByName(stratified(batch, column, b, cap_value(b, ratio * batch_rows), seed, keys))
+    return sample.unionByName(stratified(batch, column, b, cap_value(b, target), seed, keys))
 
 
 def simple_sample(df: DataFrame, ratio: float, seed: int) -> DataFrame:
     """Spark's own Bernoulli sample."""
     return df.sample(False, ratio, seed)
-
-
-def reservoir_exchange(sizes: DataFrame) -> DataFrame:
-    """What a stratified update exchanges: from (a_group_size, b_group_size, s_group_size, cap) the rows taken out of the
-    sample and put in from the batch that are expected in each stratum, and the new chance."""
-    a, b, s, cap = (F.coalesce(F.col(c), F.lit(0)) for c in ("a_group_size", "b_group_size", "s_group_size", "cap"))
-    kept = F.least(s + b, cap)
-    into = F.when(a + b > 0, kept * b / (a + b)).otherwise(F.lit(0.0))
-    return sizes.withColumn("b_exchange_size", into).withColumn("a_exchange_size", F.greatest(s + into - kept, F.lit(0.0))).withColumn(PROB, F.least(F.lit(1.0), F.try_divide(kept, a + b)))

@@ -1,7 +1,8 @@
-"""Where a table, its samples and their state live: versioned Parquet folders and one small file that names the current ones.
+"""Where a table, its samples and their state live: versioned Parquet folders and small numbered files that name the current ones.
 
-Every batch writes new folders; then the pointer file is replaced by a rename. A run that dies in between leaves folders
-that nothing points to, and the batch can be run again.
+Every batch writes new folders; then a pointer file of the next number is made under another name and renamed. The highest
+number counts, no pointer is ever replaced, and older ones go only afterwards, so a run that dies anywhere leaves the last
+state whole, at most with folders that nothing points to, and the batch can be run again.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -20,11 +22,18 @@ class Store:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Numbers and names of the pointer files, in order."""
+        fs, path = self._path(f"{self.root}/_current")
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(n[:-5]), n) for n in names if n.endswith(".json"))
+
     def state(self) -> dict:
-        """What the pointer file says; empty before the first batch."""
-        fs, path = self._path(f"{self.root}/_current.json")
-        if not fs.exists(path):
+        """What the last pointer file says; empty before the first batch."""
+        found = self._pointers()
+        if not found:
             return {}
+        fs, path = self._path(f"{self.root}/_current/{found[-1][1]}")
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -32,16 +41,17 @@ class Store:
             stream.close()
 
     def switch(self, state: dict) -> None:
-        """Replaces the pointer file."""
-        fs, path = self._path(f"{self.root}/_current.json")
-        _, part = self._path(f"{self.root}/_current.{uuid.uuid4().hex}")
+        """Makes the state the current one. The two pointers before it stay, for those who are reading them."""
+        found = self._pointers()
+        fs, part = self._path(f"{self.root}/_current/{uuid.uuid4().hex}.part")
         stream = fs.create(part, True)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
+        _, path = self._path(f"{self.root}/_current/{found[-1][0] + 1 if found else 0:012d}.json")
         if not fs.rename(part, path):
-            raise OSError(f"can't rename {part} to {path}")
+            raise OSError(f"can't rename {part} to {path}: another run has written it")
+        for _, name in found[:-2]:
+            self.drop(f"_current/{name}")
 
     def write(self, df: DataFrame, name: str, version: str) -> str:
         """A new version of a table; its folder relative to the root. The same version again replaces itself."""
@@ -49,6 +59,12 @@ class Store:
         df.write.mode("overwrite").parquet(f"{self.root}/{at}")
         return at
 
+    def write_counted(self, df: DataFrame, name: str, version: str) -> tuple[str, int]:
+        """The same, and the rows as they were counted while they were written."""
+        seen = Observation()
+        at = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name, version)
+        return at, seen.get["n"]
+
     def read(self, at: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{at}")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The schema of hourly page counts.
 PAGE_COUNTS = "date_time int, project_name string, page_name string, page_count int, page_size int"
 
-#: The seven dimension tables and the fact table of the benchmark as delimited text.
+#: The seven dimension tables and the fact table of the public benchmark as delimited text.
 TPCH = {
     "region": "r_regionkey int, r_name string, r_comment string",
     "nation": "n_nationkey int, n_name string, n_regionkey int, n_comment string",
@@ -40,9 +40,9 @@ def clean_delimited(spark: SparkSession, path: str, out: str, sep: str = "|") ->
     without_last_separator(spark.read.text(path), sep).write.mode("overwrite").text(out)
 
 
-def read_tpch(spark: SparkSession, folder: str, sep: str = "|") -> dict[str, DataFrame]:
-    """The tables that lie in a folder as <name>.tbl."""
-    return {name: read_delimited(spark, f"{folder}/{name}.tbl", schema, sep) for name, schema in TPCH.items()}
+def read_tpch(spark: SparkSession, folder: str, sep: str = "|", names: tuple[str, ...] = tuple(TPCH)) -> dict[str, DataFrame]:
+    """The tables, or those named, that lie in a folder as <name>.tbl."""
+    return {name: read_delimited(spark, f"{folder}/{name}.tbl", TPCH[name], sep) for name in names}
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

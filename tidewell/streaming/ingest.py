@@ -1,4 +1,4 @@
-"""Batches as streams: new files in a folder, or lines on a socket, into a sampled table."""
+"""Batches as they come: the files of a folder by name, new files as a stream, or lines on a socket, into a sampled table."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.engine import SampledTable
+from ..sources.files import read_delimited
 
 
 def file_batches(spark: SparkSession, path: str, schema: str, *, files: int = 1, fmt: str = "csv", sep: str = ",") -> DataFrame:
@@ -21,14 +22,31 @@ def socket_lines(spark: SparkSession, host: str, port: int, schema: str, sep: st
     return lines.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
 
 
-def into(stream: DataFrame, table: SampledTable, checkpoint: str, *, every: str | None = None, first_id: int = 0) -> StreamingQuery:
-    """Feeds a stream to a table: each micro-batch is a batch, whose id makes a second delivery no work.
+def into(stream: DataFrame, table: SampledTable, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
+    """Feeds a stream to a table: each micro-batch is a batch. Its id, which counts within this checkpoint, makes a second
+    delivery no work; batches that the table has from elsewhere don't matter to it.
 
     Without ``every`` it takes what there is and ends; with it, it goes on at that interval.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        table.receive(batch, first_id + batch_id)
+        table.receive(batch, batch_id, checkpoint)
 
     w = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def named_files(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a folder's files, in order; hidden ones are left out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(n for x in fs.listStatus(path) if x.isFile() and (n := x.getPath().getName())[0] not in "._")
+
+
+def by_name(table: SampledTable, folder: str, schema: str, *, files: int = 1, sep: str = ",", most: int | None = None) -> list[dict]:
+    """Takes in a folder's delimited files by name, so many to a batch, after the last that the table has from it; at most so many
+    batches. The last name of a batch is its id, so this goes on where the last call, or the one that died, ended."""
+    last = table.state()["seen"].get(folder, "")
+    todo = [n for n in named_files(table.spark, folder) if n > last]
+    groups = [todo[i : i + files] for i in range(0, len(todo), files)][:most]
+    return [table.receive(read_delimited(table.spark, [f"{folder}/{n}" for n in g], schema, sep), g[-1], folder) for g in groups]
