@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..plans.query import Query
+    from .engine import SampledTable
+
 
 def hits(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, hits, coverage): over all repeats, how many estimates are within their error of the exact value."""
@@ -30,3 +36,18 @@ def running(df: DataFrame, time: str, value: str, keys: list[str] | None = None)
     """Sums of a value over time so far. Without keys the times of one table are one window: pass totals of batches, not rows."""
     w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running", F.sum(value).over(w))
+
+
+def over_time(table: SampledTable, batches: list[DataFrame], queries: dict[str, Query], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(step, q, action, rows, seconds, exact, approx, err) for each batch, counted from 1, and ungrouped query: what was done with the
+    table's first sample and how long all took, and the query's answers afterwards, exact and from a sample."""
+    spark, out = table.spark, []
+    for i, batch in enumerate(batches, 1):
+        report = table.receive(batch, i)
+        x = table.samples()[0]
+        seconds = sum(v for k, v in report.items() if ".cost." in k or k.startswith("cost."))
+        for name, query in queries.items():
+            exact = query.exact({**(tables or {}), table.table: table.base()}).first()[0]
+            approx, err = table.approximate(query, tables).first()
+            out.append((i, name, report.get(f"sampling.action.{x.id}", "none"), x.rows, seconds, exact, approx, err))
+    return spark.createDataFrame(out, "step int, q string, action string, rows bigint, seconds double, exact double, approx double, err double")

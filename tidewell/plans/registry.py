@@ -437,19 +437,29 @@ def n4_status(spark, sf_dir):
     return out.withColumn("ratio", F.round("ratio", 10))
 
 
-@_query("SELECT * FROM (VALUES (100, 200, 10000, 1000, 'update', 0, 0.02), (300, 200, 10000, 1001, 'adaptive', 1000, 0.02), (300, 200, 10000, 500, 'resample', 1000, 0.0303), (9000, 200, 10000, 1000, 'resample', 88000, 0.909)) AS t(need, size, rows, batch, action, m, ratio)")
+_PRICE = f"(SELECT count(*)::DOUBLE AS d, count(*) FILTER ({BATCH})::DOUBLE AS b, 3.8416 * var_pop(l_extendedprice) / power(abs(avg(l_extendedprice)) * 0.02, 2) AS n0 FROM lineitem)"
+_STATES = f"(SELECT size::DOUBLE AS size, d, b, need, 10 * greatest(need - size, 0) AS m FROM (SELECT d, b, floor(n0 * d / (n0 + d)) AS need FROM {_PRICE}), (VALUES (100), (1000), (2000), (3000), (20000)) AS t(size))"
+_ACTION = "CASE WHEN need <= size THEN 'update' WHEN m <= b THEN 'adaptive' ELSE 'resample' END"
+
+
+def _decisions(spark, sf_dir) -> list[tuple[int, policy.Decision]]:
+    """What the policy decides for samples of several sizes, from the table's profile and the size of its last batch."""
+    df = lineitem(spark, sf_dir)
+    need = profile.need(profile.profile(df, ["l_extendedprice"], 0.02))
+    r = df.agg(F.count(F.lit(1)).alias("d"), F.count(F.when(keyed.unit("batch", KEYS) < keyed.below(0.2), 1)).alias("b")).first()
+    return [(size, policy.decide(need, size, r["d"], r["b"], 0.02, policy.State(), policy.Flags(adaptive=True))) for size in (100, 1000, 2000, 3000, 20000)]
+
+
+@_query(f"SELECT size::INT AS size, need::BIGINT AS need, {_ACTION} AS action, m::BIGINT AS m, round(CASE WHEN {_ACTION} = 'resample' THEN greatest(0.02, 1.01 * need / d) ELSE 0.02 END, 10) AS ratio FROM {_STATES}")
 def n5_decision(spark, sf_dir):
-    """The policy at four states; pure Python, so the frame is made from its answers."""
-    rows = []
-    for need, size, n, b in ((100, 200, 10000, 1000), (300, 200, 10000, 1001), (300, 200, 10000, 500), (9000, 200, 10000, 1000)):
-        d = policy.decide(need, size, n, b, 0.02, policy.State(), policy.Flags(adaptive=True))
-        rows.append((need, size, n, b, d.action.value, d.m, round(d.ratio, 10)))
-    return spark.createDataFrame(rows, "need int, size int, rows int, batch int, action string, m int, ratio double")
+    """The policy for samples of several sizes after a batch."""
+    return spark.createDataFrame([(s, d.need, d.action.value, d.m, round(d.ratio, 10)) for s, d in _decisions(spark, sf_dir)], "size int, need bigint, action string, m bigint, ratio double")
 
 
-@_query("SELECT 1.0 + ln((100000.0 - 5000) / (5000 - 100)) / ln(100.0) AS attenuation")
+@_query(f"SELECT size::INT AS size, round(CASE WHEN {_ACTION} = 'adaptive' AND m > 1 AND b > m AND d > b THEN 1 + ln((d - b) / (b - m)) / ln(m) ELSE 1 END, 8) AS attenuation FROM {_STATES}")
 def n6_attenuation(spark, sf_dir):
-    return spark.createDataFrame([(policy.attenuated(1.0, 100_000, 5000, 100),)], "attenuation double")
+    """How much harder the next extension is, after these decisions."""
+    return spark.createDataFrame([(s, round(d.state.attenuation, 8)) for s, d in _decisions(spark, sf_dir)], "size int, attenuation double")
 
 
 # samples
@@ -857,6 +867,46 @@ def a11_running_totals(spark, sf_dir):
 _TRACE = [f"{keyed.unit_sql('trace', KEYS_SQL)} < {keyed.below((i + 1) / 3)}" for i in range(3)]
 
 
+_FIRST = f"(SELECT greatest(1, round(0.1 * count(*))) FROM lineitem WHERE {_TRACE[0]})"
+
+
+def _over_time(spark, sf_dir, columns=("l_extendedprice",)) -> list[DataFrame]:
+    df, u = lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", "l_returnflag"), keyed.unit("trace", KEYS)
+    edges = [0, *[keyed.below((i + 1) / 3) for i in range(3)]]
+    return [df.where((u >= a) & (u < b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+@_query(" UNION ALL ".join(
+    f"SELECT {i} AS step, 'update' AS action, k::BIGINT AS rows, round(exact, 4) AS exact, round(approx, 4) AS approx, abs(approx - exact) <= err AS hit FROM "
+    f"(SELECT avg(l_extendedprice) AS exact FROM lineitem WHERE {w}), (SELECT avg(l_extendedprice) AS approx, count(*) AS k, "
+    f"1.96 * sqrt((1 - count(*)::DOUBLE / (SELECT count(*) FROM lineitem WHERE {w})) / count(*) * var_samp(l_extendedprice)) AS err "
+    f"FROM (SELECT *, row_number() OVER (ORDER BY {U}, {_K}) AS r FROM lineitem WHERE {w}) WHERE r <= {_FIRST})" for i, w in enumerate(_TRACE) if i))
+def e6_accuracy_over_time(spark, sf_dir):
+    """A sample kept up through batches: after each the exact and the approximate average, and whether the error bound holds."""
+    first, *rest = _over_time(spark, sf_dir)
+    t = engine.restored(spark, scratch(spark, "time"), "lineitem", engine.Settings(KEYS, relative=10.0, columns=["l_extendedprice"]), first, [("uniform", 0.1, None)])
+    x = q.Query("lineitem", "avg", "l_extendedprice")
+    rows = evaluate.over_time(t, rest, {"avg": x})
+    return rows.select("step", "action", "rows", F.round("exact", 4).alias("exact"), F.round("approx", 4).alias("approx"), (F.abs(F.col("approx") - F.col("exact")) <= F.col("err")).alias("hit"))
+
+
+_GROWING = [f"l_suppkey % 5 < {3 + i}" for i in range(3)]
+
+
+@_query(" UNION ALL ".join(f"SELECT {i} AS step, count(*) AS strata, sum(least(s, greatest(cap, 10)))::BIGINT AS rows FROM (SELECT l_suppkey AS k, count(*) AS s FROM lineitem WHERE {w} GROUP BY 1), ({_CAP.format(target='(SELECT round(0.1 * count(*)) FROM lineitem WHERE ' + _GROWING[0] + ')', sizes=f'SELECT l_suppkey AS k, count(*) AS s FROM lineitem WHERE {w} GROUP BY 1')})" for i, w in enumerate(_GROWING) if i))
+def e6_growing_strata(spark, sf_dir):
+    """A stratified sample through batches of new strata alone: it keeps to its target, and its strata follow the table."""
+    df = lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice")
+    g = F.col("l_suppkey") % 5
+    t = engine.restored(spark, scratch(spark, "strata"), "lineitem", engine.Settings(KEYS, relative=10.0, columns=["l_extendedprice"]), df.where(g < 3), [("stratified", 0.1, "l_suppkey")])
+    out = []
+    for i in (1, 2):
+        t.receive(df.where(g == 2 + i), i)
+        (x,) = t.samples()
+        out.append((i, t.store.read(x.at).select("l_suppkey").distinct().count(), x.rows))
+    return spark.createDataFrame(out, "step int, strata bigint, rows bigint")
+
+
 @_query(" UNION ALL ".join(f"SELECT {i} AS step, count(*) AS d, round(var_pop(l_extendedprice), 2) AS s2, round(avg(l_extendedprice), 4) AS avg FROM lineitem WHERE {w}" for i, w in enumerate(_TRACE)))
 def e9_variance_trace(spark, sf_dir):
     """The variance after each of three batches."""
