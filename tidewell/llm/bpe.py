@@ -30,7 +30,7 @@ LONG = 256
 #: Most cells of a matrix.
 CELLS = 1 << 18
 #: Most pieces that a worker remembers, and most bytes of them and their ids; a piece over KEEP bytes is forgotten after its texts.
-MEMORY, MEMORY_BYTES, KEEP = 250_000, 64 << 20, 1 << 10
+MEMORY, MEMORY_BYTES, KEEP = 160_000, 32 << 20, 1 << 10
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
@@ -225,7 +225,7 @@ def encoded(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.encode_all(b.column(1).to_pylist()), pa.binary())], names=schema.names)
 
-    return common.spread(rows).mapInArrow(task, schema)
+    return common.spread(rows).mapInArrow(common.tidy(task), schema)
 
 
 def decoded(df: DataFrame, ranks: bytes, pattern: str, ids_column: str = "ids") -> DataFrame:
@@ -240,7 +240,7 @@ def decoded(df: DataFrame, ranks: bytes, pattern: str, ids_column: str = "ids")
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(x) for x in b.column(at).to_pylist()], pa.binary())], names=schema.names)
 
-    return df.mapInArrow(task, schema)
+    return df.mapInArrow(common.tidy(task), schema)
 
 
 def round_trip(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -256,7 +256,7 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "d
             ids = c.encode_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], names=schema.names)
 
-    return common.spread(rows).mapInArrow(task, schema)
+    return common.spread(rows).mapInArrow(common.tidy(task), schema)
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:

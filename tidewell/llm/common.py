@@ -38,6 +38,23 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(task):
+    """A task whose worker gives memory that it doesn't need back to the system when it ends, since workers wait for the next task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def partitions(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 

@@ -338,7 +338,7 @@ def leaks(df: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_co
             if texts:
                 yield from found()
 
-        waiting = rows.mapInArrow(task, PAIRS_FOUND)
+        waiting = rows.mapInArrow(common.tidy(task), PAIRS_FOUND)
     if waiting is None:
         return spark.createDataFrame([], PAIRS_FOUND)
     for part in parts:

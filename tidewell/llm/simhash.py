@@ -13,12 +13,12 @@
 5. Groups: alternating large-star and small-star rounds (Kiveris et al. 2014) until nothing changes. What a round
    makes is written to the shared folder.
 
-*Verified* (``similar_groups``), for a similarity whose fingerprints differ in too many bits for blocks: fingerprints of 256
-bits; each of a number of tables deals them to shards by bits of its own choice, so that a pair of the least similarity meets
-in some table with the chance ``RECALL``; a BK-tree a shard finds those within ``WIDE_RADIUS``; and every link is decided by
-the Jaccard similarity of the two whole shingle sets. Two rounds first hold each document against the roots of its shards'
-trees, so that a large group of copies becomes one component at a cost that grows as its size; then what is still apart is
-compared.
+*Verified* (``similar_groups``), for a similarity whose fingerprints differ in too many bits for blocks: fingerprints of 512
+bits; each of a number of tables deals their heads of 128 bits to shards by bits of its own choice, so that a pair of the least
+similarity meets in some table with the chance ``RECALL``. Documents that have no other near them in a shard's BK-tree leave it.
+Then BK-trees of the whole fingerprints find those within ``WIDE_RADIUS``, and every link is decided by the Jaccard similarity of
+the two whole shingle sets. Some rounds first hold each document against the nearest roots of its shards' trees, so that a
+large group of copies becomes one component at a cost that grows as its size; then what is still apart is compared.
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; null doc_ids never
 name a group, and their rows belong to the group that their fingerprint is in (null if no row of it has an id); repeated
@@ -47,12 +47,13 @@ TREE_ROWS = 2048
 
 #: What verified groups take: words of a shingle, and the least similarity as a fraction.
 SIMILAR_WORDS, NUM, DEN = 5, 4, 5
-#: 64-bit words of a wide fingerprint, and its radius: pairs of Jaccard 0.8 differ in 0.15 of the bits, on average.
-WIDE, WIDE_RADIUS = 4, 58
+#: 64-bit words of a wide fingerprint, and the radii of it and of its first two words, its head: pairs of Jaccard 0.8 differ in 0.15 of
+#: the bits, on average, and the radii are two and a half and three standard deviations more.
+WIDE, WIDE_RADIUS, HEAD_RADIUS = 8, 98, 32
 #: The chance with which a pair that differs in BIT_DIFFERENCE of the bits meets in some table.
 RECALL, BIT_DIFFERENCE = 0.99, 0.145
-#: Rounds against the roots of trees, and roots that a document is held against in a round.
-ROUNDS, ROOTS = 2, 4
+#: Rounds against the roots of trees, and roots, the nearest ones, that a document is held against in a round.
+ROUNDS, ROOTS = 3, 4
 
 
 def shingle_hashes(text: bytes, words: int) -> tuple[bytes, np.ndarray]:
@@ -97,7 +98,7 @@ def fingerprints(df: DataFrame, *, id_column: str = "doc_id", text_column: str =
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=schema.names)
 
-    return common.spread(rows).mapInArrow(take, schema)
+    return common.spread(rows).mapInArrow(common.tidy(take), schema)
 
 
 class BKTree:
@@ -217,7 +218,7 @@ def searched(dealt: DataFrame, keys: list[str], radius: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(common.tidy(search), "u long, v long")
 
 
 def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, blocks: int | None = None) -> DataFrame:
@@ -308,13 +309,13 @@ def wide_prints(texts: DataFrame, words: int) -> DataFrame:
                 fps.append(wide_print(np.unique(h)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.binary())], names=["row", "digest", "fp"])
 
-    return common.spread(texts).mapInArrow(take, "row long, digest binary, fp binary")
+    return common.spread(texts).mapInArrow(common.tidy(take), "row long, digest binary, fp binary")
 
 
 def tables_for(n: int) -> list[np.ndarray]:
-    """For n fingerprints the bits that each table's key takes: so many that a shard of bits without bias has about four rows, and
-    so many tables that RECALL holds. As n grows, the number of tables grows about as its fourth root."""
-    width = min(60, max(4, math.ceil(math.log2(max(n, 1))) - 2))
+    """For n fingerprints the bits that each table's key takes, and so many tables that RECALL holds. The longer the key, the smaller
+    are the shards and the more tables it takes; as n grows, the tables grow about as its sixth root."""
+    width = min(60, max(4, round(0.7 * math.log2(max(n, 1)) + 3)))
     meet = (1 - BIT_DIFFERENCE) ** width
     count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
     rng = np.random.default_rng(SEED)
@@ -322,35 +323,41 @@ def tables_for(n: int) -> list[np.ndarray]:
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """(key, row, comp, fp) for each table and each of nodes (row, comp, fp)."""
+    """(key, row, w0, w1) for each table and each of nodes (row, fp): w0 and w1 are the fingerprint's first words."""
     tables = tables_for(nodes.count())
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, 8 * WIDE)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, 8 * WIDE)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
+                words = [pa.array(np.ascontiguousarray(raw[:, i : i + 8]).view(np.int64).ravel()) for i in (0, 8)]
                 for k, choice in enumerate(tables):
                     key = bits[:, choice].astype(np.int64) @ (np.int64(1) << np.arange(len(choice), dtype=np.int64))
                     key = key * np.int64(len(tables)) + k if len(choice) < 50 else key ^ np.int64(k * 0x9E3779B97F4A7C15 % 2**63)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], names=["key", "row", "comp", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), *words], names=["key", "row", "w0", "w1"])
 
-    return nodes.mapInArrow(take, "key long, row long, comp long, fp binary")
+    return nodes.mapInArrow(common.tidy(take), "key long, row long, w0 long, w1 long")
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, components, fingerprints, starts) of the runs of equal keys in a sorted partition that have documents of two
-    components or more; many whole runs at once, starts with the end behind them."""
+    components or more; many whole runs at once, starts with the end behind them. Fingerprints are rows of 64-bit words, from the
+    column fp or the columns w0 and w1; without the column comp each document is a component."""
     tail: pa.Table | None = None
 
     def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        key, row, comp = (table[c].to_numpy() for c in ("key", "row", "comp"))
+        key, row = table["key"].to_numpy(), table["row"].to_numpy()
+        comp = table["comp"].to_numpy() if "comp" in table.column_names else row
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         sizes = np.diff(np.append(starts, len(key)))
         keep = np.flatnonzero(np.repeat(mixed, sizes))
-        fps = np.frombuffer(b"".join(table["fp"].take(pa.array(keep)).to_pylist()), np.uint64).reshape(-1, WIDE)
+        if "w0" in table.column_names:
+            fps = np.stack([table[c].to_numpy()[keep].view(np.uint64) for c in ("w0", "w1")], axis=1)
+        else:
+            fps = np.frombuffer(b"".join(table["fp"].take(pa.array(keep)).to_pylist()), np.uint64).reshape(-1, WIDE)
         return row[keep], comp[keep], fps, np.concatenate(([0], np.cumsum(sizes[mixed])))
 
     for b in batches:
@@ -368,25 +375,20 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(key, row, fp): of each shard the documents that have another within the radius. Those near the root of the shard's
+    """(key, row): of each shard the documents that have another within the radius. Those near the root of the shard's
     BK-tree have one; only the others search the tree."""
     keys = 0
     for rows, _, fps, starts in shards(batches):
         if len(starts) < 2:
             continue
         run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        first = starts[:-1][run]
-        hit = np.bitwise_count(fps ^ fps[first]).sum(axis=1) <= radius
+        hit = np.bitwise_count(fps ^ fps[starts[:-1][run]]).sum(axis=1) <= radius
         several = np.add.reduceat(hit, starts[:-1]) > 1
         hit &= several[run]
         lone = ~hit
-        lone[starts[:-1]] |= ~several
-        todo = np.unique(run[lone])
-        values = fps.view(f"S{8 * WIDE}").ravel()
-        for r in todo.tolist():
+        for r in np.unique(run[lone]).tolist():
             i, j = int(starts[r]), int(starts[r + 1])
-            own = [int.from_bytes(x, "little") for x in values[i:j].tolist()]
-            tree, places = BKTree(), []
+            own, tree, places = [a | b << 64 for a, b in fps[i:j].tolist()], BKTree(), []
             for k, x in enumerate(own):
                 if tree.add(x) == len(places):
                     places.append(i + k)
@@ -395,16 +397,13 @@ def with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
                 if len(near) > 1 or places[near[0]] != i + k:
                     hit[i + k] = True
                     hit[[places[p] for p in near]] = True
-        keep = np.flatnonzero(hit)
-        yield pa.RecordBatch.from_arrays([pa.array(run[keep] + keys), pa.array(rows[keep]), pa.array([x.ljust(8 * WIDE, b"\0") for x in values[keep].tolist()], pa.binary())], names=["key", "row", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(run[hit] + keys), pa.array(rows[hit])], names=["key", "row"])
         keys += len(starts)
 
 
 def root_candidates(batches: Iterator[pa.RecordBatch], radius: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(a, b): a is the root of a shard's BK-tree, b a document of the shard that is of another component and within the radius.
-
-    The least hash is the root, so that shards of the same documents have the same root.
-    """
+    """(a, b, d): a is the root of a shard's BK-tree, b a document of the shard that is of another component and within the radius,
+    at the distance d. The least hash is the root, so that shards of the same documents have the same root."""
     for rows, comps, fps, starts in shards(batches):
         if len(starts) < 2:
             continue
@@ -412,15 +411,15 @@ def root_candidates(batches: Iterator[pa.RecordBatch], radius: int, seed: int) -
         lot = (lot ^ (lot >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
         run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         root = np.lexsort((lot, run))[starts[:-1]][run]
-        near = np.bitwise_count(fps ^ fps[root]).sum(axis=1) <= radius
-        ok = near & (comps != comps[root])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[root[ok]]), pa.array(rows[ok])], names=["a", "b"])
+        far = np.bitwise_count(fps ^ fps[root]).sum(axis=1, dtype=np.int32)
+        ok = (far <= radius) & (comps != comps[root])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[root[ok]]), pa.array(rows[ok]), pa.array(far[ok])], names=["a", "b", "d"])
 
 
 def tree_candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b: documents of one shard and different components within the radius, found in the shard's BK-tree."""
+    """(a, b, d), a < b: documents of one shard and different components within the radius, found in the shard's BK-tree."""
     for rows, comps, fps, starts in shards(batches):
-        a, b = [], []
+        a, b, d = [], [], []
         rows, comps, values, starts = rows.tolist(), comps.tolist(), [int.from_bytes(x, "little") for x in fps.view(f"S{8 * WIDE}").ravel().tolist()], starts.tolist()
         for i, j in zip(starts, starts[1:], strict=False):
             tree, held = BKTree(), []
@@ -430,12 +429,13 @@ def tree_candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
                         if comps[other] != comps[k]:
                             a.append(min(rows[other], rows[k]))
                             b.append(max(rows[other], rows[k]))
+                            d.append((values[other] ^ values[k]).bit_count())
                 at = tree.add(values[k])
                 if at == len(held):
                     held.append([k])
                 else:
                     held[at].append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "d"])
 
 
 def enough(shared: int, n: int, m: int) -> bool:
@@ -462,9 +462,9 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     few = texts.join(F.broadcast(rows), "row", "left_semi") if common.small(rows) else texts.join(rows, "row", "left_semi")
-    sets = common.kept(few.mapInArrow(take, "row long, s binary"), "sets")
+    sets = common.kept(few.mapInArrow(common.tidy(take), "row long, s binary"), "sets")
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
-    return common.kept(both.mapInArrow(decide, "u long, v long"), "links")
+    return common.kept(both.mapInArrow(common.tidy(decide), "u long, v long"), "links")
 
 
 def similar_groups(df: DataFrame, *, key: str, text_column: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
@@ -473,18 +473,18 @@ def similar_groups(df: DataFrame, *, key: str, text_column: str = "text", words:
     texts = df.select(F.col(key).alias("row"), F.encode(F.coalesce(F.col(text_column), F.lit("")), "UTF-8").alias("_t"))
     every = common.kept(wide_prints(texts, words), "prints")
     nodes = common.kept(every.groupBy("digest").agg(F.min(F.struct("row", "fp")).alias("x")).select("digest", "x.row", "x.fp"), "nodes")
-    dealt = table_keys(nodes.select("row", F.col("row").alias("comp"), "fp")).repartition("key").sortWithinPartitions("key")
-    near = dealt.mapInArrow(lambda b: with_neighbours(b, WIDE_RADIUS), "key long, row long, fp binary")
-    shared = common.kept(near.select(F.struct(F.spark_partition_id().alias("part"), "key").alias("key"), "row", "fp").select(F.xxhash64("key").alias("key"), "row", "fp"), "shared")
+    dealt = table_keys(nodes.select("row", "fp")).repartition("key").sortWithinPartitions("key")
+    near = dealt.mapInArrow(common.tidy(lambda b: with_neighbours(b, HEAD_RADIUS)), "key long, row long").select(F.xxhash64(F.spark_partition_id(), "key").alias("key"), "row")
+    shared = common.kept(near, "near")
     links_, roots = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, root long")
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
-        now = shared.join(roots, shared["row"] == roots["node"], "left").select("key", "row", F.coalesce("root", "row").alias("comp"), "fp")
+        known = nodes.join(roots, nodes["row"] == roots["node"], "left").select("row", F.coalesce("root", "row").alias("comp"), "fp")
+        now = shared.join(known, "row").select("key", "row", "comp", "fp")
         found = (lambda b: tree_candidates(b, WIDE_RADIUS)) if last else (lambda b, turn=turn: root_candidates(b, WIDE_RADIUS, turn))
-        pairs = now.repartition("key").sortWithinPartitions("key").mapInArrow(found, "a long, b long").groupBy("a", "b").count()
+        pairs = now.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(found), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
         if not last:
-            best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
-            pairs = pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= ROOTS)
+            pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("k") <= ROOTS)
         new = similar(common.kept(pairs.select("a", "b"), "pairs"), texts, words)
         if new.head(1):
             links_ = links_.unionByName(new)
