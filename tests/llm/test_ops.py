@@ -37,6 +37,16 @@ EDGES = [
 ]
 
 
+def vectors():
+    """Vectors that are taken, half of them equal, and ones that aren't; columns whose names clash; an id twice and none."""
+    rng = np.random.default_rng(3)
+    good = [rng.normal(size=64).astype(np.float32).tolist() for _ in range(60)]
+    odd = [None, [], [1.0] * 63, [1.0] * 65, [1.0] * 63 + [None], [1.0] * 63 + [float("nan")], [float("inf")] + [1.0] * 63, [-0.001] * 64, [0.0] * 64]
+    every = [*good, *[good[0]] * 60, *odd]
+    ids = [None, 7, 7, *range(3, len(every))]
+    return pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(every, pa.list_(pa.float32())), **{c: ["clash"] * len(every) for c in ("id", "v", "h", "cluster", "distance")}})
+
+
 @pytest.fixture(scope="session")
 def edge(tmp_path_factory):
     """A folder with edge cases, a repeated row, columns whose names clash, and tables split over files."""
@@ -49,6 +59,7 @@ def edge(tmp_path_factory):
     url = [None, "", "http://www.B.com:8080/A?q#f", "http://[bad", "https://a.b.com/é\r\nX: y", "http://a.b.com", "http://b.com/", "http://b.com/", "http://b.com/", "x"]
     pq.write_table(pa.table({"page_id": pa.array(range(len(html))), "url": url, "html": html, "payload": ["clash"] * 10, "archive": ["clash"] * 10}), at / "pages.parquet")
     pq.write_table(pa.table({"item_id": pa.array([0, 1, 2, 3]), "text": [PASSAGE.upper(), None, "", "one"]}), at / "benchmark.parquet")
+    pq.write_table(vectors(), at / "embeddings.parquet")
     return str(at)
 
 
@@ -58,6 +69,7 @@ def empty(tmp_path_factory):
     pq.write_table(documents([]), at / "documents.parquet")
     pq.write_table(pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string())}), at / "pages.parquet")
     pq.write_table(pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), at / "benchmark.parquet")
+    pq.write_table(vectors().slice(0, 0), at / "embeddings.parquet")
     return str(at)
 
 
