@@ -248,14 +248,15 @@ def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, blo
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for nodes with edges.
 
-    edges: (u, v) with u > v. Both kinds of round leave the components as they are and the result is a star for each.
+    edges: (u, v) with u > v. Both kinds of round leave the components as they are and the result is a star for each. Least
+    neighbours are pre-aggregated and written, so both sides of a join are dealt by it alone, and Spark can split a hub's rows.
     """
     edges = common.kept(edges.where("u != v"), "edges")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = common.kept(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        down = common.kept(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         new = common.kept(small, "edges")
         sums = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
