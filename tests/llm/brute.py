@@ -72,20 +72,21 @@ def rules(text):
 def judged(docs, sources):
     """{doc_id: text} of the documents that their rules and hosts let pass."""
     m = {d: rules(t) for d, t in docs.items()}
-    fails = {d: (x[0] < 50, 100 * x[4] > 50 * x[0], 100 * x[2] > 20 * x[0]) for d, x in m.items()}
+    lines = {d: sum(bool(WORD.search(x)) for x in (t or "").split("\n")) for d, t in docs.items()}
+    fails = {d: (x[5], 100 * x[2] > 20 * x[0], 100 * x[3] > 30 * lines[d], 10 * x[1] < 35 * x[0] or 10 * x[1] > 80 * x[0]) for d, x in m.items()}
     n, strict, bad = Counter(sources.values()), set(), set()
-    for r in range(3):
+    for r in range(4):
         k = Counter({h: 0 for h in n} | Counter(sources[d] for d in docs if fails[d][r]))
         total = sum(n.values())
         mean = sum(k.values()) / total
         spread = sum(k[h] ** 2 / n[h] for h in n) / total - mean**2 - mean * (1 - mean) * len(n) / total
-        s = min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 0 else 1e6
+        s = min(max(mean * (1 - mean) / spread - 1, 1), 100) if spread > 0 else 100
         for h in n:
             p = (k[h] + mean * s) / (n[h] + s)
-            low = p - 1.96 * (p * (1 - p) / (n[h] + s + 1)) ** 0.5
-            if low > 0.5:
+            sd = (p * (1 - p) / (n[h] + s + 1)) ** 0.5
+            if p - 1.96 * sd > 0.5:
                 bad.add(h)
-            if low > 0.05:
+            if p - 0.5 * sd > mean:
                 strict.add((h, r))
     return {d: t for d, t in docs.items() if not m[d][5] and sources[d] not in bad and not any(f and (sources[d], r) in strict for r, f in enumerate(fails[d]))}
 

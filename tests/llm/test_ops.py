@@ -391,6 +391,16 @@ def test_hosts_decide(spark):
     assert (kept["bad"], kept["fine"], kept["small"], kept["h0"], kept["strict"], kept["once"]) == (0, 100, 1, 1, 70, 100)
 
 
+def test_verdicts_differ_by_host(spark, sf):
+    """On the given tables some hosts are strict in a rule and some aren't, so documents that fail it alike have different verdicts."""
+    docs = spark.read.parquet(f"{os.path.dirname(sf)}/sf0.01/documents.parquet")
+    r = hosts.judged(docs).where("not base_failed and not bad").collect()
+    for rule in ("symbols", "lines"):
+        assert {x[f"strict_{rule}"] for x in r} == {True, False}
+    assert {x["kept"] for x in r if x["f_symbols"]} == {True, False}
+    assert not any(x["kept"] for x in r if x["f_symbols"] and x["strict_symbols"])
+
+
 def test_hosts_equal_sql_where_they_decide(spark, duck, same, tmp_path):
     good, odd = " ".join(WORDS[:80]), " ".join(WORDS[:60]) + " ###" * 6
     texts = [odd if i % 5 == 0 and i % 3 == 1 else "short" if i % 7 and i % 3 == 2 else good for i in range(300)]
