@@ -56,12 +56,16 @@ def tidy(task):
 
 
 def partitions(df: DataFrame) -> int:
+    """Of a table's scan, dealt anew or not."""
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: dealt anew where it has fewer partitions than there are cores, as a table of one small file has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """df over all cores: dealt anew where it has fewer partitions than there are cores, as a table of one small file has. What comes out
+    of a shuffle is dealt already, and isn't run to count its partitions."""
+    cores, run = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in run.executedPlan().toString():
+        return df
     return df.repartition(cores) if partitions(df) < cores else df
 
 
@@ -162,19 +166,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return n <= rows and (b or 0) <= size
 
 
-def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: str, *, salts: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: str | None = None, *, salts: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join on key, nulls equal to nulls. right has one row for each key.
 
     right is broadcast only if it is counted to few rows and bytes. Else every row of right is repeated for each
     salt, so that the rows of a hot key on the left spread over ``salts`` tasks (an eighth of the shuffle's partitions, 16 at
-    least) by a hash of ``salt_by``, which stays the same when a lost task runs again.
+    least). The salt is a hash of ``salt_by`` or, without it, of the row's place in left, which is a written table then; either
+    stays the same when a lost task runs again, and the place differs for repeated rows too.
     """
     other = right.withColumnRenamed(key, "_key")
     if small(right, rows):
         return left.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     salts = salts or max(16, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by if salt_by else F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     return salted.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_key", "_salt", "_salt2")
 
 
@@ -183,14 +188,20 @@ def without_ids(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", *, row
 
     The ids are broadcast only if they are counted to at most ``rows``; else both sides are shuffled by id.
     """
-    gone = ids.toDF("_gone").where("_gone is not null")
+    name = free_name(df, "_gone")
+    gone = ids.toDF(name).where(F.col(name).isNotNull())
     side = F.broadcast(gone) if small(gone, rows) else gone.hint("merge")
-    return df.join(side, F.col(f"`{id_column}`") == F.col("_gone"), "left_anti")
+    return df.join(side, F.col(f"`{id_column}`") == F.col(name), "left_anti")
 
 
-def keyed(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df, written with a column more that is unique for each row, and that column's name."""
-    name = "_row"
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until df has no such column."""
     while name in [c.lower() for c in df.columns]:
         name += "_"
+    return name
+
+
+def keyed(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df, written with a column more that is unique for each row, and that column's name."""
+    name = free_name(df, "_row")
     return kept(df.withColumn(name, F.monotonically_increasing_id()), tag), name

@@ -15,10 +15,9 @@
 
 *Verified* (``similar_groups``), for a similarity whose fingerprints differ in too many bits for blocks: fingerprints of 512
 bits; each of a number of tables deals their heads of 128 bits to shards by bits of its own choice, so that a pair of the least
-similarity meets in some table with the chance ``RECALL``. Documents that have no other near them in a shard's BK-tree leave it.
-Then BK-trees of the whole fingerprints find those within ``WIDE_RADIUS``, and every link is decided by the Jaccard similarity of
-the two whole shingle sets. Some rounds first hold each document against the nearest roots of its shards' trees, so that a
-large group of copies becomes one component at a cost that grows as its size; then what is still apart is compared.
+similarity, even in the upper tail of its difference, meets in some table with the chance ``RECALL``. Documents that have no other near
+them in their shard leave it: the shard's root keys its children by their distance, and a search follows the edges within the
+radius. What is left of a shard is a bucket, whose links ``jaccard`` decides by the two whole shingle sets.
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; null doc_ids never
 name a group, and their rows belong to the group that their fingerprint is in (null if no row of it has an id); repeated
@@ -34,10 +33,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 
 SEED = 42
 RADIUS = 4
@@ -50,10 +49,10 @@ SIMILAR_WORDS, NUM, DEN = 5, 4, 5
 #: 64-bit words of a wide fingerprint, and the radii of it and of its first two words, its head: pairs of Jaccard 0.8 differ in 0.15 of
 #: the bits, on average, and the radii are two and a half and three standard deviations more.
 WIDE, WIDE_RADIUS, HEAD_RADIUS = 8, 98, 32
-#: The chance with which a pair that differs in BIT_DIFFERENCE of the bits meets in some table.
-RECALL, BIT_DIFFERENCE = 0.99, 0.145
-#: Rounds against the roots of trees, and roots, the nearest ones, that a document is held against in a round.
-ROUNDS, ROOTS = 3, 4
+#: The chance with which a pair that differs in BIT_DIFFERENCE of the bits, the most that is taken for near, meets in some table.
+RECALL, BIT_DIFFERENCE = 0.99, WIDE_RADIUS / (64 * WIDE)
+#: Rows of a shard beyond which all of them count as near each other, so that no task holds more; distances that are taken at once.
+SHARD_ROWS, AT_ONCE = 100_000, 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int) -> tuple[bytes, np.ndarray]:
@@ -281,7 +280,7 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     rooted = common.kept(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = common.kept(rooted.join(names, "root").select("fp", "component_id"), "labels")
-    return common.join_small_or_salted(fps, labels, "fp", id_column).select(id_column, "fp", "component_id")
+    return common.join_small_or_salted(fps, labels, "fp").select(id_column, "fp", "component_id")
 
 
 # groups verified by Jaccard similarity
@@ -315,8 +314,8 @@ def wide_prints(texts: DataFrame, words: int) -> DataFrame:
 
 def tables_for(n: int) -> list[np.ndarray]:
     """For n fingerprints the bits that each table's key takes, and so many tables that RECALL holds. The longer the key, the smaller
-    are the shards and the more tables it takes; as n grows, the tables grow about as its sixth root."""
-    width = min(60, max(4, round(0.7 * math.log2(max(n, 1)) + 3)))
+    are the shards and the more tables it takes: shards grow as n to the power 0.3, tables about as its fifth root."""
+    width = min(60, max(2, math.ceil(math.log2(max(n, 1) / max(4, n**0.3)))))
     meet = (1 - BIT_DIFFERENCE) ** width
     count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
     rng = np.random.default_rng(SEED)
@@ -342,156 +341,122 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(common.tidy(take), "key long, row long, w0 long, w1 long")
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, components, fingerprints, starts) of the runs of equal keys in a sorted partition that have documents of two
-    components or more; many whole runs at once, starts with the end behind them. Fingerprints are rows of 64-bit words, from the
-    column fp or the columns w0 and w1; without the column comp each document is a component."""
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """(rows, heads, starts) of the runs of equal keys in a sorted partition that have two rows or more; many whole runs at once, starts
+    with the end behind them. A run that grows over SHARD_ROWS comes in pieces without heads."""
     tail: pa.Table | None = None
+    over = None  # the key of a run in pieces
 
-    def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        key, row = table["key"].to_numpy(), table["row"].to_numpy()
-        comp = table["comp"].to_numpy() if "comp" in table.column_names else row
+    def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = table["key"].to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         sizes = np.diff(np.append(starts, len(key)))
-        keep = np.flatnonzero(np.repeat(mixed, sizes))
-        if "w0" in table.column_names:
-            fps = np.stack([table[c].to_numpy()[keep].view(np.uint64) for c in ("w0", "w1")], axis=1)
-        else:
-            fps = np.frombuffer(b"".join(table["fp"].take(pa.array(keep)).to_pylist()), np.uint64).reshape(-1, WIDE)
-        return row[keep], comp[keep], fps, np.concatenate(([0], np.cumsum(sizes[mixed])))
+        keep = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        heads = np.stack([table[c].to_numpy()[keep].view(np.uint64) for c in ("w0", "w1")], axis=1)
+        return table["row"].to_numpy()[keep], heads, np.concatenate(([0], np.cumsum(sizes[sizes > 1])))
 
     for b in batches:
         if not b.num_rows:
             continue
         table = pa.Table.from_batches([b])
+        if over is not None:
+            n = int(np.searchsorted(table["key"].to_numpy(), over, side="right"))
+            if n:
+                yield table["row"].to_numpy()[:n], None, np.array([0, n])
+                table = table.slice(n)
+            if not table.num_rows:
+                continue
+            over = None
         table = pa.concat_tables([tail, table]) if tail is not None else table
         key = table["key"].to_numpy()
         at = int(np.searchsorted(key, key[-1]))
         if at:
             yield cut(table.slice(0, at))
         tail = table.slice(at)
+        if tail.num_rows > SHARD_ROWS:
+            over = key[-1]
+            yield tail["row"].to_numpy(), None, np.array([0, tail.num_rows])
+            tail = None
     if tail is not None:
         yield cut(tail)
 
 
+def near_any(heads: np.ndarray, radius: int) -> np.ndarray:
+    """Which heads of a shard have another within the radius, by a BK-tree of one level, held as vectors: the first head is the
+    root, the others are its children, in order of their distances, and a search looks at those whose distance is within the
+    radius of its own. Heads that a search finds need none themselves, so a dense shard takes few searches."""
+    far = np.bitwise_count(heads ^ heads[0]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(far, kind="stable")
+    far, heads = far[order], heads[order]
+    hit = far <= radius
+    hit &= hit.sum() > 1
+    low, high = np.searchsorted(far, far - radius), np.searchsorted(far, far + radius, side="right")
+    at, step = 0, 1
+    while True:
+        lone = np.flatnonzero(~hit[at:])[:step] + at
+        if not len(lone):
+            break
+        a, z = int(low[lone[0]]), int(high[lone[-1]])
+        close = np.bitwise_count(heads[lone][:, None, :] ^ heads[None, a:z, :]).sum(axis=2, dtype=np.int32) <= radius
+        several = close.sum(axis=1) > 1
+        hit[lone[several]] = True
+        hit[a:z] |= close[several].any(axis=0)
+        at, step = int(lone[-1]) + 1, max(1, min(2 * step, AT_ONCE // len(heads)))
+    out = np.empty(len(hit), bool)
+    out[order] = hit
+    return out
+
+
 def with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(key, row): of each shard the documents that have another within the radius. Those near the root of the shard's
-    BK-tree have one; only the others search the tree."""
-    keys = 0
-    for rows, _, fps, starts in shards(batches):
-        if len(starts) < 2:
+    """(key, row): of each shard the documents that have another within the radius; all of a shard that comes in pieces. Keys are new ones,
+    that tell the shards of a partition apart."""
+    key, in_pieces = 0, False
+    for rows, heads, starts in shards(batches):
+        if heads is None:
+            key += not in_pieces
+            in_pieces = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), key)), pa.array(rows)], names=["key", "row"])
             continue
-        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        hit = np.bitwise_count(fps ^ fps[starts[:-1][run]]).sum(axis=1) <= radius
-        several = np.add.reduceat(hit, starts[:-1]) > 1
-        hit &= several[run]
-        lone = ~hit
-        for r in np.unique(run[lone]).tolist():
-            i, j = int(starts[r]), int(starts[r + 1])
-            own, tree, places = [a | b << 64 for a, b in fps[i:j].tolist()], BKTree(), []
-            for k, x in enumerate(own):
-                if tree.add(x) == len(places):
-                    places.append(i + k)
-            for k in np.flatnonzero(lone[i:j]).tolist():
-                near = tree.within(own[k], radius)
-                if len(near) > 1 or places[near[0]] != i + k:
-                    hit[i + k] = True
-                    hit[[places[p] for p in near]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(run[hit] + keys), pa.array(rows[hit])], names=["key", "row"])
-        keys += len(starts)
-
-
-def root_candidates(batches: Iterator[pa.RecordBatch], radius: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, d): a is the root of a shard's BK-tree, b a document of the shard that is of another component and within the radius,
-    at the distance d. The least hash is the root, so that shards of the same documents have the same root."""
-    for rows, comps, fps, starts in shards(batches):
+        in_pieces = False
         if len(starts) < 2:
             continue
-        lot = (rows.astype(np.uint64) + np.uint64(seed << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        lot = (lot ^ (lot >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        root = np.lexsort((lot, run))[starts[:-1]][run]
-        far = np.bitwise_count(fps ^ fps[root]).sum(axis=1, dtype=np.int32)
-        ok = (far <= radius) & (comps != comps[root])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[root[ok]]), pa.array(rows[ok]), pa.array(far[ok])], names=["a", "b", "d"])
-
-
-def tree_candidates(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, d), a < b: documents of one shard and different components within the radius, found in the shard's BK-tree."""
-    for rows, comps, fps, starts in shards(batches):
-        a, b, d = [], [], []
-        rows, comps, values, starts = rows.tolist(), comps.tolist(), [int.from_bytes(x, "little") for x in fps.view(f"S{8 * WIDE}").ravel().tolist()], starts.tolist()
-        for i, j in zip(starts, starts[1:], strict=False):
-            tree, held = BKTree(), []
-            for k in range(i, j):
-                for p in tree.within(values[k], radius):
-                    for other in held[p]:
-                        if comps[other] != comps[k]:
-                            a.append(min(rows[other], rows[k]))
-                            b.append(max(rows[other], rows[k]))
-                            d.append((values[other] ^ values[k]).bit_count())
-                at = tree.add(values[k])
-                if at == len(held):
-                    held.append([k])
-                else:
-                    held[at].append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "d"])
-
-
-def enough(shared: int, n: int, m: int) -> bool:
-    """Whether sets of n and m elements with so many in common have the similarity."""
-    return shared * (NUM + DEN) >= NUM * (n + m)
-
-
-def similar(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(u, v), u > v: the written pairs (a, b) whose whole shingle sets have the similarity, written."""
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        hit = np.concatenate([near_any(heads[i:j], radius) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
+        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) + key + 1
+        key += len(starts)
+        yield pa.RecordBatch.from_arrays([pa.array(run[hit]), pa.array(rows[hit])], names=["key", "row"])
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), words)[1]).tobytes() for t in b.column(1)], pa.binary())], names=["row", "s"])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_sets(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(row, n, s) of those texts (row, _t) whose rows are asked for (distinct, written): the sorted distinct hashes of their shingles, written."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((s, t)))
-                ok.append(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(s), len(t)))
-            u, v = (b.column(k).to_numpy()[np.array(ok, bool)] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)[1]) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "n", "s"])
 
     few = texts.join(F.broadcast(rows), "row", "left_semi") if common.small(rows) else texts.join(rows, "row", "left_semi")
-    sets = common.kept(few.mapInArrow(common.tidy(take), "row long, s binary"), "sets")
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
-    return common.kept(both.mapInArrow(common.tidy(decide), "u long, v long"), "links")
+    return common.kept(few.mapInArrow(common.tidy(take), "row long, n int, s binary"), "sets")
+
+
+def with_roots(every: DataFrame, labels: DataFrame) -> DataFrame:
+    return common.join_small_or_salted(every.select("row", "digest"), labels, "digest").select("row", "digest", "root")
 
 
 def similar_groups(df: DataFrame, *, key: str, text_column: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
     """(row, digest, root) for each row of df, whose key is unique and written: digest tells texts of equal words, root the group."""
-    spark = common.ready(df.sparkSession)
+    common.ready(df.sparkSession)
     texts = df.select(F.col(key).alias("row"), F.encode(F.coalesce(F.col(text_column), F.lit("")), "UTF-8").alias("_t"))
     every = common.kept(wide_prints(texts, words), "prints")
     nodes = common.kept(every.groupBy("digest").agg(F.min(F.struct("row", "fp")).alias("x")).select("digest", "x.row", "x.fp"), "nodes")
     dealt = table_keys(nodes.select("row", "fp")).repartition("key").sortWithinPartitions("key")
     near = dealt.mapInArrow(common.tidy(lambda b: with_neighbours(b, HEAD_RADIUS)), "key long, row long").select(F.xxhash64(F.spark_partition_id(), "key").alias("key"), "row")
     shared = common.kept(near, "near")
-    links_, roots = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, root long")
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        known = nodes.join(roots, nodes["row"] == roots["node"], "left").select("row", F.coalesce("root", "row").alias("comp"), "fp")
-        now = shared.join(known, "row").select("key", "row", "comp", "fp")
-        found = (lambda b: tree_candidates(b, WIDE_RADIUS)) if last else (lambda b, turn=turn: root_candidates(b, WIDE_RADIUS, turn))
-        pairs = now.repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(found), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
-        if not last:
-            pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("k") <= ROOTS)
-        new = similar(common.kept(pairs.select("a", "b"), "pairs"), texts, words)
-        if new.head(1):
-            links_ = links_.unionByName(new)
-            roots = common.kept(components(links_.distinct()), "roots")
+    sets = shingle_sets(texts, common.kept(shared.select("row").distinct(), "asked"), words)
+    roots = jaccard.grouped(shared.join(sets.select("row", "n"), "row"), sets.select("row", "s"), NUM, DEN, components)
+    if roots is None:
+        return with_roots(every, nodes.select("digest", F.col("row").alias("root")))
     labels = nodes.join(roots, nodes["row"] == roots["node"], "left").select("digest", F.coalesce("root", "row").alias("root"))
-    return common.join_small_or_salted(every.select("row", "digest"), common.kept(labels, "labels"), "digest", "row").select("row", "digest", "root")
+    return with_roots(every, common.kept(labels, "labels"))
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
