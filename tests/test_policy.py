@@ -47,6 +47,7 @@ def test_break_even_is_least():
         ("CREATE 10% UNIFORM SAMPLE OF a.t", ddl.Create("a.t", 0.1, "uniform", None)),
         ("create 2.5 % stratified sample of t on c;", ddl.Create("t", 0.025, "stratified", "c")),
         ("CREATE 5% SAMPLE OF t", ddl.Create("t", 0.05, None, None)),
+        ("CREATE 5% UNIVERSE SAMPLE OF t ON k", ddl.Create("t", 0.05, "universe", "k")),
         ("DROP SAMPLES OF t", ddl.Drop("t", None, None)),
         ("DELETE SAMPLES OF t", ddl.Drop("t", None, None)),
         ("DROP 10% UNIFORM SAMPLES OF t", ddl.Drop("t", 0.1, "uniform")),

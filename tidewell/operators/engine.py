@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..plans import aqp, policy
+from ..plans import text as texts
 from ..plans.query import Query
 from . import catalog, ddl, profile, sampling
 from .catalog import Sample
@@ -103,12 +104,19 @@ class SampledTable:
         self.store.switch(s | {"replaced": [x for x in replaced if x not in now]})
         for x in gone:  # what the batch before this one replaced; readers of the last state still find theirs
             self.store.drop(x)
+            self.store.drop(f"{x}_moments")
         return report
 
     def _kept_up(self, x: Sample, s: dict, batch: DataFrame, before: int, n: int, need: int, report: dict) -> Sample:
         p, began, target = self.set, time.time(), x.target
+        data = self.store.read(x.at)
+        if x.kind == "universe":
+            new = data.unionByName(sampling.universe(batch, x.column, x.declared, p.seed, p.keys))
+            at, rows = self.store.write_counted(new, f"samples/{x.id}", f"{s['batch']}")
+            report |= {f"sampling.action.{x.id}": policy.Action.UPDATE.value, f"sampling.count.{x.id}": rows, f"sampling.cost.{x.id}": time.time() - began}
+            return Sample(**x.dict() | {"rows": rows, "base_rows": before + n, "ratio": rows / max(before + n, 1), "at": at})
         d = policy.decide(need, x.rows, before + n, n, x.ratio, policy.State(x.attenuation), p.flags, p.overflow)
-        data, cap_sizes = self.store.read(x.at), self.store.read(s["groups"][x.column]) if x.column else None
+        cap_sizes = self.store.read(s["groups"][x.column]) if x.column else None
         if d.action is policy.Action.RESAMPLE:
             target = self._target(s, d.ratio)
             new = self._drawn(self.base(s), s, x.kind, x.column, d.ratio)
@@ -139,6 +147,8 @@ class SampledTable:
         p, k = self.set, self._target(s, ratio)
         if kind == "uniform":
             return sampling.uniform_ratio(base, ratio, p.seed, p.keys) if p.resample == "bernoulli" else sampling.uniform(base, s["rows"], k, p.seed, p.keys)
+        if kind == "universe":
+            return sampling.universe(base, column, ratio, p.seed, p.keys)
         sizes = self.store.read(s["groups"][column])
         draw = sampling.stratified_bernoulli if p.resample == "bernoulli" else sampling.stratified
         return draw(base, column, sizes, sampling.cap_value(sizes, k), p.seed, p.keys)
@@ -193,8 +203,9 @@ class SampledTable:
         shared.switch(new)
         return shared.read(new["names"]), shared.read(new["sizes"])
 
-    def sql(self, text: str, default_column: str | None = None) -> DataFrame | list[Sample] | int:
-        """A statement on samples, or any SQL over the table by its name."""
+    def sql(self, text: str, default_column: str | None = None, *, exact: bool = False) -> DataFrame | list[Sample] | int:
+        """A statement on samples, or any SQL over the table by its name and the session's views. Aggregates that a sample can
+        answer come with their errors, in columns <name>_err; what it can't, or all if it is asked, Spark answers exactly."""
         st = ddl.parse(text)
         if isinstance(st, ddl.Drop):
             return self.drop(st.kind, st.ratio)
@@ -202,13 +213,43 @@ class SampledTable:
             kinds = [(st.kind, st.column)] if st.kind else [("uniform", None), *([("stratified", st.column or default_column)] if st.column or default_column else [])]
             return [self.create(k, st.ratio, c) for k, c in kinds]
         self.base().createOrReplaceTempView(self.table)
-        return self.spark.sql(text)
-
-    def registered(self) -> list[aqp.Registered]:
-        return [aqp.Registered(x.table, x.kind, x.column, x.rows, self.store.read(x.at)) for x in self.samples()]
+        if exact or not self.samples():
+            return self.spark.sql(text)
+        try:
+            asked = texts.read(self.spark, text, self.table)
+        except texts.Unsupported:
+            return self.spark.sql(text)
+        others = {j.table: self.spark.table(j.table) for _, x in asked.queries for j in x.joins}
+        return texts.answered(asked, lambda x: self.approximate(x, others))
+
+    def registered(self, *, moments: bool = False) -> list[aqp.Registered]:
+        """The samples; with the moments that errors are predicted from, which are stored beside a sample when they are asked for first."""
+        return [aqp.Registered(x.table, x.kind, x.column, x.rows, data, self._moments(x, data) if moments else None) for x in self.samples() for data in [self.store.read(x.at)]]
+
+    def _moments(self, x: Sample, data: DataFrame) -> DataFrame:
+        at = f"{x.at}_moments"
+        if not self.store.written(at):
+            columns = [r["column_name"] for r in self.state()["stats"]]
+            self.store.write_at(aqp.sample_moments(data, columns, x.column if x.kind == "stratified" else None), at)
+        return self.store.read(at)
 
     def approximate(self, query: Query, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-        return aqp.answer(query, self.registered(), {**(tables or {}), self.table: self.base()}, z=self.set.z)
+        """From the sample that fits, or exactly where none does. Other facts of a query are told by tables."""
+        mine = self.registered(moments=query.error_bound is not None)
+        return aqp.answer(query, mine, {**(tables or {}), self.table: self.base()}, z=self.set.z)
+
+    def joined(self, query: Query, others: list[SampledTable], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+        """A query that joins this table with other sampled ones, from their universe samples on the columns that join."""
+        on = {j.table: j for j in query.joins}
+        (key,) = {on[o.table].left for o in others}
+        picked = {self.table: self._universe(key), **{o.table: o._universe(on[o.table].right) for o in others}}
+        return aqp.universe(query, picked, key, tables, z=self.set.z)
+
+    def _universe(self, column: str) -> DataFrame:
+        found = [x for x in self.samples() if x.kind == "universe" and x.column == column]
+        if not found:
+            raise LookupError(f"{self.table} has no universe sample on {column}")
+        return self.store.read(max(found, key=lambda x: x.rows).at)
 
     def report_frame(self, report: dict) -> DataFrame:
         """A report in long form."""

@@ -2,6 +2,17 @@
 
 All draws are by keyed numbers: the rows with the least numbers are drawn. Such a sample of a sample and a batch is the
 sample of both, whatever the order of batches, and drawing again gives the same rows.
+
+*Threshold samples.* A sample may consist of parts that were drawn at different chances, as an extension leaves them. Every row carries its
+part's threshold (``verdict_vthr``): of the rows that the part stands for, the sample holds those with numbers under it. When a sample
+is thinned, by a batch that comes in or by an extension, all parts get the common threshold t that the draw ends at:
+
+- parts whose thresholds are t or more, and the batch, whose rows had none yet, are one part from then on: they are the rows under t of
+  all rows that they stand for;
+- a part with a lower threshold loses no row and stays what it is.
+
+A part of n rows that stands for N rows is a draw without replacement of n from N, so its chance (``verdict_vprob``) is n / N, and estimates add up
+over parts as over strata. The same holds within each stratum of a stratified sample.
 """
 
 from __future__ import annotations
@@ -11,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed, sizing
 
-PROB, PART = "verdict_vprob", "verdict_vpart"
+PROB, PART, THRESHOLD = "verdict_vprob", "verdict_vpart", "verdict_vthr"
 #: Least rows kept of a stratum that has them.
 LEAST = 10
 
@@ -33,7 +44,13 @@ def _edge(counts: dict[int, int], k: int) -> tuple[int | None, int]:
 
 
 def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str], rows: int | None = None) -> DataFrame:
-    """The k rows with the least keyed numbers, ties by key: a filter of df, without a sort or a shuffle of its rows.
+    """The k rows with the least keyed numbers, ties by key; more only if rows share the last one's key, which then all are drawn."""
+    return draw(df, k, seed, keys, rows)[0]
+
+
+def draw(df: DataFrame, k: int, seed: int | str, keys: list[str], rows: int | None = None) -> tuple[DataFrame, int, int | None]:
+    """bottom_k's rows, the threshold under which the drawn rows' numbers are, and how many rows were drawn, None if that is all that
+    df has: a filter of df, without a sort or a shuffle of its rows.
 
     One row a bucket of numbers goes to the driver and tells up to which number all rows are drawn. If ``rows`` is told, of
     which df's are those with the least numbers, the k-th number is known to within ten standard deviations, and fine
@@ -42,7 +59,7 @@ def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str], rows: int
     """
     k = max(0, int(k))
     if not k:
-        return df.limit(0)
+        return df.limit(0), 0, 0
     u = df.withColumn("_u", keyed.unit(seed, keys))
 
     def counted(rows: DataFrame, bucket: Column) -> dict[int, int]:
@@ -60,15 +77,15 @@ def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str], rows: int
         if before <= k:
             found, more = _edge(counts, k - before)
             if found is None and not beyond and before + more <= k:
-                return df
+                return df, keyed.RANGE, None
             base, step, done = low, width, before + more
             if found is None and done == k:
-                return u.where(F.col("_u") < high).drop("_u")
+                return u.where(F.col("_u") < high).drop("_u"), high, k
     if found is None:
         base, step = 0, 1 << 16
         found, done = _edge(counted(u, F.shiftright("_u", 16)), k)
         if found is None:
-            return df
+            return df, keyed.RANGE, None
     edge = base + found * step
     if done < k and step > 1:
         ends = counted(u.where((F.col("_u") >= edge) & (F.col("_u") < edge + step)), F.col("_u"))
@@ -76,25 +93,55 @@ def bottom_k(df: DataFrame, k: int, seed: int | str, keys: list[str], rows: int
         done += more
     drawn = F.col("_u") < edge
     if done < k:
-        tied = u.where(F.col("_u") == edge).orderBy(*keys).limit(k - done).agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
-        last = F.struct(*[F.lit(tied[c]).cast(df.schema[c].dataType).alias(c) for c in keys])
+        tied = u.where(F.col("_u") == edge)
+        most = tied.orderBy(*keys).limit(k - done).agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
+        last = F.struct(*[F.lit(most[c]).cast(df.schema[c].dataType).alias(c) for c in keys])
         drawn |= (F.col("_u") == edge) & (F.struct(*keys) <= last)
-    return u.where(drawn).drop("_u")
+        done += tied.where(F.struct(*keys) <= last).count()
+        edge += 1
+    return u.where(drawn).drop("_u"), edge, done
 
 
-def weighted(df: DataFrame, p: float | Column, seed: int | str, keys: list[str]) -> DataFrame:
-    """df with its chance of being drawn and its part."""
-    p = F.lit(float(p)) if isinstance(p, (int, float)) else p
-    return df.withColumn(PROB, p.cast("double")).withColumn(PART, keyed.part(seed, keys))
+def weighted(df: DataFrame, p: float | Column, seed: int | str, keys: list[str], threshold: int | Column | None = None) -> DataFrame:
+    """df with its chance of being drawn, its part for subsampling, and its threshold, that of the chance if none is told."""
+    if threshold is None:
+        threshold = keyed.below(p) if isinstance(p, (int, float)) else F.least(F.lit(keyed.RANGE), F.ceil(p * keyed.RANGE))
+    p, threshold = (F.lit(x) if isinstance(x, (int, float)) else x for x in (p, threshold))
+    own = [F.col(f"`{c}`") for c in df.columns if c not in (PROB, PART, THRESHOLD)]
+    return df.select(*own, p.cast("double").alias(PROB), keyed.part(seed, keys).alias(PART), threshold.cast("long").alias(THRESHOLD))
 
 
 def plain(sample: DataFrame) -> DataFrame:
-    return sample.drop(PROB, PART)
+    return sample.drop(PROB, PART, THRESHOLD)
 
 
 def uniform(base: DataFrame, rows: int, k: int, seed: int | str, keys: list[str]) -> DataFrame:
     """A new sample of k of the base's rows."""
-    return weighted(bottom_k(base, k, seed, keys, rows), min(1.0, k / max(rows, 1)), seed, keys)
+    drawn, threshold, n = draw(base, k, seed, keys, rows)
+    return weighted(drawn, 1.0 if n is None else min(1.0, n / max(rows, 1)), seed, keys, threshold)
+
+
+def with_new(sample: DataFrame, batch: DataFrame | None) -> DataFrame:
+    """The rows of the sample with their chances and thresholds and those of the batch, which have none yet. A sample from before
+    thresholds were kept is one part."""
+    old = sample.drop(PART) if THRESHOLD in sample.columns else sample.drop(PART).withColumn(THRESHOLD, F.lit(keyed.RANGE))
+    none = {PROB: F.lit(None).cast("double"), THRESHOLD: F.lit(None).cast("long")}
+    return old if batch is None else old.unionByName(batch.withColumns(none))
+
+
+def thinned(sample: DataFrame, batch: DataFrame | None, k: int, rows: int, seed: int | str, keys: list[str]) -> DataFrame:
+    """k rows of the sample, and the batch if there is one, with the chances of their parts; rows is what they all stand for. The
+    threshold is that of the least thinned part at most. A row for each part goes to the driver."""
+    drawn, threshold, _ = draw(with_new(sample, batch), k, seed, keys, rows)
+    parts = drawn.groupBy(THRESHOLD, PROB).agg(F.count(F.lit(1)).alias("n")).collect()
+    known = [r[THRESHOLD] for r in parts if r[THRESHOLD] is not None]
+    t = min(threshold, max(known, default=keyed.RANGE))
+    apart = [r for r in parts if r[THRESHOLD] is not None and r[THRESHOLD] < t]
+    drawn = drawn.where(keyed.unit(seed, keys) < t) if t < threshold else drawn
+    n = sum(r["n"] for r in parts) - sum(r["n"] for r in apart) if t == threshold else drawn.where(F.coalesce(F.col(THRESHOLD) >= t, F.lit(True))).count()
+    p = min(1.0, n / max(rows - sum(round(r["n"] / r[PROB]) for r in apart), 1))
+    stays = F.coalesce(F.col(THRESHOLD) < t, F.lit(False))
+    return weighted(drawn, F.when(stays, F.col(PROB)).otherwise(p), seed, keys, F.when(stays, F.col(THRESHOLD)).otherwise(keyed.RANGE if p == 1.0 else t))
 
 
 def uniform_ratio(base: DataFrame, ratio: float, seed: int | str, keys: list[str]) -> DataFrame:
@@ -105,24 +152,21 @@ def uniform_ratio(base: DataFrame, ratio: float, seed: int | str, keys: list[str
 
 def uniform_update(sample: DataFrame, batch: DataFrame, size: int, base_rows: int, batch_rows: int, seed: int | str, keys: list[str]) -> DataFrame:
     """The sample of base and batch of the same size, from sample and batch alone. base_rows excludes the batch."""
-    both = plain(sample).unionByName(batch)
-    return weighted(bottom_k(both, size, seed, keys, base_rows + batch_rows), min(1.0, size / max(base_rows + batch_rows, 1)), seed, keys)
+    return thinned(sample, batch, size, base_rows + batch_rows, seed, keys)
 
 
 def find_x(need: int, size: int, m: int, seed: int | str) -> int:
-    """How many rows of the old sample an extension keeps: whole, even in max(need - m, 0) to size, fixed by the seed."""
+    """How many rows of the old sample an extension keeps: whole, even in max(need - m, LEAST) to size, fixed by the seed. Without any
+    row of it, nothing would stand for the table before the batch."""
     import hashlib
 
-    low, high = max(need - m, 0), size
+    low, high = max(need - m, min(LEAST, size)), size
     return low if high <= low else low + int(hashlib.md5(f"{seed}/x".encode()).hexdigest()[:8], 16) % (high - low + 1)
 
 
 def uniform_adaptive(sample: DataFrame, batch: DataFrame, need: int, x: int, base_rows: int, batch_rows: int, seed: int | str, keys: list[str]) -> DataFrame:
     """x rows of the old sample and need - x of the batch, each part with its own chance."""
-    old = bottom_k(plain(sample), x, seed, keys, base_rows)
-    new = bottom_k(batch, need - x, seed, keys, batch_rows)
-    a = weighted(old, min(1.0, x / max(base_rows, 1)), seed, keys)
-    return a.unionByName(weighted(new, min(1.0, (need - x) / max(batch_rows, 1)), seed, keys))
+    return thinned(sample, None, x, base_rows, seed, keys).unionByName(uniform(batch, batch_rows, need - x, seed, keys))
 
 
 def uniform_incremental(sample: DataFrame, batch: DataFrame, ratio: float, seed: int | str, keys: list[str]) -> DataFrame:
@@ -130,6 +174,14 @@ def uniform_incremental(sample: DataFrame, batch: DataFrame, ratio: float, seed:
     return sample.unionByName(uniform_ratio(batch, ratio, seed, keys))
 
 
+def universe(base: DataFrame, column: str, ratio: float, seed: int | str, keys: list[str]) -> DataFrame:
+    """A sample of a column's values with all rows of each: tables that are sampled so by columns that join keep the pairs that join. Rows
+    of a batch are in it by the same rule, so the sample of (table + batch) is the one of the table and the one of the batch."""
+    ratio = max(0.0001, round(ratio, 4))
+    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return weighted(base.withColumn("_key", value).where(keyed.unit(f"{seed}/universe", ["_key"]) < keyed.below(ratio)).drop("_key"), ratio, seed, keys)
+
+
 # by strata
 
 
@@ -166,7 +218,7 @@ def cap_value(sizes: DataFrame, target: float, least: int = LEAST) -> int:
 
 
 def bottom_cap(df: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
-    """Of each stratum its cap rows with the least keyed numbers, all if it has no more; with _kept, their number, and _size.
+    """Of each stratum its cap rows with the least keyed numbers, all if it has no more; with _u, the number, _kept, how many, and _size.
 
     Rows that are surely not among them are filtered before strata are ordered: in a stratum of s rows of which c are drawn,
     the c-th least number is below (c + 10 sqrt(c) + 50) / s of the range, save with a chance under 1e-15. So what is
@@ -178,7 +230,7 @@ def bottom_cap(df: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int
     near = rows.where((F.col("_size") <= bound) | (F.col("_u") < F.lit(bound) / F.col("_size") * keyed.RANGE))
     stratum = Window.partitionBy(column)
     ranked = near.withColumn("_r", F.row_number().over(stratum.orderBy("_u", *keys))).withColumn("_kept", F.least(F.count(F.lit(1)).over(stratum), F.lit(cap)))
-    return ranked.where(F.col("_r") <= cap).drop("_u", "_r")
+    return ranked.where(F.col("_r") <= cap).drop("_r")
 
 
 def _with_size(df: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
@@ -186,10 +238,24 @@ def _with_size(df: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
     return df.join(own, F.col(column).eqNullSafe(F.col("_g"))).drop("_g")
 
 
+def parted(drawn: DataFrame, column: str, rows: Column, seed: int | str, keys: list[str]) -> DataFrame:
+    """What bottom_cap drew, with the chances of the parts of its stratum; rows is what a stratum's drawn rows stand for. Rows that
+    come with a chance and a threshold are of the parts that those name; the windows lie as bottom_cap's do, so nothing is shuffled."""
+    stratum = Window.partitionBy(column)
+    out = drawn.withColumn("_t", F.max("_u").over(stratum) + 1)
+    stays = F.coalesce(F.col(THRESHOLD) < F.col("_t"), F.lit(False))
+    out = out.withColumns({"_n": F.sum(F.when(stays, 0).otherwise(1)).over(stratum), "_rest": rows - F.round(F.coalesce(F.sum(F.when(stays, 1 / F.col(PROB))).over(stratum), F.lit(0.0)))})
+    whole = F.col("_n") >= F.col("_rest")
+    p = F.when(stays, F.col(PROB)).when(whole, 1.0).otherwise(F.col("_n") / F.col("_rest"))
+    t = F.when(stays, F.col(THRESHOLD)).when(whole, keyed.RANGE).otherwise(F.col("_t"))
+    return weighted(out, p, seed, keys, t)
+
+
 def stratified(base: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
     """A new sample with at most cap rows of each stratum; sizes are the base's."""
     drawn = bottom_cap(base, column, sizes, cap, seed, keys)
-    return weighted(drawn, F.col("_kept") / F.col("_size"), seed, keys).drop("_kept", "_size")
+    t = F.when(F.col("_kept") < F.col("_size"), F.max("_u").over(Window.partitionBy(column)) + 1).otherwise(keyed.RANGE)
+    return weighted(drawn, F.col("_kept") / F.col("_size"), seed, keys, t).drop("_u", "_kept", "_size")
 
 
 def stratified_bernoulli(base: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
@@ -201,18 +267,18 @@ def stratified_bernoulli(base: DataFrame, column: str, sizes: DataFrame, cap: in
 
 def stratified_update(sample: DataFrame, batch: DataFrame, column: str, sizes: DataFrame, cap: int, seed: int | str, keys: list[str]) -> DataFrame:
     """The sample by a cap of base and batch, from sample and batch alone. sizes are those of base and batch together."""
-    drawn = bottom_cap(plain(sample).unionByName(batch), column, sizes, cap, seed, keys)
-    return weighted(drawn, F.col("_kept") / F.col("_size"), seed, keys).drop("_kept", "_size")
+    drawn = bottom_cap(with_new(sample, batch), column, sizes, cap, seed, keys)
+    return parted(drawn, column, F.col("_size"), seed, keys).drop("_u", "_kept", "_size", "_t", "_n", "_rest")
 
 
 def stratified_adaptive(sample: DataFrame, batch: DataFrame, column: str, sizes: DataFrame, x: int, need: int, seed: int | str, keys: list[str]) -> DataFrame:
-    """A cap for x rows of the old sample and one for need - x rows of the batch; chances from what both keep of a stratum."""
-    old, a, b = plain(sample), group_sizes(sample, column), group_sizes(batch, column)
-    kept_old = bottom_cap(old, column, a, cap_value(a, x), seed, keys)
-    kept_new = bottom_cap(batch, column, b, cap_value(b, need - x), seed, keys)
-    both = kept_old.drop("_kept", "_size").unionByName(kept_new.drop("_kept", "_size"))
-    rows = _with_size(both, column, sizes).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(column)))
-    return weighted(rows, F.col("_k") / F.col("_size"), seed, keys).drop("_k", "_size")
+    """A cap for x rows of the old sample and one for need - x rows of the batch, and for what either keeps of a stratum its own
+    chance, of the stratum's rows before the batch and in it. sizes are those of base and batch together."""
+    a, b = group_sizes(sample, column), group_sizes(batch, column)
+    old = bottom_cap(with_new(sample, None), column, a, cap_value(a, x), seed, keys).drop("_size")
+    before = sizes.unionByName(b.select(column, (-F.col("group_size")).alias("group_size"))).groupBy(column).agg(F.sum("group_size").alias("group_size"))
+    old = parted(_with_size(old, column, before), column, F.col("_size"), seed, keys).drop("_u", "_kept", "_size", "_t", "_n", "_rest")
+    return old.unionByName(stratified(batch, column, b, cap_value(b, need - x), seed, keys))
 
 
 def stratified_incremental(sample: DataFrame, batch: DataFrame, column: str, target: float, seed: int | str, keys: list[str]) -> DataFrame:

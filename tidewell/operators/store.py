@@ -65,6 +65,15 @@ class Store:
         at = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name, version)
         return at, seen.get["n"]
 
+    def write_at(self, df: DataFrame, at: str) -> None:
+        """Writes what follows from a version beside it."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{at}")
+
+    def written(self, at: str) -> bool:
+        """Whether a folder was written to its end."""
+        fs, path = self._path(f"{self.root}/{at}/_SUCCESS")
+        return fs.exists(path)
+
     def read(self, at: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{at}")
 

@@ -19,7 +19,8 @@ class Join:
 
 @dataclass(frozen=True)
 class Query:
-    """agg is avg, sum or count of value, a SQL expression, or ratio: the sum of value by the sum of over, times scale."""
+    """agg is avg, sum or count of value, a SQL expression, or ratio: the sum of value by the sum of over, times scale. With an error
+    bound, a share of the answer, the smallest sample is taken whose predicted error meets it."""
 
     table: str
     agg: str
@@ -30,6 +31,7 @@ class Query:
     joins: tuple[Join, ...] = ()
     over: str | None = None
     scale: float = 1.0
+    error_bound: float | None = None
 
     @property
     def name(self) -> str:

@@ -13,6 +13,7 @@ from ..sources import files, tables
 from ..streaming import ingest
 from . import aqp, policy
 from . import query as q
+from . import text as texts
 
 Run = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Run] = {}
@@ -260,7 +261,7 @@ def c5_table_statements(spark, sf_dir):
     return spark.createDataFrame(steps, "step string, tables int, rows bigint")
 
 
-@_query("SELECT true AS database_there, true AS table_there, false AS other_there, false AS database_left, 'n_nationkey bigint,n_name string,n_regionkey bigint' AS columns")
+@_query("SELECT true AS database_there, count(*) > 0 AS table_there, count(*) FILTER (table_name = 'other') > 0 AS other_there, false AS database_left, string_agg(column_name || ' ' || CASE data_type WHEN 'VARCHAR' THEN 'string' ELSE 'bigint' END, ',' ORDER BY ordinal_position) AS columns FROM information_schema.columns WHERE table_name IN ('nation', 'other')")
 def c2_catalog_lookups(spark, sf_dir):
     """SHOW DATABASES, existence of tables, and a table's columns."""
     with tables.database(spark, scratch(spark, "db")) as db:
@@ -548,19 +549,22 @@ def _capped_sql(rows: str, target: int) -> str:
     return f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {U}, {_K}) AS r FROM ({rows})) WHERE r <= ({cap})"
 
 
-@_query(f"""WITH rows_ AS ({_capped_sql(_OLD20, 1200)} UNION ALL {_capped_sql('SELECT * FROM lineitem WHERE ' + BATCH, 800)}),
-kept AS (SELECT l_suppkey AS k, count(*) AS kept FROM rows_ GROUP BY 1), sizes AS ({_SIZES})
-SELECT l_suppkey, {_WEIGHED} FROM (SELECT rows_.*, kept::DOUBLE / sizes.s AS p FROM rows_ JOIN kept ON l_suppkey = kept.k JOIN sizes ON l_suppkey = sizes.k) GROUP BY l_suppkey""")
+@_query(f"""WITH rows_ AS (SELECT *, 0 AS o FROM ({_capped_sql(_OLD20, 1200)}) UNION ALL SELECT *, 1 AS o FROM ({_capped_sql('SELECT * FROM lineitem WHERE ' + BATCH, 800)})),
+kept AS (SELECT l_suppkey AS k, o, count(*) AS kept FROM rows_ GROUP BY 1, 2), sizes AS (SELECT l_suppkey AS k, ({BATCH})::INT AS o, count(*) AS s FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, {_WEIGHED} FROM (SELECT rows_.*, kept::DOUBLE / sizes.s AS p FROM rows_ JOIN kept ON l_suppkey = kept.k AND rows_.o = kept.o JOIN sizes ON l_suppkey = sizes.k AND rows_.o = sizes.o) GROUP BY l_suppkey""")
 def n10_adaptive_stratified(spark, sf_dir):
-    """A stored stratified sample of the base extended by a batch."""
+    """A stored stratified sample of the base extended by a batch; what each of them keeps of a stratum has its own weight."""
     batch, old, sizes = _stratified_state(spark, sf_dir)
     return _weighed(sampling.stratified_adaptive(old, batch, "l_suppkey", sizes, 1200, 2000, SEED, KEYS), "l_suppkey")
 
 
-@_query("SELECT seed::INT AS seed, (1600 + ('0x' || substr(md5(seed || '/x'), 1, 8))::BIGINT % 401)::INT AS x FROM range(50) AS t(seed)")
+_LOW = "greatest(need - m, least(10, size))"
+
+
+@_query(f"SELECT size::INT AS size, (CASE WHEN size <= {_LOW} THEN {_LOW} ELSE {_LOW} + ('0x' || substr(md5(size::INT || '/x'), 1, 8))::BIGINT % (size - {_LOW} + 1)::BIGINT END)::BIGINT AS x FROM {_STATES}")
 def n11_find_x(spark, sf_dir):
-    """The rows that an extension keeps: even in the range, fixed by the seed."""
-    return spark.createDataFrame([(s, sampling.find_x(2500, 2000, 900, s)) for s in range(50)], "seed int, x int")
+    """The rows that an extension of samples of several sizes keeps, for what the table's profile needs: even in the range, fixed by the seed."""
+    return spark.createDataFrame([(s, sampling.find_x(d.need, s, d.m, s)) for s, d in _decisions(spark, sf_dir)], "size int, x bigint")
 
 
 @_query(f"SELECT l_returnflag, {SUMS}, round(sum(CAST(10 AS DOUBLE)), 6) AS weight FROM lineitem WHERE {U} < {keyed.below(0.1)} GROUP BY l_returnflag")
@@ -600,10 +604,10 @@ def n19_parts(spark, sf_dir):
 _LC = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
 
 
-@_query(f"SELECT min(m)::INT AS m FROM (SELECT m, sum(exp({_LC.format(n='10000.0', k='x')} + {_LC.format(n='m', k='(110.0 - x)')} - {_LC.format(n='(10000.0 + m)', k='110.0')})) AS chance FROM (SELECT unnest(range(10, 4000))::DOUBLE AS m), (SELECT unnest(range(101))::DOUBLE AS x) WHERE 110 - x <= m GROUP BY m) WHERE chance >= 0.75")
+@_query(f"SELECT min(m)::INT AS m FROM (SELECT m, sum(exp({_LC.format(n='d', k='x')} + {_LC.format(n='m', k='(110.0 - x)')} - {_LC.format(n='(d + m)', k='110.0')})) AS chance FROM (SELECT count(*)::DOUBLE AS d FROM lineitem), (SELECT unnest(range(10, (SELECT count(*) // 3 FROM lineitem)))::DOUBLE AS m), (SELECT unnest(range(101))::DOUBLE AS x) WHERE 110 - x <= m GROUP BY m) WHERE chance >= 0.75")
 def n22_break_even(spark, sf_dir):
-    """The least number of new rows for which an extension very likely needs no old row that isn't there."""
-    return spark.createDataFrame([(policy.break_even(10_000, 100, 110),)], "m int")
+    """The least number of new rows for which an extension of the table's sample very likely needs no old row that isn't there."""
+    return spark.createDataFrame([(policy.break_even(table(spark, sf_dir, "lineitem").count(), 100, 110),)], "m int")
 
 
 # the catalog
@@ -774,7 +778,7 @@ def q6_stored_samples(spark, sf_dir):
     return out
 
 
-@_query(f"SELECT l_returnflag, round(sum(y), 2) AS sum, round(1.96 * stddev_samp(y * 100) * sqrt(avg(n)) / sqrt(sum(n)), 2) AS sum_err FROM (SELECT l_returnflag, floor({PART_U} * 100 / {keyed.RANGE}) AS part, sum(l_extendedprice / p) AS y, count(*) AS n FROM {_S} GROUP BY 1, 2) GROUP BY l_returnflag")
+@_query(f"SELECT l_returnflag, round(sum(y), 2) AS sum, round(1.96 * 10 * stddev_samp(y), 2) AS sum_err FROM (SELECT l_returnflag, part, coalesce(y, 0) AS y FROM (SELECT DISTINCT l_returnflag FROM {_S}) CROSS JOIN (SELECT unnest(range(100)) AS part) LEFT JOIN (SELECT l_returnflag, floor({PART_U} * 100 / {keyed.RANGE})::BIGINT AS part, sum(l_extendedprice / p) AS y FROM {_S} GROUP BY 1, 2) USING (l_returnflag, part)) GROUP BY l_returnflag")
 def q1_aqp_subsampled(spark, sf_dir):
     """Errors from the spread of a hundred parts of the sample."""
     x = q.Query("lineitem", "sum", "l_extendedprice", group_by=("l_returnflag",))
@@ -807,6 +811,89 @@ def q8_audit(spark, sf_dir):
     return out.select("l_returnflag", F.round("exact", 2).alias("exact"), F.round("approx", 2).alias("approx"), "sample_rows", "least_vprob", "most_vprob")
 
 
+_BOTTOMED = lambda target: f"(SELECT * EXCLUDE (r), {target}::DOUBLE / (SELECT count(*) FROM lineitem) AS p FROM (SELECT *, row_number() OVER (ORDER BY {U}, {_K}) AS r FROM lineitem) WHERE r <= {target})"
+#: A query of the pool for each aggregate, value, and set of columns that it filters and groups by.
+_SHAPES = list({(x.agg, x.value, x.where_columns, x.group_by): x for x in reversed(q.pool())}.values())
+
+
+def _texts_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT {i} AS q, {x.group_by[0] if x.group_by else -1}::BIGINT AS g, round({x.agg}, 2) AS v, round({x.agg}_err, 2) AS err FROM ({aqp_sql(x, 's')})" for i, x in enumerate(_SHAPES))
+    return f"WITH s AS MATERIALIZED {_BOTTOMED(_TENTH)} {each}"
+
+
+@_query(_texts_sql())
+def q9_sql_texts(spark, sf_dir):
+    """SQL texts of every shape in the pool, sent to a stored table as they are and answered from its sample, with errors."""
+    t = engine.SampledTable(spark, scratch(spark, "texts"), "lineitem", engine.Settings(KEYS, columns=["l_extendedprice"], seed=SEED))
+    t.receive(lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", "l_quantity"), 0)
+    t.sql("CREATE 10% UNIFORM SAMPLE OF lineitem")
+    out = None
+    for i, x in enumerate(_SHAPES):
+        g = F.col(x.group_by[0]).cast("bigint") if x.group_by else F.lit(-1).cast("bigint")
+        one = t.sql(x.sql()).select(F.lit(i).alias("q"), g.alias("g"), F.round(x.agg, 2).alias("v"), F.round(f"{x.agg}_err", 2).alias("err"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_UP = lambda ratio: f"(SELECT greatest(1, round({ratio} * count(*))) FROM lineitem)"
+_HALF_WHERE = "l_suppkey % 2 = 0"
+
+
+def _choice_sql() -> str:
+    uniform = lambda r: f"SELECT 'uniform' AS kind, count(*) AS rows, 1.96 * sqrt(sum(1 / p) * sum(1 / p) * (1 - count(*) / sum(1 / p)) / count(*) * share * var_samp(l_extendedprice)) / (sum(1 / p) * share * abs(avg(l_extendedprice))) AS e FROM {_BOTTOMED(_UP(r))}, (SELECT count(*) FILTER ({_HALF_WHERE}) / count(*)::DOUBLE AS share FROM {_BOTTOMED(_UP(0.01))}) GROUP BY share"
+    strata = f"SELECT l_suppkey, count(*)::DOUBLE AS n, sum(1 / p) AS s, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM ({_strat_sql('SELECT greatest(cap, 10) FROM (' + _CAP.format(target=_UP(0.02), sizes=_SIZES) + ')')}) GROUP BY l_suppkey"
+    stratified = f"SELECT 'stratified', sum(n)::BIGINT, 1.96 * sqrt(sum(CASE WHEN n >= s THEN 0 ELSE s * s * (1 - n / s) / n * v END) FILTER ({_HALF_WHERE})) / abs(sum(s * m) FILTER ({_HALF_WHERE})) FROM ({strata})"
+    return f"SELECT kind, rows::BIGINT AS rows, round(e, 6) AS predicted, row_number() OVER (ORDER BY e > 0.02, CASE WHEN e > 0.02 THEN e ELSE rows END) = 1 AS chosen FROM ({uniform(0.2)} UNION ALL {uniform(0.01)} UNION ALL {stratified})"
+
+
+@_query(_choice_sql())
+def q6_choice_by_error(spark, sf_dir):
+    """The errors that a query is expected to have from each of three samples, and which one the engine takes for a bound of 2 %. By its
+    columns alone it would take the stratified one, which is worse for it."""
+    t = engine.SampledTable(spark, scratch(spark, "choice"), "lineitem", engine.Settings(KEYS, columns=["l_extendedprice"], seed=SEED))
+    t.receive(lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice"), 0)
+    for x in ("20% UNIFORM SAMPLE OF lineitem", "2% STRATIFIED SAMPLE OF lineitem ON l_suppkey", "1% UNIFORM SAMPLE OF lineitem"):
+        t.sql(f"CREATE {x}")
+    x = q.Query("lineitem", "avg", "l_extendedprice", _HALF_WHERE, where_columns=("l_suppkey",), error_bound=0.02)
+    samples = t.registered(moments=True)
+    taken, share = aqp.by_error(x, samples), aqp.share_left(x, samples)
+    if aqp.choose(x, samples).kind != "stratified":
+        raise AssertionError("the rule of columns takes another sample")
+    out = None
+    for s in samples:
+        one = aqp.predicted_error(x, s, share).select(F.lit(s.kind).alias("kind"), F.lit(s.rows).cast("bigint").alias("rows"), F.round("error", 6).alias("predicted"), F.lit(s is taken).alias("chosen"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_KEY_U = lambda c: keyed.unit_sql(f"{SEED}/universe", [c])
+
+
+@_query(f"SELECT o_orderpriority, round(sum(y) / 0.1, 2) AS sum, round(1.96 * sqrt(0.9 * sum(y * y)) / 0.1, 2) AS sum_err FROM (SELECT o_orderpriority, l_orderkey, sum({q.REVENUE}) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 1000 AND {_KEY_U('l_orderkey')} < {keyed.below(0.1)} GROUP BY 1, 2) GROUP BY o_orderpriority")
+def q5_universe_join(spark, sf_dir):
+    """A sum over the join of two facts, from samples of both by the hash of the key that joins them, one of them of twice the ratio."""
+    items = engine.SampledTable(spark, scratch(spark, "items"), "lineitem", engine.Settings(KEYS, columns=["l_extendedprice"], seed=SEED))
+    df, u = lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", "l_discount"), keyed.unit("batch", KEYS)
+    items.receive(df.where(u >= keyed.below(0.2)), 0)
+    items.sql("CREATE 20% UNIVERSE SAMPLE OF lineitem ON l_orderkey")
+    items.receive(df.where(u < keyed.below(0.2)), 1)
+    orders = engine.SampledTable(spark, scratch(spark, "orders"), "orders", engine.Settings(["o_orderkey"], columns=["o_totalprice"], seed=SEED))
+    orders.receive(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), 0)
+    orders.sql("CREATE 10% UNIVERSE SAMPLE OF orders ON o_orderkey")
+    x = q.Query("lineitem", "sum", q.REVENUE, "o_totalprice > 1000", ("o_orderpriority",), ("o_totalprice",), (q.Join("orders", "l_orderkey", "o_orderkey"),))
+    return _round_answer(items.joined(x, [orders]), x)
+
+
+@_query(f"SELECT 'uniform' AS kind, {_TENTH}::BIGINT AS n UNION ALL SELECT 'stratified', sum(least(s, greatest(cap, 10)))::BIGINT FROM (SELECT l_returnflag AS k, count(*) AS s FROM lineitem GROUP BY 1), ({_CAP.format(target=_TENTH, sizes='SELECT l_returnflag AS k, count(*) AS s FROM lineitem GROUP BY 1')}) UNION ALL SELECT 'universe', count(*) FROM lineitem WHERE {_KEY_U('l_orderkey')} < {keyed.below(0.1)}")
+def c16_create_kinds(spark, sf_dir):
+    """CREATE without a kind makes a uniform and a stratified sample; a universe sample is named."""
+    t = engine.SampledTable(spark, scratch(spark, "kinds"), "lineitem", engine.Settings(KEYS, columns=["l_extendedprice"], seed=SEED))
+    t.receive(lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", "l_returnflag"), 0)
+    t.sql("CREATE 10% SAMPLE OF lineitem", default_column="l_returnflag")
+    t.sql("CREATE 10% UNIVERSE SAMPLE OF lineitem ON l_orderkey")
+    return spark.createDataFrame([(x.kind, x.rows) for x in t.samples()], "kind string, n bigint")
+
+
 # evaluation
 
 
@@ -850,12 +937,16 @@ def e4_relative_bound(spark, sf_dir):
     return evaluate.relative_bound(_repeats(spark, sf_dir), ["q"]).withColumn("relative_bound", F.round("relative_bound", 8))
 
 
-@_query("SELECT * FROM (VALUES ('pool', 60), ('except', 24), ('only', 27), ('equality', 16)) AS t(part, n)")
+@_query("SELECT column_name, filters, groups, n AS distinct_values FROM (VALUES ('l_extendedprice', 18, 0), ('l_quantity', 21, 0), ('l_suppkey', 21, 9)) AS t(column_name, filters, groups) JOIN (SELECT unnest(['l_extendedprice', 'l_quantity', 'l_suppkey']) AS column_name, unnest([count(DISTINCT l_extendedprice), count(DISTINCT l_quantity), count(DISTINCT l_suppkey)]) AS n FROM lineitem) USING (column_name)")
 def e5_query_pool(spark, sf_dir):
-    w = q.PAGE_COUNTS
-    p = q.pool(w)
-    rows = [("pool", len(p)), ("except", len(q.except_columns(p, {w.count, w.size}, {w.group}))), ("only", len(q.only_columns(p, {w.count, w.size}, {w.group}))), ("equality", len(q.equality_pool(w)))]
-    return spark.createDataFrame(rows, "part string, n int")
+    """The columns that the pool's 60 texts filter and group by, as their analysed plans tell, and how many values the table has of each."""
+    df = table(spark, sf_dir, "lineitem")
+    df.createOrReplaceTempView("lineitem")
+    asked = [texts.read(spark, x.sql(), "lineitem").queries[0][1] for x in q.pool()]
+    columns = sorted({c for x in asked for c in x.columns()})
+    n = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    row = lambda c: F.struct(F.lit(c).alias("column_name"), F.lit(sum(c in x.where_columns for x in asked)).alias("filters"), F.lit(sum(c in x.group_by for x in asked)).alias("groups"), F.col(c).alias("distinct_values"))
+    return n.select(F.inline(F.array(*map(row, columns))))
 
 
 @_query("SELECT y, round(total, 2) AS total, round(sum(total) OVER (ORDER BY y), 2) AS running FROM (SELECT year(o_orderdate)::INT AS y, sum(o_totalprice) AS total FROM orders GROUP BY 1)")
@@ -965,6 +1056,33 @@ def m1_maintained_table(spark, sf_dir):
     return spark.createDataFrame(out, "batch int, kind string, action string, need bigint, rows bigint")
 
 
+_ORIGIN = f"CASE WHEN {keyed.unit_sql('batch', KEYS_SQL)} < {keyed.below(0.01)} THEN 2 WHEN {BATCH} THEN 1 ELSE 0 END"
+
+
+@_query(f"""WITH l AS MATERIALIZED (SELECT *, {_ORIGIN} AS origin, row_number() OVER (PARTITION BY {_ORIGIN} ORDER BY {U}, {_K}) AS r FROM lineitem),
+n AS (SELECT floor(n0 * d / (n0 + d))::BIGINT AS need FROM (SELECT count(*) FILTER (origin < 2)::DOUBLE AS d, 3.8416 * var_pop(l_extendedprice) FILTER (origin < 2) / power(least(abs(avg(l_extendedprice) FILTER (origin = 0)) * 0.08, 100000), 2) AS n0 FROM l)),
+x AS (SELECT need, low + ('0x' || substr(md5('{SEED}/1/x'), 1, 8))::BIGINT % (150 - low + 1) AS x FROM (SELECT need, greatest(need - 10 * (need - 150), 10) AS low FROM n)),
+f AS MATERIALIZED (SELECT l.* FROM l, x WHERE (origin = 0 AND r <= x) OR (origin = 1 AND r <= need - x) OR origin = 2 ORDER BY {U}, {_K} LIMIT (SELECT need FROM x)),
+p AS (SELECT part, count(*)::DOUBLE AS n, any_value(s)::DOUBLE AS s FROM (SELECT (origin > 0)::INT AS part FROM f) JOIN (SELECT (origin > 0)::INT AS part, count(*) AS s FROM l GROUP BY 1) USING (part) GROUP BY part)
+SELECT origin, round(y * s / n, 3) AS count, round(1.96 * sqrt(s * s * (1 - n / s) / n * (y - y * y / n) / (n - 1)), 3) AS count_err, round(v * s / n, 0) AS price
+FROM (SELECT origin, count(*)::DOUBLE AS y, sum(l_extendedprice) AS v FROM f GROUP BY origin) JOIN p ON part = (origin > 0)::INT""")
+def m2_adaptive_table(spark, sf_dir):
+    """A stored table whose sample a large batch extends and a small one updates: how many rows came with each, and their prices, with
+    each part's own chance."""
+    u = keyed.unit("batch", KEYS)
+    df = lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", F.when(u < keyed.below(0.01), 2).when(u < keyed.below(0.2), 1).otherwise(0).alias("origin"))
+    t = engine.SampledTable(spark, scratch(spark, "adaptive"), "lineitem", engine.Settings(KEYS, relative=0.08, columns=["l_extendedprice"], seed=SEED, flags=policy.Flags(adaptive=True)))
+    t.receive(df.where("origin = 0"), 0)
+    x = t.create("uniform", 150 / t.state()["rows"])
+    actions = [t.receive(df.where("origin = 1"), 1)[f"sampling.action.{x.id}"]]
+    t.set.flags = policy.Flags(force_update=True)
+    actions.append(t.receive(df.where("origin = 2"), 2)[f"sampling.action.{x.id}"])
+    if actions != ["adaptive", "update"]:
+        raise AssertionError(f"an extension and an update were to be expected: {actions}")
+    count, price = (t.approximate(q.Query("lineitem", agg, value, group_by=("origin",))) for agg, value in (("count", "l_orderkey"), ("sum", "l_extendedprice")))
+    return count.join(price, "origin").select("origin", F.round("count", 3).alias("count"), F.round("count_err", 3).alias("count_err"), F.round("sum", 0).alias("price"))
+
+
 def queries() -> dict[str, Run]:
     return dict(_QUERIES)
 
