@@ -174,6 +174,43 @@ def test_files_by_name(spark, tmp_path):
     assert ingest.by_name(t, folder, SCHEMA) == [] and t.state()["rows"] == 1030
 
 
+def test_late_and_renamed_files(spark, tmp_path, monkeypatch):
+    """A late file of a smaller name is read, a renamed one isn't again, one that a dead batch had is; the manifest stays few files."""
+    (tmp_path / "in").mkdir()
+    put = lambda name, i: (tmp_path / "in" / f"{name}.csv").write_text(f"{i},1,1.0\n" * 3)
+    t, folder = engine.SampledTable(spark, str(tmp_path / "a"), "t", settings()), str(tmp_path / "in")
+    monkeypatch.setattr(ingest.Manifest, "MOST", 3)
+    put("m", 1)
+    ingest.by_name(t, folder, SCHEMA)
+    put("c", 20)
+    assert len(ingest.by_name(t, folder, SCHEMA)) == 1 and t.state()["rows"] == 6
+    (tmp_path / "in" / "c.csv").rename(tmp_path / "in" / "z.csv")
+    assert ingest.by_name(t, folder, SCHEMA) == []
+    put("d", 300)
+    with monkeypatch.context() as m:
+        m.setattr(engine.Store, "switch", lambda *_: (_ for _ in ()).throw(OSError("dead")))
+        with pytest.raises(OSError):
+            ingest.by_name(t, folder, SCHEMA)
+    for i in range(6):
+        put(f"a{i}", 1000 + i * 1000)
+    assert len(ingest.by_name(t, folder, SCHEMA)) == 7 and t.state()["rows"] == 27 and ingest.by_name(t, folder, SCHEMA) == []
+    assert len(t.state()["taken"][f"{folder}#"]["parts"]) <= 3
+
+
+def test_columns_and_ids_that_differ(spark, tmp_path):
+    """A further column is null before, a missing one after; another type and ids of another kind are errors."""
+    t = make(spark, tmp_path / "a")
+    t.receive(frame(spark, 10, 1000).withColumn("more", F.lit("x")), 1)
+    t.receive(frame(spark, 10, 2000), 2)
+    assert {tuple(r) for r in t.base().groupBy("more").count().collect()} == {(None, 1010), ("x", 10)} and t.base().columns == ["id", "g", "y", "more"]
+    assert all("more" in t.store.read(x.at).columns for x in t.samples())
+    with pytest.raises(ValueError, match="column y"):
+        t.receive(frame(spark, 10, 3000).withColumn("y", F.lit("text")), 3)
+    with pytest.raises(ValueError, match="ids of"):
+        t.receive(frame(spark, 10, 3000), "three")
+    assert t.state()["rows"] == 1020
+
+
 def test_fast_draws(spark, tmp_path):
     t = make(spark, tmp_path / "a", fast=True)
     t.receive(frame(spark, 200, 1000), 1)

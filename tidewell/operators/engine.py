@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keyed
 from ..plans import aqp, policy
@@ -56,7 +57,8 @@ class SampledTable:
     def base(self, state: dict | None = None) -> DataFrame:
         """The whole table: its batches' folders."""
         s = state or self.state()
-        return self.spark.read.parquet(*[f"{self.store.root}/{at}" for at in s["batches"]])
+        read = self.spark.read.schema(T.StructType.fromJson(s["schema"])) if s.get("schema") else self.spark.read
+        return read.parquet(*[f"{self.store.root}/{at}" for at in s["batches"]])
 
     def samples(self, state: dict | None = None) -> list[Sample]:
         return [Sample(**x) for x in (state or self.state())["samples"]]
@@ -66,15 +68,21 @@ class SampledTable:
 
     # batches
 
-    def receive(self, batch: DataFrame, batch_id: int | str, source: str = "") -> dict:
+    def receive(self, batch: DataFrame, batch_id: int | str, source: str = "", taken: dict | None = None) -> dict:
         """Takes in a batch and keeps up every sample; returns a report with dotted keys.
 
-        Ids of a source grow; a batch that came before from the same source is no work. Sources (a stream's checkpoint, a folder)
-        count for themselves. An update reads the batch and the sample, never the table; only a new draw reads the table.
+        Ids of a source grow, and are all numbers or all text; a batch that came before from the same source is no work. Sources (a
+        stream's checkpoint, a folder) count for themselves. An update reads the batch and the sample, never the table; only a new draw
+        reads the table. A batch may have further columns, which are null in the rows before it, or lack some, which are null in its own;
+        numbers are taken as the table's column has them, and a column of any other type is an error. ``taken`` becomes the source's entry in the state's manifest together with the batch.
         """
         s = self.state()
-        if source in s["seen"] and batch_id <= s["seen"][source]:
+        last = s["seen"].get(source)
+        if last is not None and isinstance(last, str) != isinstance(batch_id, str):
+            raise ValueError(f"ids of {source!r} are like {last!r}, not like {batch_id!r}")
+        if last is not None and batch_id <= last:
             return {"batch.skipped": True}
+        schema, batch = self._fitted(s, batch)
         report: dict[str, float | int | str] = {}
         number, began = s["batch"] + 1, time.time()
         at, n = self.store.write_counted(batch, "base", f"{number}")
@@ -91,7 +99,9 @@ class SampledTable:
         report["cost.profile"] = time.time() - began
         before, groups = s["rows"], dict(s["groups"])
         gone, replaced = s.get("replaced", []), [x for x in (*groups.values(), *(x["at"] for x in s["samples"])) if x]
-        s = s | {"batch": number, "seen": s["seen"] | {source: batch_id}, "rows": before + n, "batches": [*s["batches"], at], "stats": stats}
+        s = s | {"batch": number, "seen": s["seen"] | {source: batch_id}, "rows": before + n, "batches": [*s["batches"], at], "stats": stats, "schema": schema}
+        if taken is not None:
+            s["taken"] = s.get("taken", {}) | {source: taken}
         if n:
             for column, where in groups.items():
                 merged = sampling.merged_sizes(self.store.read(where), sampling.group_sizes(batch, column), column)
@@ -107,11 +117,23 @@ class SampledTable:
             self.store.drop(f"{x}_moments")
         return report
 
+    def _fitted(self, s: dict, batch: DataFrame) -> tuple[dict, DataFrame]:
+        """The table's columns with the batch's further ones, as JSON, and the batch with its numbers as the table's columns have them."""
+        old = s.get("schema") or (self.base(s).schema.jsonValue() if s["batches"] else {"type": "struct", "fields": []})
+        fields, casts = {f.name: f for f in T.StructType.fromJson(old)}, {}
+        for f in batch.schema:
+            kind = fields.setdefault(f.name, T.StructField(f.name, f.dataType)).dataType
+            if kind != f.dataType:
+                if not (isinstance(kind, T.NumericType) and isinstance(f.dataType, T.NumericType)):
+                    raise ValueError(f"column {f.name} is {kind.simpleString()} in the table and {f.dataType.simpleString()} in the batch")
+                casts[f.name] = F.col(f.name).cast(kind)
+        return T.StructType(list(fields.values())).jsonValue(), batch.withColumns(casts) if casts else batch
+
     def _kept_up(self, x: Sample, s: dict, batch: DataFrame, before: int, n: int, need: int, report: dict) -> Sample:
         p, began, target = self.set, time.time(), x.target
         data = self.store.read(x.at)
         if x.kind == "universe":
-            new = data.unionByName(sampling.universe(batch, x.column, x.declared, p.seed, p.keys))
+            new = data.unionByName(sampling.universe(batch, x.column, x.declared, p.seed, p.keys), allowMissingColumns=True)
             at, rows = self.store.write_counted(new, f"samples/{x.id}", f"{s['batch']}")
             report |= {f"sampling.action.{x.id}": policy.Action.UPDATE.value, f"sampling.count.{x.id}": rows, f"sampling.cost.{x.id}": time.time() - began}
             return Sample(**x.dict() | {"rows": rows, "base_rows": before + n, "ratio": rows / max(before + n, 1), "at": at})

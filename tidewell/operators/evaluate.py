@@ -7,6 +7,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keyed
+
 if TYPE_CHECKING:
     from ..plans.query import Query
     from .engine import SampledTable
@@ -18,6 +20,25 @@ def hits(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), hit.alias("hits"), (hit / F.count(F.lit(1))).alias("coverage"))
 
 
+def repeated(df: DataFrame, value: str, queries: dict[str, str], draws: int, ratio: float, seed: str, keys: list[str], z: float = 1.96) -> DataFrame:
+    """(draw, q, approx, err): the sums of a value where each query's flag column holds, from so many samples at a ratio, in one scan.
+
+    A row's membership in all samples is one array of bits, four to an MD5 of seed and key, whose 32-bit words are compared with the
+    ratio; the row goes on once for each sample that holds it, and sums by sample merge before they are shuffled.
+    """
+    text = lambda i: F.md5(F.concat_ws("|", F.lit(f"{seed}/{i}"), *[F.col(k).cast("string") for k in keys]))
+    words = F.array(*[text(i) for i in range(-(-draws // 4))])
+    word = lambda i: F.conv(F.substring(F.element_at("_h", F.shiftright(i, 2) + 1), F.pmod(i, F.lit(4)) * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    bound = F.lit(keyed.below(ratio))
+    rows = df.select(F.col(value).cast("double").alias("_v"), *[F.col(c).alias(f"_q{k}") for k, c in queries.items()], words.alias("_h"))
+    rows = rows.withColumn("draw", F.explode(F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: word(i) < bound)))
+    y = {k: F.when(F.col(f"_q{k}"), F.col("_v")).otherwise(0.0) for k in queries}
+    by = rows.groupBy("draw").agg(F.count(F.lit(1)).cast("double").alias("_n"), *[x for k, c in y.items() for x in (F.sum(c).alias(f"s{k}"), F.sum(c * c).alias(f"ss{k}"))])
+    n, big = F.col("_n"), F.col("_n") / ratio
+    err = lambda k: z * F.sqrt(F.greatest(big * big * (1 - ratio) / n * F.try_divide(F.col(f"ss{k}") - F.col(f"s{k}") * F.col(f"s{k}") / n, n - 1), F.lit(0.0)))
+    return by.select("draw", F.inline(F.array(*[F.struct(F.lit(k).alias("q"), (F.col(f"s{k}") / ratio).alias("approx"), err(k).alias("err")) for k in queries])))
+
+
 def scaled(df: DataFrame, exact_rows: str, approx_rows: str) -> DataFrame:
     """Sums and counts of a sample from when the table had fewer rows, scaled to its rows now."""
     ratio = F.try_divide(F.col(exact_rows).cast("double"), F.col(approx_rows).cast("double"))

@@ -30,13 +30,14 @@ def profile(df: DataFrame, columns: list[str], relative: float = 0.1, absolute:
     return moments(df, columns).withColumn("e", sizing.error_bound(F.col("avg"), relative, absolute))
 
 
-def refreshed(old: DataFrame, batch: DataFrame, *, relative: float = 0.1, refresh_error: bool = False) -> DataFrame:
-    """The profile of the table with the batch, from the old profile and a scan of the batch alone.
+def refreshed(old: DataFrame, batch: DataFrame, columns: list[str] | None = None, *, relative: float = 0.1, refresh_error: bool = False) -> DataFrame:
+    """The profile of the table with the batch, from the old profile and a scan of the batch alone. Without columns the old profile is
+    run to tell them, which a lazy one answers by scanning its table once more.
 
     Moments are merged by the numbers of rows that have a value. e stays as it was unless it is asked to follow the mean. A
     batch without values in a column changes nothing but d.
     """
-    columns = [r["column_name"] for r in old.select("column_name").collect()]
+    columns = columns or [r["column_name"] for r in old.select("column_name").collect()]
     new = moments(batch, columns).select("column_name", *[F.col(c).alias(f"b_{c}") for c in ("d", "filled", "s2", "avg", "sum")])
     out = old.join(F.broadcast(new), "column_name").select("column_name", (F.col("d") + F.col("b_d")).alias("d"), *[c.alias(k) for k, c in _merged("", "b_").items()], "e")
     return out.withColumn("e", sizing.error_bound(F.col("avg"), relative)) if refresh_error else out

@@ -126,7 +126,7 @@ def with_new(sample: DataFrame, batch: DataFrame | None) -> DataFrame:
     thresholds were kept is one part."""
     old = sample.drop(PART) if THRESHOLD in sample.columns else sample.drop(PART).withColumn(THRESHOLD, F.lit(keyed.RANGE))
     none = {PROB: F.lit(None).cast("double"), THRESHOLD: F.lit(None).cast("long")}
-    return old if batch is None else old.unionByName(batch.withColumns(none))
+    return old if batch is None else old.unionByName(batch.withColumns(none), allowMissingColumns=True)
 
 
 def thinned(sample: DataFrame, batch: DataFrame | None, k: int, rows: int, seed: int | str, keys: list[str]) -> DataFrame:
@@ -166,12 +166,12 @@ def find_x(need: int, size: int, m: int, seed: int | str) -> int:
 
 def uniform_adaptive(sample: DataFrame, batch: DataFrame, need: int, x: int, base_rows: int, batch_rows: int, seed: int | str, keys: list[str]) -> DataFrame:
     """x rows of the old sample and need - x of the batch, each part with its own chance."""
-    return thinned(sample, None, x, base_rows, seed, keys).unionByName(uniform(batch, batch_rows, need - x, seed, keys))
+    return thinned(sample, None, x, base_rows, seed, keys).unionByName(uniform(batch, batch_rows, need - x, seed, keys), allowMissingColumns=True)
 
 
 def uniform_incremental(sample: DataFrame, batch: DataFrame, ratio: float, seed: int | str, keys: list[str]) -> DataFrame:
     """The old sample and the batch's rows at the ratio."""
-    return sample.unionByName(uniform_ratio(batch, ratio, seed, keys))
+    return sample.unionByName(uniform_ratio(batch, ratio, seed, keys), allowMissingColumns=True)
 
 
 def universe(base: DataFrame, column: str, ratio: float, seed: int | str, keys: list[str]) -> DataFrame:
@@ -278,13 +278,13 @@ def stratified_adaptive(sample: DataFrame, batch: DataFrame, column: str, sizes:
     old = bottom_cap(with_new(sample, None), column, a, cap_value(a, x), seed, keys).drop("_size")
     before = sizes.unionByName(b.select(column, (-F.col("group_size")).alias("group_size"))).groupBy(column).agg(F.sum("group_size").alias("group_size"))
     old = parted(_with_size(old, column, before), column, F.col("_size"), seed, keys).drop("_u", "_kept", "_size", "_t", "_n", "_rest")
-    return old.unionByName(stratified(batch, column, b, cap_value(b, need - x), seed, keys))
+    return old.unionByName(stratified(batch, column, b, cap_value(b, need - x), seed, keys), allowMissingColumns=True)
 
 
 def stratified_incremental(sample: DataFrame, batch: DataFrame, column: str, target: float, seed: int | str, keys: list[str]) -> DataFrame:
     """The old sample and a stratified sample of the batch alone, of about target rows."""
     b = group_sizes(batch, column)
-    return sample.unionByName(stratified(batch, column, b, cap_value(b, target), seed, keys))
+    return sample.unionByName(stratified(batch, column, b, cap_value(b, target), seed, keys), allowMissingColumns=True)
 
 
 def simple_sample(df: DataFrame, ratio: float, seed: int) -> DataFrame:

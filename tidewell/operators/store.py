@@ -33,26 +33,34 @@ class Store:
         found = self._pointers()
         if not found:
             return {}
-        fs, path = self._path(f"{self.root}/_current/{found[-1][1]}")
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self.read_json(f"_current/{found[-1][1]}")
 
     def switch(self, state: dict) -> None:
         """Makes the state the current one. The two pointers before it stay, for those who are reading them."""
         found = self._pointers()
-        fs, part = self._path(f"{self.root}/_current/{uuid.uuid4().hex}.part")
-        stream = fs.create(part, True)
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
+        fs, part = self._path(self.write_json(state, f"_current/{uuid.uuid4().hex}.part"))
         _, path = self._path(f"{self.root}/_current/{found[-1][0] + 1 if found else 0:012d}.json")
         if not fs.rename(part, path):
             raise OSError(f"can't rename {part} to {path}: another run has written it")
         for _, name in found[:-2]:
             self.drop(f"_current/{name}")
 
+    def write_json(self, value, at: str) -> str:
+        """Writes a small value to a file; its whole path."""
+        fs, path = self._path(f"{self.root}/{at}")
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+        return f"{self.root}/{at}"
+
+    def read_json(self, at: str):
+        fs, path = self._path(f"{self.root}/{at}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     def write(self, df: DataFrame, name: str, version: str) -> str:
         """A new version of a table; its folder relative to the root. The same version again replaces itself."""
         at = f"{name}/v{version}"

@@ -185,7 +185,7 @@ def s10_files_by_name(spark, sf_dir):
     fs, _ = store.Store(spark, at)._path(at)
     for i in range(5):
         files.write_delimited(df.where(parts == i).coalesce(1), f"{at}/made/{i}")
-        name = next(n for n in ingest.named_files(spark, f"{at}/made/{i}"))
+        name = next(x.name for x in ingest.named_files(spark, f"{at}/made/{i}"))
         fs.mkdirs(store.Store(spark, at)._path(f"{at}/in")[1])
         fs.rename(store.Store(spark, at)._path(f"{at}/made/{i}/{name}")[1], store.Store(spark, at)._path(f"{at}/in/hour-{9 - i}.csv")[1])
     t = engine.SampledTable(spark, f"{at}/table", "lineitem", engine.Settings(KEYS, columns=["l_extendedprice"]))
@@ -420,7 +420,7 @@ def n3_profile_refresh(spark, sf_dir):
     """The profile after a batch, from the profile before it and the batch; the same as of the whole table."""
     df, u = lineitem(spark, sf_dir), keyed.unit("batch", KEYS)
     base, batch = df.where(u >= keyed.below(0.2)), df.where(u < keyed.below(0.2))
-    return _rounded(profile.refreshed(profile.profile(base, _MONEY), batch))
+    return _rounded(profile.refreshed(profile.profile(base, _MONEY), batch, _MONEY))
 
 
 _NEED = f"SELECT column_name, d, 3.8416 * s2 / (e * e) AS n0, s2 FROM (SELECT *, least(abs(avg) * 0.02, 100000) AS e FROM ({_moments_sql()}))"
@@ -898,18 +898,13 @@ def c16_create_kinds(spark, sf_dir):
 
 
 def _repeats(spark, sf_dir, seeds=range(10)):
-    """Answers of ten samples, by the size's average, with the exact one."""
-    df = lineitem(spark, sf_dir)
-    n = df.agg(F.avg("l_extendedprice").alias("exact"))
-    each = []
+    """Answers of ten samples, by the size's average, with the exact one; the table is scanned once."""
+    df, price, aggs = lineitem(spark, sf_dir), F.col("l_extendedprice"), [F.avg("l_extendedprice").alias("exact")]
     for s in seeds:
-        x = sampling.uniform_ratio(df, 0.1, s, KEYS)
-        m = x.agg(F.avg("l_extendedprice").alias("approx"), (1.96 * F.stddev_samp("l_extendedprice") / F.sqrt(F.count(F.lit(1)))).alias("err"))
-        each.append(m.withColumn("seed", F.lit(s)))
-    out = each[0]
-    for m in each[1:]:
-        out = out.unionByName(m)
-    return out.withColumn("exact", F.lit(n.first()["exact"])).withColumn("q", F.lit("avg"))
+        drawn = F.when(keyed.unit(s, KEYS) < keyed.below(0.1), price)
+        aggs += [F.avg(drawn).alias(f"a{s}"), (1.96 * F.stddev_samp(drawn) / F.sqrt(F.count(drawn))).alias(f"e{s}")]
+    each = F.array(*[F.struct(F.col(f"a{s}").alias("approx"), F.col(f"e{s}").alias("err"), F.lit(s).alias("seed")) for s in seeds])
+    return df.agg(*aggs).select("exact", F.inline(each)).withColumn("q", F.lit("avg"))
 
 
 _REP = " UNION ALL ".join(f"SELECT (SELECT avg(l_extendedprice) FROM lineitem) AS exact, avg(l_extendedprice) AS approx, 1.96 * stddev_samp(l_extendedprice) / sqrt(count(*)) AS err FROM lineitem WHERE {keyed.unit_sql(s, KEYS_SQL)} < {keyed.below(0.1)}" for s in range(10))
@@ -920,6 +915,44 @@ def e1_coverage(spark, sf_dir):
     return evaluate.hits(_repeats(spark, sf_dir), ["q"])
 
 
+#: Samples, their ratio, the year that they are drawn from the rows of and before, and what is asked.
+_DRAWS, _DRAWN, _UNTIL = 100, 0.1, 1997
+_ASKED = {"all": "true", "small": "l_quantity < 10", "large": "l_quantity >= 40", "cheap": "l_discount > 0.05"}
+
+
+def _decay_sql() -> str:
+    text = lambda i: f"md5(concat_ws('|', 'decay/{i}', {', '.join(KEYS_SQL)}))"
+    bits = ", ".join(f"('0x' || substr(h[{i // 4 + 1}], {8 * (i % 4) + 1}, 8))::BIGINT < {keyed.below(_DRAWN)}" for i in range(_DRAWS))
+    rows = f"SELECT year(l_shipdate) AS y, l_extendedprice AS v, [{', '.join(_ASKED.values())}] AS hit, [{', '.join(text(i) for i in range(-(-_DRAWS // 4)))}] AS h FROM lineitem"
+    drawn = f"SELECT v, hit, unnest(list_filter(range({_DRAWS}), lambda i: b[i + 1])) AS draw FROM (SELECT v, hit, [{bits}] AS b FROM r WHERE y <= {_UNTIL})"
+    each = f"SELECT draw, q, count(*)::DOUBLE AS n, sum(CASE WHEN hit[q] THEN v ELSE 0 END) AS sy, sum(CASE WHEN hit[q] THEN v * v ELSE 0 END) AS yy FROM d, range(1, {len(_ASKED) + 1}) AS t(q) GROUP BY ALL"
+    exact = f"SELECT y, q, sum(sum(CASE WHEN hit[q] THEN v ELSE 0 END)) OVER o AS exact, sum(count(*)) OVER o AS rows FROM r, range(1, {len(_ASKED) + 1}) AS t(q) GROUP BY y, q WINDOW o AS (PARTITION BY q ORDER BY y)"
+    est = f"SELECT draw, q, sy / {_DRAWN} AS approx, 1.96 * sqrt((n / {_DRAWN}) * (n / {_DRAWN}) * (1 - {_DRAWN}) / n * (yy - sy * sy / n) / (n - 1)) AS err FROM e"
+    names = ", ".join(f"'{k}'" for k in _ASKED)
+    return f"""WITH r AS MATERIALIZED ({rows}), d AS MATERIALIZED ({drawn}), e AS ({each}), s AS ({est}), x AS MATERIALIZED ({exact}),
+base AS (SELECT q, rows FROM x WHERE y = {_UNTIL})
+SELECT y::INT AS year, [{names}][x.q] AS q, count(*) AS n, count(*) FILTER (abs(approx * x.rows / base.rows - exact) <= err * x.rows / base.rows) AS scaled_hits, count(*) FILTER (abs(approx - exact) <= err) AS hits
+FROM x JOIN base USING (q) JOIN s USING (q) WHERE y >= {_UNTIL} GROUP BY ALL"""
+
+
+@_query(_decay_sql())
+def e1_static_decay(spark, sf_dir):
+    """A hundred samples of a tenth of the rows up to a year, left as they are while the table grows: how many of them hold the sums of later
+    years within their errors, scaled to the table's rows and not. All samples and sums are one scan."""
+    df = lineitem(spark, sf_dir).select(*KEYS, "l_extendedprice", F.year("l_shipdate").alias("year"), *[F.expr(x).alias(f"in_{k}") for k, x in _ASKED.items()])
+    draws = evaluate.repeated(df.where(F.col("year") <= _UNTIL), "l_extendedprice", {k: f"in_{k}" for k in _ASKED}, _DRAWS, _DRAWN, "decay", KEYS)
+    by = df.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(F.col(f"in_{k}"), F.col("l_extendedprice"))).alias(k) for k in _ASKED])
+    so_far = evaluate.running(by, "year", "rows").withColumnRenamed("running", "so_far")  # a row for each year
+    for k in _ASKED:
+        so_far = evaluate.running(so_far, "year", k).withColumnRenamed("running", f"x_{k}")
+    exact = so_far.select("year", F.col("so_far").alias("now"), F.inline(F.array(*[F.struct(F.lit(k).alias("q"), F.col(f"x_{k}").alias("exact")) for k in _ASKED]))).where(F.col("year") >= _UNTIL)
+    then = exact.where(F.col("year") == _UNTIL).select(F.col("q").alias("_q"), F.col("now").alias("then"))
+    both = exact.join(F.broadcast(then), F.col("q") == F.col("_q")).drop("_q").join(draws, "q")
+    keys = ["year", "q"]
+    plain = evaluate.hits(both, keys).select(*keys, "n", "hits")
+    return plain.join(evaluate.hits(evaluate.scaled(both, "now", "then"), keys).select(*keys, F.col("hits").alias("scaled_hits")), keys)
+
+
 @_query(f"SELECT 'avg' AS q, round(avg(abs(approx * 1.25 - exact) / abs(exact)), 8) AS relative_error FROM ({_REP})")
 def e2_scaled_error(spark, sf_dir):
     """Answers of a sample of a table with four fifths of the rows, scaled."""

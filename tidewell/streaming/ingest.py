@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections import Counter
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,17 +41,76 @@ def into(stream: DataFrame, table: SampledTable, checkpoint: str, *, every: str
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def named_files(spark: SparkSession, folder: str) -> list[str]:
-    """The names of a folder's files, in order; hidden ones are left out."""
+@dataclass(frozen=True)
+class Found:
+    """A file of a folder; its length and time stay what they are when it is renamed."""
+
+    name: str
+    length: int
+    modified: int
+
+
+def named_files(spark: SparkSession, folder: str) -> list[Found]:
+    """A folder's files in the order of their names; hidden ones are left out."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(n for x in fs.listStatus(path) if x.isFile() and (n := x.getPath().getName())[0] not in "._")
+    found = [Found(x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path) if x.isFile()]
+    return sorted((x for x in found if x.name[0] not in "._"), key=lambda x: x.name)
+
+
+class Manifest:
+    """Which files of a folder a table has taken in: a set, kept beside the table's state as one file for each batch, of which MOST at
+    most are open; then they are written as one. Only files that the state names count, so a batch that dies leaves its files untaken."""
+
+    MOST = 32
+
+    def __init__(self, table: SampledTable, folder: str) -> None:
+        self.table, self.folder, state = table, folder, table.state()
+        self.entry = state.get("taken", {}).get(f"{folder}#", {"parts": [], "batches": 0})
+        last = state["seen"].get(folder)
+        self.before = last if isinstance(last, str) else ""  # of a table from when the last name was all that was kept
+        self.taken = [Found(*x) for at in self.entry["parts"] for x in table.store.read_json(at)]
+
+    def untaken(self) -> list[Found]:
+        """The files that weren't taken, by name, late ones too. A file is known by its name, or, renamed, as one that was
+        taken under a name that is gone, of the same length and time."""
+        there = named_files(self.table.spark, self.folder)
+        names = {x.name for x in there}
+        known = {x.name for x in self.taken}
+        moved = Counter((x.length, x.modified) for x in self.taken if x.name not in names)
+        out = []
+        for x in there:
+            if x.name in known or x.name <= self.before:
+                continue
+            if moved[x.length, x.modified] > 0:
+                moved[x.length, x.modified] -= 1
+                continue
+            out.append(x)
+        return out
+
+    def with_batch(self, files: list[Found]) -> dict:
+        """The entry that says that these files are taken too; it counts once the state holds it."""
+        number, store = self.entry["batches"], self.table.store
+        at = f"taken/{zlib.crc32(self.folder.encode()):08x}-{len(self.folder)}/{number}-{uuid.uuid4().hex}.json"
+        for old in self.entry.get("gone", []):  # what an earlier batch, which the state holds by now, has written as one
+            store.drop(old)
+        parts, gone = [*self.entry["parts"], at], []
+        self.taken += files
+        if len(parts) > self.MOST:
+            parts, gone, files = [at], self.entry["parts"], self.taken
+        store.write_json([[x.name, x.length, x.modified] for x in files], at)
+        self.entry = {"parts": parts, "batches": number + 1, "gone": gone}
+        return self.entry
 
 
 def by_name(table: SampledTable, folder: str, schema: str, *, files: int = 1, sep: str = ",", most: int | None = None) -> list[dict]:
-    """Takes in a folder's delimited files by name, so many to a batch, after the last that the table has from it; at most so many
-    batches. The last name of a batch is its id, so this goes on where the last call, or the one that died, ended."""
-    last = table.state()["seen"].get(folder, "")
-    todo = [n for n in named_files(table.spark, folder) if n > last]
-    groups = [todo[i : i + files] for i in range(0, len(todo), files)][:most]
-    return [table.receive(read_delimited(table.spark, [f"{folder}/{n}" for n in g], schema, sep), g[-1], folder) for g in groups]
+    """Takes in the delimited files of a folder that the table hasn't yet, by name, so many to a batch; at most so many batches. Files that
+    come late, whatever their names, are taken by the next call, renamed ones never again. A batch and the note that its files are taken
+    become the table's state at once, so this goes on where the last call, or the one that died, ended."""
+    manifest = Manifest(table, folder)
+    todo, out = manifest.untaken(), []
+    for g in [todo[i : i + files] for i in range(0, len(todo), files)][:most]:
+        batch = read_delimited(table.spark, [f"{folder}/{x.name}" for x in g], schema, sep)
+        number = manifest.entry["batches"]
+        out.append(table.receive(batch, number, f"{folder}#", manifest.with_batch(g)))
+    return out
