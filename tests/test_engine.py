@@ -211,6 +211,19 @@ def test_columns_and_ids_that_differ(spark, tmp_path):
     assert t.state()["rows"] == 1020
 
 
+def test_batches_are_folded(spark, tmp_path):
+    """Twenty batches are few folders that hold each row once; who has read the last state still reads it; a state of before folds on."""
+    t = engine.SampledTable(spark, str(tmp_path / "a"), "t", settings(fold=3))
+    for i in range(20):
+        before = t.base().withColumn("n", F.lit(1)) if i else None
+        t.receive(frame(spark, 5, 5 * i), i)
+        assert before is None or before.count() == 5 * i
+    s = t.state()
+    assert len(s["batches"]) <= 6 and t.base().select("id").distinct().count() == t.base().count() == 100
+    there = {f"base/{x.name}" for x in (tmp_path / "a" / "base").iterdir()}
+    assert there == {*s["batches"], *s["replaced"]} and len(there) <= 9
+
+
 def test_fast_draws(spark, tmp_path):
     t = make(spark, tmp_path / "a", fast=True)
     t.receive(frame(spark, 200, 1000), 1)

@@ -22,7 +22,7 @@ from .store import Store
 class Settings:
     """relative or absolute error bound, confidence factor, columns to profile (all numeric ones if none), what an update and
     a new draw do (reservoir or incremental; bottom or bernoulli), over-provision of new draws, seed and row key. fast takes
-    Spark's own hash for the draws instead of MD5, which other engines can check."""
+    Spark's own hash for the draws instead of MD5, which other engines can check. So many folders of batches are written as one."""
 
     keys: list[str]
     relative: float = 0.1
@@ -34,6 +34,7 @@ class Settings:
     overflow: float = 1.01
     seed: int | str = 42
     fast: bool = False
+    fold: int = 16
     flags: policy.Flags = field(default_factory=policy.Flags)
 
     def __post_init__(self) -> None:
@@ -107,16 +108,31 @@ class SampledTable:
                 merged = sampling.merged_sizes(self.store.read(where), sampling.group_sizes(batch, column), column)
                 groups[column] = self.store.write(merged, f"groups/{column}", f"{number}")
         s["groups"] = groups
+        s["batches"], folded = self._folded(s["batches"], number)
+        replaced += folded
         if s["samples"] and n and not self.set.flags.skip:
             need = profile.need_of(stats, self.set.z)
             s["samples"] = [self._kept_up(x, s, batch, before, n, need, report).dict() for x in self.samples(s)]
-        now = {*s["groups"].values(), *(x["at"] for x in s["samples"])}
+        now = {*s["groups"].values(), *s["batches"], *(x["at"] for x in s["samples"])}
         self.store.switch(s | {"replaced": [x for x in replaced if x not in now]})
         for x in gone:  # what the batch before this one replaced; readers of the last state still find theirs
             self.store.drop(x)
             self.store.drop(f"{x}_moments")
         return report
 
+    def _folded(self, batches: list[str], number: int) -> tuple[list[str], list[str]]:
+        """The table's folders with ``fold`` of one tier written as one of the next, and the folders that this replaces, which go a batch
+        later. A row is written once for each tier, so n batches are about fold x log n folders, and readers of the last state keep theirs."""
+        tier = lambda at: int(at.rpartition("t")[2]) if "t" in at.rpartition("/")[2] else 0
+        gone: list[str] = []
+        for t in range(len(batches)):
+            same = [at for at in batches if tier(at) == t]
+            if len(same) < max(2, self.set.fold):
+                break
+            merged = self.store.write(self.spark.read.option("mergeSchema", True).parquet(*[f"{self.store.root}/{at}" for at in same]), "base", f"{number}t{t + 1}")
+            batches, gone = [merged, *[at for at in batches if at not in same]], gone + same
+        return batches, gone
+
     def _fitted(self, s: dict, batch: DataFrame) -> tuple[dict, DataFrame]:
         """The table's columns with the batch's further ones, as JSON, and the batch with its numbers as the table's columns have them."""
         old = s.get("schema") or (self.base(s).schema.jsonValue() if s["batches"] else {"type": "struct", "fields": []})
