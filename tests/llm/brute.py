@@ -73,7 +73,7 @@ def judged(docs, sources):
     """{doc_id: text} of the documents that their rules and hosts let pass."""
     m = {d: rules(t) for d, t in docs.items()}
     lines = {d: sum(bool(WORD.search(x)) for x in (t or "").split("\n")) for d, t in docs.items()}
-    fails = {d: (x[5], 100 * x[2] > 20 * x[0], 100 * x[3] > 30 * lines[d], 10 * x[1] < 35 * x[0] or 10 * x[1] > 80 * x[0]) for d, x in m.items()}
+    fails = {d: (x[5], 100 * x[2] > 20 * x[0], 100 * x[3] > 30 * lines[d], 10 * x[1] < 20 * x[0] or 10 * x[1] > 120 * x[0]) for d, x in m.items()}
     n, strict, bad = Counter(sources.values()), set(), set()
     for r in range(4):
         k = Counter({h: 0 for h in n} | Counter(sources[d] for d in docs if fails[d][r]))

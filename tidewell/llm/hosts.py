@@ -27,7 +27,7 @@ MIN_WORDS = 50
 #: In percent of the words, and of the lines with a word.
 MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 50, 20, 30
 #: Tenths of a character that a text's words may have on average.
-WORD_LENGTH = 35, 80
+WORD_LENGTH = 20, 120
 SYMBOLS = "#*$%&|<>"
 #: The rules of a document: ``base`` stands for short ones and those that repeat themselves, which go whatever their host.
 RULES = ("base", "symbols", "lines", "lengths")
@@ -145,7 +145,7 @@ m AS (
   FROM d LEFT JOIN r USING (row_id) LEFT JOIN l USING (row_id)),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f1, 100 * n_symbols > 20 * n_words AS f2,
-         100 * n_dup_lines > 30 * n_lines AS f3, 10 * word_chars < 35 * n_words OR 10 * word_chars > 80 * n_words AS f4 FROM m),
+         100 * n_dup_lines > 30 * n_lines AS f3, 10 * word_chars < 20 * n_words OR 10 * word_chars > 120 * n_words AS f4 FROM m),
 h AS (
   SELECT source, count(*)::DOUBLE AS n, unnest([1, 2, 3, 4]) AS rule,
          unnest([count(*) FILTER (f1), count(*) FILTER (f2), count(*) FILTER (f3), count(*) FILTER (f4)])::DOUBLE AS k
