@@ -7,7 +7,7 @@ least Jaccard similarity, so most pairs of a bucket never have to be looked at:
    same in all buckets of the same rows; a link is confirmed on the two whole sets. A large group of near copies falls together at
    one pair a member.
 2. *What is left*, buckets whose members are still of several components, is decided inside tasks to which the sets themselves
-   go. Buckets of the same members are one. In a task a prefix filter takes out the rows that can't be similar to any other: in
+   go: first a share of the buckets, which joins most rows that meet in many of them, then all that are left. Buckets of the same members are one. In a task a prefix filter takes out the rows that can't be similar to any other: in
    one order of elements, the rarest of the bucket first, two similar sets share one of their first n - ceil(n * least) + 1. The
    others' intersections are counted by products of 0/1 blocks, and links are joined at once, so a task gives a row less than it has, never pairs.
    Buckets over ``PART_ROWS`` rows or ``PART_ELEMENTS`` elements are split, and each two parts meet in a task.
@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: One in so many of the buckets is decided before the others.
+SHARE = 4
 #: Rounds of stars, and the rows beyond which a bucket takes part; most rows and elements of one part of a bucket.
 ROUNDS, STAR_ROWS, PART_ROWS, PART_ELEMENTS = 2, 64, 1024, 1 << 19
+#: Most rows and bytes, as text, of row numbers that are sent to every executor.
+ASKED_ROWS, ASKED_BYTES = 1_000_000, 64 << 20
 #: Rows and columns of a block of the products.
 BLOCK, WIDTH = 512, 4096
 
@@ -129,11 +133,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             u, v = (b.column(k).to_numpy()[np.array(ok, bool)] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    one = sets.select(F.col("row").alias("b"), F.col("s").alias("t"))
-    both = pairs.join(one, "b").join(sets.select(F.col("row").alias("a"), "s"), "a").select("a", "b", "s", "t")
+    few = asked(sets, pairs.select(F.col("a").alias("row")).union(pairs.select("b")))
+    one = few.select(F.col("row").alias("b"), F.col("s").alias("t"))
+    both = pairs.join(one, "b").join(few.select(F.col("row").alias("a"), "s"), "a").select("a", "b", "s", "t")
     return common.kept(both.mapInArrow(common.tidy(decide), "u long, v long"), "links")
 
 
+def asked(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets of these rows: filtered where they lie if the rows are counted to few enough, so that the others aren't shuffled."""
+    few = common.kept(rows.distinct(), "asked")
+    return sets.join(F.broadcast(few), "row", "left_semi") if common.small(few, ASKED_ROWS, ASKED_BYTES) else sets
+
+
 def with_components(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("comp", F.col("row"))
@@ -167,7 +178,8 @@ def in_tasks(known: DataFrame, by: DataFrame, sets: DataFrame, num: int, den: in
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     side = ((F.col("own") == F.col("t.j")) & (F.col("t.i") != F.col("t.j"))).cast("byte")
     dealt = rows.select("key", "row", "comp", "own", F.explode(tasks).alias("t")).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), side.alias("side"), "row", "comp")
-    dealt = common.kept(dealt, "dealt").join(sets, "row")
+    dealt = common.kept(dealt, "dealt")
+    dealt = dealt.join(asked(sets, dealt.select("row")), "row")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.groups(batches, ["key", "i", "j"]):
@@ -183,22 +195,29 @@ def in_tasks(known: DataFrame, by: DataFrame, sets: DataFrame, num: int, den: in
 def grouped(members: DataFrame, sets: DataFrame, num: int, den: int, components, *, rounds: int = ROUNDS, star_rows: int = STAR_ROWS, part_rows: int = PART_ROWS, part_elements: int = PART_ELEMENTS) -> DataFrame | None:
     """(node, root) for the rows with links, written; None if there is none.
 
-    members: (key, row, n), cheap to make again, n the size of the row's set; sets: (row, s), written, s the sorted distinct
+    members: (key, row, n), cheap to make twice, n the size of the row's set; sets: (row, s), written, s the sorted distinct
     hashes of 64 bits. ``components`` makes (node, root) of written links (u, v).
     """
     edges: DataFrame | None = None
     roots: DataFrame | None = None
-    for turn in range(rounds + 1):
-        known = with_components(members, roots)
-        by = buckets(known, F.lit((turn * 0x2545F4914F6CDD1D) & (2**63 - 1)))  # another order of rows, so another representative, in each round
-        large = by.where(F.col("rows") > star_rows)
-        last = turn == rounds or not large.head(1)
-        if not by.head(1):
-            break
-        new = in_tasks(known, by, sets, num, den, part_rows, part_elements) if last else starred(known, large, sets, num, den)
+    several = common.kept(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "several")
+    members = common.kept(members.join(several, "key"), "members")
+    known = by = met = None
+    for turn, step in enumerate(["stars", "share", *["stars"] * (rounds - 1), "all"] if rounds else ["all"]):
+        if by is None:
+            known = with_components(members, roots)
+            by = buckets(known, F.lit((turn * 0x2545F4914F6CDD1D) & (2**63 - 1)))  # another order of rows, so another representative, in each turn
+        large, mine = F.col("rows") > star_rows, by
+        if step == "stars" and by is met:  # the same representatives again
+            continue
+        if step == "stars":
+            mine, met = by.where(large), by
+        elif step == "share":
+            mine = by.where(~large & (F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0))
+        if not mine.head(1):
+            continue
+        new = starred(known, mine, sets, num, den) if step == "stars" else in_tasks(known, mine, sets, num, den, part_rows, part_elements)
         if new.head(1):
             edges = new if edges is None else edges.unionByName(new)
-            roots = common.kept(components(edges.distinct()), "roots")
-        if last:
-            break
+            roots, by = common.kept(components(edges.distinct()), "roots"), None
     return roots

@@ -43,6 +43,8 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 #: Most fingerprints in one BK-tree.
 TREE_ROWS = 2048
+#: Edges beyond which a hub's rows may be more than a task should hold.
+HUB_EDGES = 2_000_000
 
 #: What verified groups take: words of a shingle, and the least similarity as a fraction.
 SIMILAR_WORDS, NUM, DEN = 5, 4, 5
@@ -247,21 +249,23 @@ def links(reps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS, blo
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for nodes with edges.
 
-    edges: (u, v) with u > v. Both kinds of round leave the components as they are and the result is a star for each. Least
-    neighbours are pre-aggregated and written, so both sides of a join are dealt by it alone, and Spark can split a hub's rows.
+    edges: (u, v) with u > v. Both kinds of round leave the components as they are and the result is a star for each. Of more than
+    HUB_EDGES edges least neighbours are pre-aggregated and written, so that both sides of a join are dealt by it alone and Spark can
+    split a hub's rows; of fewer, a hub's rows are a small table.
     """
+    sums = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = common.kept(edges.where("u != v"), "edges")
+    now = sums(edges)
     for _ in range(max_rounds):
+        cut = common.kept if now[0] > HUB_EDGES else lambda df, tag: df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = common.kept(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
-        down = common.kept(large.groupBy("u").agg(F.min("v").alias("m")), "down")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        new = common.kept(small, "edges")
-        sums = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = sums(new) == sums(edges)
-        edges = new
-        if done:
+        edges, before = common.kept(small, "edges"), now
+        now = sums(edges)
+        if now == before:
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
