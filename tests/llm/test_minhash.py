@@ -95,6 +95,23 @@ def test_signatures_agree_as_sets_do():
         assert similarity < 0.8 or bands > 0.99999
 
 
+def test_signature_bits_tell_who_is_near():
+    """Pairs of 0.8 differ in no more than RADIUS bits of 128 save with a chance of one in 100,000; unrelated ones nearly always do."""
+    from math import comb
+
+    beyond = sum(comb(128, k) * 0.1**k * 0.9 ** (128 - k) for k in range(minhash.RADIUS + 1, 129))
+    assert beyond < 1e-5
+    rng = np.random.default_rng(2)
+    far = {0.8: [], 0.3: []}
+    for similarity, seen in far.items():
+        n, both = 400, round(800 * similarity / (1 + similarity))
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+            a, b = (minhash.signature(np.unique(y))[:128] & 1 for y in (x[:n], x[n - both :]))
+            seen.append(int((a != b).sum()))
+    assert max(far[0.8]) <= minhash.RADIUS and np.mean(np.array(far[0.3]) > minhash.RADIUS) > 0.9
+
+
 def test_permutations_are_bijections_and_shifts_circular():
     x = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65537)
     assert len(np.unique(minhash.permute(x.copy(), minhash.PI))) == len(np.unique(x))

@@ -91,3 +91,22 @@ def test_verdicts_are_by_row(spark, tmp_path):
     rows = [(None, f"{b} {a}"), (None, b), (1, f"{a} {c}"), (1, c), (1, c), (2, None), (None, None)]
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, b), (1, c), (1, c), (2, None), (None, None)], key=repr)
+
+
+def test_near_groups_hang_together():
+    """Groups of heads are the components of the graph of near heads; far ones are in none; large shards are one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (9, 2)).astype(np.uint64)
+    heads = np.array([[x ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for x in map(int, base[rng.integers(0, 9)])] for _ in range(60)] + [[0, 0], [2**64 - 1, 2**64 - 1]], np.uint64)
+    for radius in (3, 6, 8):
+        far = np.bitwise_count(heads[:, None] ^ heads[None]).sum(axis=2)
+        up = list(range(62))
+        for _ in range(62):
+            up = [min(up[j] for j in range(62) if far[i, j] <= radius) for i in range(62)]
+        got = simhash.near_groups(heads, radius)
+        assert [g >= 0 for g in got] == [(far[i] <= radius).sum() > 1 for i in range(62)]
+        pairs = [(i, j) for i in range(62) for j in range(62) if got[i] >= 0 and got[j] >= 0]
+        assert all((got[i] == got[j]) == (up[i] == up[j]) for i, j in pairs)
+        assert ((simhash.near_any(heads, radius)) == (got >= 0)).all()

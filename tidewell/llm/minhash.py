@@ -5,7 +5,10 @@ least value of the second, pi, over the elements shifted circularly by k. Elemen
 permutations are bijections of multiplications and shifts, so no table of them is held or sent.
 
 Signatures are cut into ``BANDS`` bands of ``BAND_ROWS`` coordinates. Documents that agree in a band are candidates; two of similarity 0.8 agree in none with a
-chance of 7e-6. Links are confirmed, and groups made, by ``jaccard``, from the sets of 64-bit hashes of all shingles. Texts of equal
+chance of 7e-6. Unrelated documents that agree in a band grow as the square of their number, so before any set is moved, the members of a bucket are held against
+each other by 128 bits of their signatures, one of each of 128 coordinates: of a pair of similarity s about (1 + s) / 2 of the bits agree, and a
+member that differs from all others of the bucket in over ``RADIUS`` bits, which one of 0.8 does with a chance of 3e-6, leaves it.
+Links are confirmed, and groups made, by ``jaccard``, from the sets of 64-bit hashes of all shingles. Texts of equal
 sets are one node, so copies cost a row each and no pairs.
 
 Defined cases: a null text has no words; a row without words has an empty set and is linked with nothing, copies of it included; with
@@ -28,6 +31,8 @@ from . import common, jaccard, simhash
 
 WORDS, NUM, DEN = 2, 4, 5
 BANDS, BAND_ROWS = 30, 5
+#: Bits of 128 that near members of a bucket may differ in, and the rows beyond which a bucket isn't tested.
+RADIUS, TESTED_ROWS = 30, 4096
 #: What sigma and pi start with.
 SIGMA, PI = np.uint32(0x9E3779B9), np.uint32(0x7F4A7C15)
 
@@ -63,9 +68,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def prints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """(row, id, digest, n, s, keys) of each row, written; digest, s and keys are null without words."""
+    """(row, id, digest, n, s, keys, w0, w1) of each row, written; all from digest on but n are null without words. w0 and w1 are bits of the signature."""
     rows = common.spread(df.select(F.col(f"`{id_column}`").alias("id"), F.encode(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "UTF-8").alias("_t")))
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,21 +78,36 @@ def prints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataF
             for t in b.column(1):
                 h = np.unique(simhash.shingle_hashes(t.as_py(), words)[1])
                 s = h.tobytes()
-                out.append((xxhash.xxh3_128_digest(s), len(h), s, band_keys(signature(h))) if len(h) else (None, 0, None, None))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["id", "digest", "n", "s", "keys"])
-
-    made = rows.mapInArrow(common.tidy(take), f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n int, s binary, keys array<long>")
+                if not len(h):
+                    out.append((None, 0, None, None, None, None))
+                    continue
+                sig = signature(h)
+                w0, w1 = np.packbits((sig[:128] & 1).astype(bool)).view(np.int64).tolist()
+                out.append((xxhash.xxh3_128_digest(s), len(h), s, band_keys(sig), w0, w1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["id", "digest", "n", "s", "keys", "w0", "w1"])
+
+    made = rows.mapInArrow(common.tidy(take), f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n int, s binary, keys array<long>, w0 long, w1 long")
     return common.kept(made.select(F.monotonically_increasing_id().alias("row"), "*"), "prints")
 
 
+def near_members(every: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, row, n): the buckets of the nodes' bands without the members that are near no other of theirs, written. Buckets over TESTED_ROWS
+    rows stay whole, so that no task gets the rows of a hot one."""
+    own = every.select("row", "n", "keys", "w0", "w1").join(nodes.select("row"), "row").select(F.explode("keys").alias("key"), "row", "n", "w0", "w1")
+    several = common.kept(own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
+    rows = common.kept(own.join(several, "key"), "members")
+    tested = rows.where(F.col("c") <= TESTED_ROWS).select("key", "row", "w0", "w1").repartition("key").sortWithinPartitions("key")
+    near = tested.mapInArrow(common.tidy(lambda b: simhash.with_neighbours(b, RADIUS)), "key long, row long")
+    near = common.kept(near.select(F.xxhash64(F.spark_partition_id(), "key").alias("key"), "row"), "near")
+    return near.join(every.select("row", "n"), "row").select("key", "row", "n").unionByName(rows.where(F.col("c") > TESTED_ROWS).select("key", "row", "n"))
+
+
 def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) for each row: component_id is the smallest id that its links reach."""
     common.ready(df.sparkSession)
     every = prints(df, id_column, text_column, words)
     nodes = common.kept(every.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("id").alias("least")), "nodes")
-    chosen = common.kept(every.select("row", "n", "s", "keys").join(nodes.select("row"), "row"), "sets")
-    members = chosen.select(F.explode("keys").alias("key"), "row", "n")
-    roots = jaccard.grouped(members, chosen.select("row", "s"), num, den, simhash.components)
+    roots = jaccard.grouped(near_members(every, nodes), every.select("row", "s"), num, den, simhash.components)
     if roots is None:
         rooted = nodes.withColumn("root", F.col("row"))
     else:
@@ -95,7 +115,7 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     rooted = common.kept(rooted.select("digest", "least", "root"), "rooted")
     names = common.kept(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     labels = common.kept(rooted.join(names, "root").select("digest", "component_id"), "labels")
-    some = common.join_small_or_salted(every.where("n > 0").select("row", "id", "n", "digest"), labels, "digest", "row")
+    some = common.join_small_or_salted(every.where("n > 0").select("row", "id", "n", "digest"), labels, "digest")
     none = every.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.select("id", "n", "component_id").unionByName(none).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 

@@ -55,6 +55,8 @@ WIDE, WIDE_RADIUS, HEAD_RADIUS = 8, 98, 32
 RECALL, BIT_DIFFERENCE = 0.99, WIDE_RADIUS / (64 * WIDE)
 #: Rows of a shard beyond which all of them count as near each other, so that no task holds more; distances that are taken at once.
 SHARD_ROWS, AT_ONCE = 100_000, 1 << 18
+#: Heads of a shard up to which those that hang together are told apart.
+GROUPED_ROWS = 4096
 
 
 def shingle_hashes(text: bytes, words: int) -> tuple[bytes, np.ndarray]:
@@ -411,9 +413,36 @@ def near_any(heads: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def near_groups(heads: np.ndarray, radius: int) -> np.ndarray:
+    """A number for each head of a shard: heads that hang together by steps within the radius have the same, those that are near no
+    other have -1. Shards over GROUPED_ROWS heads aren't told apart further."""
+    n = len(heads)
+    if n > GROUPED_ROWS:
+        return np.where(near_any(heads, radius), 0, -1)
+    close = np.empty((n, n), bool)
+    step = max(1, AT_ONCE // n)
+    for at in range(0, n, step):
+        close[at : at + step] = np.bitwise_count(heads[at : at + step, None, :] ^ heads[None, :, :]).sum(axis=2, dtype=np.int32) <= radius
+    out = np.full(n, -1)
+    some = np.flatnonzero(close.sum(axis=1) > 1)
+    if not len(some):
+        return out
+    close, label = close[np.ix_(some, some)], np.full(len(some), -1)
+    for k in range(len(some)):
+        if label[k] >= 0:
+            continue
+        new = reached = close[k]
+        while new.any():
+            new = close[new].any(axis=0) & ~reached
+            reached = reached | new
+        label[reached] = k
+    out[some] = label
+    return out
+
+
 def with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(key, row): of each shard the documents that have another within the radius; all of a shard that comes in pieces. Keys are new ones,
-    that tell the shards of a partition apart."""
+    """(key, row): of each shard the documents that have another within the radius, by the groups in which they hang together; all of a
+    shard that comes in pieces. Keys are new ones, that tell the groups of a partition apart."""
     key, in_pieces = 0, False
     for rows, heads, starts in shards(batches):
         if heads is None:
@@ -424,10 +453,10 @@ def with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
         in_pieces = False
         if len(starts) < 2:
             continue
-        hit = np.concatenate([near_any(heads[i:j], radius) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
-        run = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) + key + 1
-        key += len(starts)
-        yield pa.RecordBatch.from_arrays([pa.array(run[hit]), pa.array(rows[hit])], names=["key", "row"])
+        own = np.concatenate([np.where((g := near_groups(heads[i:j], radius)) < 0, -1, g + i) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
+        hit = own >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(own[hit] + key + 1), pa.array(rows[hit])], names=["key", "row"])
+        key += len(rows) + 1
 
 
 def shingle_sets(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
