@@ -15,9 +15,9 @@
 
 *Verified* (``similar_groups``), for a similarity whose fingerprints differ in too many bits for blocks: fingerprints of 512
 bits; each of a number of tables deals their heads of 128 bits to shards by bits of its own choice, so that a pair of the least
-similarity, even in the upper tail of its difference, meets in some table with the chance ``RECALL``. Documents that have no other near
-them in their shard leave it: the shard's root keys its children by their distance, and a search follows the edges within the
-radius. What is left of a shard is a bucket, whose links ``jaccard`` decides by the two whole shingle sets.
+similarity, even in the upper tail of its difference, meets in some table with the chance ``RECALL``. A shard's root keys its children by their
+distance, and a search follows the edges within the radius. Documents that have no other near them in their shard leave it; those that
+hang together are a bucket, whose links ``jaccard`` decides by the two whole shingle sets.
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; null doc_ids never
 name a group, and their rows belong to the group that their fingerprint is in (null if no row of it has an id); repeated
@@ -415,14 +415,21 @@ def near_any(heads: np.ndarray, radius: int) -> np.ndarray:
 
 def near_groups(heads: np.ndarray, radius: int) -> np.ndarray:
     """A number for each head of a shard: heads that hang together by steps within the radius have the same, those that are near no
-    other have -1. Shards over GROUPED_ROWS heads aren't told apart further."""
+    other have -1. As in near_any, the first head is the root of a BK-tree of one level, and a head is compared with those whose distance
+    to the root is within the radius of its own. Shards over GROUPED_ROWS heads aren't told apart further."""
     n = len(heads)
     if n > GROUPED_ROWS:
         return np.where(near_any(heads, radius), 0, -1)
-    close = np.empty((n, n), bool)
+    far = np.bitwise_count(heads ^ heads[0]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(far, kind="stable")
+    far, heads = far[order], heads[order]
+    low, high = np.searchsorted(far, far - radius), np.searchsorted(far, far + radius, side="right")
+    close = np.zeros((n, n), bool)
     step = max(1, AT_ONCE // n)
     for at in range(0, n, step):
-        close[at : at + step] = np.bitwise_count(heads[at : at + step, None, :] ^ heads[None, :, :]).sum(axis=2, dtype=np.int32) <= radius
+        end = min(at + step, n)
+        a, z = int(low[at]), int(high[end - 1])
+        close[at:end, a:z] = np.bitwise_count(heads[at:end, None, :] ^ heads[None, a:z, :]).sum(axis=2, dtype=np.int32) <= radius
     out = np.full(n, -1)
     some = np.flatnonzero(close.sum(axis=1) > 1)
     if not len(some):
@@ -436,7 +443,7 @@ def near_groups(heads: np.ndarray, radius: int) -> np.ndarray:
             new = close[new].any(axis=0) & ~reached
             reached = reached | new
         label[reached] = k
-    out[some] = label
+    out[order[some]] = label
     return out
 
 
