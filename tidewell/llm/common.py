@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Bytes that cross to a Python worker at once; the same for all operators, so that frames of several may be built before one runs.
 BATCH_BYTES = 4 << 20
+#: Rows of a key up to which it is never hot.
+HOT_ROWS = 256
 #: What separates words everywhere in this subpackage.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -167,20 +169,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 
 
 def join_small_or_salted(left: DataFrame, right: DataFrame, key: str, salt_by: str | None = None, *, salts: int | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join on key, nulls equal to nulls. right has one row for each key.
+    """Left join on key, nulls equal to nulls. right has one row for each key; left is read twice.
 
-    right is broadcast only if it is counted to few rows and bytes. Else every row of right is repeated for each
-    salt, so that the rows of a hot key on the left spread over ``salts`` tasks (an eighth of the shuffle's partitions, 16 at
-    least). The salt is a hash of ``salt_by`` or, without it, of the row's place in left, which is a written table then; either
-    stays the same when a lost task runs again, and the place differs for repeated rows too.
+    right is broadcast only if it is counted to few rows and bytes. Else both sides are shuffled, whatever the planner takes their
+    sizes for (it doesn't see that explode makes rows more), and right's rows of left's hot keys are repeated for each salt, so that the rows of
+    a hot key spread over ``salts`` tasks (an eighth of the shuffle's partitions, 16 at least). A key is hot if it has over a
+    quarter of a task's share of the rows, so there are at most 4 * salts. The salt is a hash of ``salt_by`` or, without it, of the row's place in left, which is a
+    written table then; either stays the same when a lost task runs again, and the place differs for repeated rows too.
     """
     other = right.withColumnRenamed(key, "_key")
     if small(right, rows):
         return left.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     salts = salts or max(16, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by if salt_by else F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    return salted.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_key", "_salt", "_salt2")
+    if salts == 1:
+        return left.join(other.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    limit = max(HOT_ROWS, left.count() // (4 * salts))
+    hot = kept(left.groupBy(F.col(key).alias("_hot")).count().where(F.col("count") > limit).select("_hot", F.lit(salts).alias("_salts")), "hot")
+    marked = lambda df, c: df.join(F.broadcast(hot), F.col(c).eqNullSafe(F.col("_hot")), "left")
+    other = marked(other, "_key").withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
+    salted = marked(left.withColumn("_place", F.monotonically_increasing_id()) if not salt_by else left, key)
+    salt = F.pmod(F.xxhash64(salt_by or "_place"), F.col("_salts")).cast("int")
+    salted = salted.withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_hot", "_salts", "_place")
+    return salted.join(other.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_key", "_salt", "_salt2")
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", *, rows: int = BROADCAST_ROWS) -> DataFrame:
