@@ -6,8 +6,8 @@ least Jaccard similarity, so most pairs of a bucket never have to be looked at:
 1. *Stars*, in buckets over ``STAR_ROWS`` rows. In each round their members are held against one of them, the representative, which is the
    same in all buckets of the same rows; a link is confirmed on the two whole sets. A large group of near copies falls together at
    one pair a member.
-2. *What is left*, buckets whose members are still of several components, is decided inside tasks to which the sets themselves
-   go: first a share of the buckets, which joins most rows that meet in many of them, then all that are left. Buckets of the same members are one. In a task a prefix filter takes out the rows that can't be similar to any other: in
+2. *What is left*, buckets whose members are still of several components, is decided inside tasks to which short forms of the sets
+   go, which never miss a link; the links that they tell are confirmed on the whole sets, and a bucket of which one is refuted is decided by whole sets: first a share of the buckets, which joins most rows that meet in many of them, then all that are left. Buckets of the same members are one. In a task a prefix filter takes out the rows that can't be similar to any other: in
    one order of elements, the rarest of the bucket first, two similar sets share one of their first n - ceil(n * least) + 1. The
    others' intersections are counted by products of 0/1 blocks, and links are joined at once, so a task gives a row less than it has, never pairs.
    Buckets over ``PART_ROWS`` rows or ``PART_ELEMENTS`` elements are split, and each two parts meet in a task.
@@ -32,6 +32,8 @@ SHARE = 4
 ROUNDS, STAR_ROWS, PART_ROWS, PART_ELEMENTS = 2, 64, 1024, 1 << 19
 #: Most rows and bytes, as text, of row numbers that are sent to every executor.
 ASKED_ROWS, ASKED_BYTES = 1_000_000, 64 << 20
+#: Elements of a set up to which its short form has 16 bits of each, and 32 beyond.
+SHORT_ROWS = 1024
 #: Rows and columns of a block of the products.
 BLOCK, WIDTH = 512, 4096
 
@@ -170,8 +172,63 @@ def starred(known: DataFrame, large: DataFrame, sets: DataFrame, num: int, den:
     return confirmed(common.kept(near, "pairs"), sets, num, den)
 
 
+def short(s: np.ndarray) -> bytes:
+    """The last bits of a set's hashes, 16 of up to SHORT_ROWS and 32 of more, sorted."""
+    return np.sort(s.astype(np.uint16 if len(s) <= SHORT_ROWS else np.uint32)).tobytes()
+
+
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Sorted values as a set: each with how often it came before. Two sets of hashes have at most as many elements in common as their
+    short forms' numbered values, so what those can't link isn't linked."""
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    before = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    return values.astype(np.uint64) << np.uint64(24) | before.astype(np.uint64)
+
+
+def maybe_linked(comps: np.ndarray, side: np.ndarray, sizes: np.ndarray, shorts: list, num: int, den: int) -> list[tuple[int, int]]:
+    """linked() of the short forms: of sets of up to SHORT_ROWS with those that are in reach of them by 16 bits, of larger ones by 32."""
+    out = []
+    for bits, mine in ((16, sizes * num <= SHORT_ROWS * den), (32, sizes > SHORT_ROWS)):
+        at = np.flatnonzero(mine)
+        if len(at) < 2 or (bits == 16 and sizes[at].min() > SHORT_ROWS):
+            continue
+        own = []
+        for k in at.tolist():
+            v = np.frombuffer(shorts[k].as_buffer(), np.uint16 if sizes[k] <= SHORT_ROWS else np.uint32)
+            own.append(numbered(v if bits == 32 or sizes[k] <= SHORT_ROWS else np.sort(v.astype(np.uint16))))
+        out += [(int(at[i]), int(at[j])) for i, j in linked(comps[at], side[at], own, num, den)]
+    return out
+
+
+def dealt_sets(dealt: DataFrame, sets: DataFrame, num: int, den: int, brief: bool) -> DataFrame:
+    """(key, u, v), written: links between the rows (key, i, j, side, row, comp; written) of equal keys, by their sets or, brief, by short forms."""
+    few = asked(sets, dealt.select("row"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in every], pa.int32()), pa.array([short(s) for s in every], pa.binary())], names=["row", "size", "s"])
+
+    few = few.select("row", "s").mapInArrow(common.tidy(cut), "row long, size int, s binary") if brief else few.select("row", F.lit(0).alias("size"), "s")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.groups(batches, ["key", "i", "j"]):
+            row, comp, own = (t[c].to_numpy() for c in ("row", "comp", "side"))
+            if brief:
+                found = maybe_linked(comp, own, t["size"].to_numpy(), list(t["s"]), num, den)
+            else:
+                found = linked(comp, own, [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]], num, den)
+            if found:
+                u, v = (row[[x[k] for x in found]] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t["key"].to_numpy()[:1], len(u))), pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["key", "u", "v"])
+
+    rows = dealt.join(few.hint("merge"), "row")
+    return common.kept(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(common.tidy(decide), "key long, u long, v long"), "links")
+
+
 def in_tasks(known: DataFrame, by: DataFrame, sets: DataFrame, num: int, den: int, part_rows: int, part_elements: int) -> DataFrame:
-    """(u, v): links that span what the buckets hold of different components, decided where the sets come together, written."""
+    """(u, v): links that span what the buckets hold of different components, written. Short forms of the sets, which never miss a link, come
+    together first; what links they tell is confirmed on the whole sets, and buckets of which one is refuted are decided by those."""
     parts = F.greatest(F.ceil(F.col("rows") / part_rows), F.ceil(F.col("elements") / part_elements)).cast("int")
     mixed = common.kept(by.groupBy("rows", "elements", "d", "e").agg(F.min("key").alias("key")).select("key", parts.alias("parts")), "mixed")
     rows = known.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
@@ -179,17 +236,13 @@ def in_tasks(known: DataFrame, by: DataFrame, sets: DataFrame, num: int, den: in
     side = ((F.col("own") == F.col("t.j")) & (F.col("t.i") != F.col("t.j"))).cast("byte")
     dealt = rows.select("key", "row", "comp", "own", F.explode(tasks).alias("t")).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), side.alias("side"), "row", "comp")
     dealt = common.kept(dealt, "dealt")
-    dealt = dealt.join(asked(sets, dealt.select("row")), "row")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.groups(batches, ["key", "i", "j"]):
-            row, comp, own = (t[c].to_numpy() for c in ("row", "comp", "side"))
-            found = linked(comp, own, [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]], num, den)
-            if found:
-                u, v = (row[[x[k] for x in found]] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    return common.kept(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(common.tidy(decide), "u long, v long"), "links")
+    maybe = dealt_sets(dealt, sets, num, den, True)
+    links = confirmed(common.kept(maybe.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "pairs"), sets, num, den)
+    refuted = common.kept(maybe.join(links.hint("merge"), ["u", "v"], "left_anti").select("key").distinct(), "refuted")
+    if not refuted.head(1):
+        return links
+    again = common.kept(dealt.join(refuted, "key"), "dealt")
+    return links.unionByName(dealt_sets(again, sets, num, den, False).select("u", "v"))
 
 
 def grouped(members: DataFrame, sets: DataFrame, num: int, den: int, components, *, rounds: int = ROUNDS, star_rows: int = STAR_ROWS, part_rows: int = PART_ROWS, part_elements: int = PART_ELEMENTS) -> DataFrame | None:

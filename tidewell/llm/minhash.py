@@ -8,7 +8,8 @@ Signatures are cut into ``BANDS`` bands of ``BAND_ROWS`` coordinates. Documents
 chance of 7e-6. Unrelated documents that agree in a band grow as the square of their number, so before any set is moved, the members of a bucket are held against
 each other by 128 bits of their signatures, one of each of 128 coordinates: of a pair of similarity s about (1 + s) / 2 of the bits agree, and a
 member that differs from all others of the bucket in over ``RADIUS`` bits, which one of 0.8 does with a chance of 3e-6, leaves it.
-Links are confirmed, and groups made, by ``jaccard``, from the sets of 64-bit hashes of all shingles. Texts of equal
+Links are confirmed, and groups made, by ``jaccard``, from the sets of 64-bit hashes of all shingles of the members that are left, which are made from the
+texts a second time, as the sets of all documents take twice the texts' room. Texts of equal
 sets are one node, so copies cost a row each and no pairs.
 
 Defined cases: a null text has no words; a row without words has an empty set and is linked with nothing, copies of it included; with
@@ -67,47 +68,80 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(1)).astype(np.int64)
 
 
-def prints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """(row, id, digest, n, s, keys, w0, w1) of each row, written; all from digest on but n are null without words. w0 and w1 are bits of the signature."""
-    rows = common.spread(df.select(F.col(f"`{id_column}`").alias("id"), F.encode(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "UTF-8").alias("_t")))
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+def texts_of(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, h, _t): h tells equal texts, up to chance."""
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    return common.spread(df.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("_t")))
+
+
+def prints(texts: DataFrame, words: int) -> DataFrame:
+    """(row, id, h, digest, n, keys, w0, w1) of each row, written; all from digest on but n are null without words. w0 and w1 are bits of the signature."""
+    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column(1):
+            for t in b.column(2):
                 h = np.unique(simhash.shingle_hashes(t.as_py(), words)[1])
-                s = h.tobytes()
                 if not len(h):
-                    out.append((None, 0, None, None, None, None))
+                    out.append((None, 0, None, None, None))
                     continue
                 sig = signature(h)
                 w0, w1 = np.packbits((sig[:128] & 1).astype(bool)).view(np.int64).tolist()
-                out.append((xxhash.xxh3_128_digest(s), len(h), s, band_keys(sig), w0, w1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["id", "digest", "n", "s", "keys", "w0", "w1"])
+                out.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), band_keys(sig), w0, w1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["id", "h", "digest", "n", "keys", "w0", "w1"])
 
-    made = rows.mapInArrow(common.tidy(take), f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n int, s binary, keys array<long>, w0 long, w1 long")
+    made = texts.mapInArrow(common.tidy(take), f"id {texts.schema['id'].dataType.simpleString()}, h long, digest binary, n int, keys array<long>, w0 long, w1 long")
     return common.kept(made.select(F.monotonically_increasing_id().alias("row"), "*"), "prints")
 
 
+def sets_of(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(row, s), written: the sorted distinct hashes of the shingles of nodes (row, digest, h; written). They are made from the texts again, which are found
+    by h and told by digest, so that the sets of rows that are near nothing are never written; a task gives one of the copies that it meets."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            out = []
+            for t in b.column(0):
+                s = np.unique(simhash.shingle_hashes(t.as_py(), words)[1]).tobytes()
+                digest = xxhash.xxh3_128_digest(s)
+                if digest not in seen:
+                    seen.add(digest)
+                    out.append((digest, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["digest", "s"])
+
+    asked = nodes.select("h").distinct()
+    side = F.broadcast(asked) if common.small(asked, jaccard.ASKED_ROWS, jaccard.ASKED_BYTES) else asked.hint("merge")
+    made = texts.select("h", "_t").join(side, "h", "left_semi").select("_t").mapInArrow(common.tidy(take), "digest binary, s binary")
+    found = made.join(nodes.select("row", "digest").hint("merge"), "digest")
+    return common.kept(found.groupBy("row").agg(F.first("s").alias("s")), "sets")
+
+
 def near_members(every: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, row, n): the buckets of the nodes' bands without the members that are near no other of theirs, written. Buckets over TESTED_ROWS
     rows stay whole, so that no task gets the rows of a hot one."""
-    own = every.select("row", "n", "keys", "w0", "w1").join(nodes.select("row"), "row").select(F.explode("keys").alias("key"), "row", "n", "w0", "w1")
+    own = common.kept(every.select("row", "n", "keys", "w0", "w1").join(nodes.select("row").hint("merge"), "row"), "own")
+    own = own.select(F.explode("keys").alias("key"), "row", "n", "w0", "w1")
     several = common.kept(own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
-    rows = common.kept(own.join(several, "key"), "members")
+    rows = common.kept(own.join(several.hint("merge"), "key"), "members")
     tested = rows.where(F.col("c") <= TESTED_ROWS).select("key", "row", "w0", "w1").repartition("key").sortWithinPartitions("key")
     near = tested.mapInArrow(common.tidy(lambda b: simhash.with_neighbours(b, RADIUS)), "key long, row long")
     near = common.kept(near.select(F.xxhash64(F.spark_partition_id(), "key").alias("key"), "row"), "near")
-    return near.join(every.select("row", "n"), "row").select("key", "row", "n").unionByName(rows.where(F.col("c") > TESTED_ROWS).select("key", "row", "n"))
+    sized = near.join(every.select("row", "n").hint("merge"), "row").select("key", "row", "n")
+    return common.kept(sized.unionByName(rows.where(F.col("c") > TESTED_ROWS).select("key", "row", "n")), "near")
 
 
 def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) for each row: component_id is the smallest id that its links reach."""
     common.ready(df.sparkSession)
-    every = prints(df, id_column, text_column, words)
-    nodes = common.kept(every.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("id").alias("least")), "nodes")
-    roots = jaccard.grouped(near_members(every, nodes), every.select("row", "s"), num, den, simhash.components)
+    texts = texts_of(df, id_column, text_column)
+    every = prints(texts, words)
+    nodes = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("row", "h")).alias("x"), F.min("id").alias("least"))
+    nodes = common.kept(nodes.select("digest", "x.row", "x.h", "least"), "nodes")
+    near = near_members(every, nodes)
+    asked = common.kept(nodes.select("row", "digest", "h").join(near.select("row").distinct().hint("merge"), "row"), "asked")
+    roots = jaccard.grouped(near, sets_of(texts, asked, words), num, den, simhash.components)
     if roots is None:
         rooted = nodes.withColumn("root", F.col("row"))
     else:
