@@ -22,14 +22,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of the sample that tells the quantiles of strings.
-SAMPLE = 20_000
-
 
 @dataclass(frozen=True)
 class Dimension:
     """A metadata column; ``kind`` is number or string. Both are quantised at their own quantiles: those of numbers come from an
-    approximate aggregate, those of strings from a sample of about SAMPLE rows."""
+    approximate aggregate of all rows, those of strings are counted exactly."""
 
     column: str
     kind: str = "number"
@@ -72,18 +69,32 @@ def quantised(df: DataFrame, dims: list[Dimension], bits: int) -> list[list]:
     """The distinct quantile borders of each dimension: at most 2**bits - 1 values each."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     numbers = [i for i, d in enumerate(dims) if d.kind != "string"]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(dims[i].value(), shares, 10_000).alias(f"d{i}") for i in numbers]).first()
-    out = [sorted({float(v) for v in (row[f"d{i}"] or ())}) if i in numbers else [] for i in range(len(dims))]
-    strings = [i for i in range(len(dims)) if i not in numbers]
-    if strings:
-        some = df.select(*[dims[i].value().alias(f"d{i}") for i in strings])
-        if row["n"] > SAMPLE:
-            some = some.sample(False, SAMPLE / row["n"], 42)
-        held = some.collect()
-        for i in strings:
-            values = sorted(r[f"d{i}"].encode() for r in held if r[f"d{i}"] is not None)
-            out[i] = sorted({values[len(values) * k >> bits] for k in range(1, 1 << bits)}) if values else []
-    return out
+    row = df.agg(F.lit(0), *[F.percentile_approx(dims[i].value(), shares, 10_000).alias(f"d{i}") for i in numbers]).first()
+    return [sorted({float(v) for v in (row[f"d{i}"] or ())}) if i in numbers else string_borders(df, d, bits) for i, d in enumerate(dims)]
+
+
+def string_borders(df: DataFrame, dim: Dimension, bits: int) -> list[bytes]:
+    """The exact quantiles of all of a dimension's strings: distinct values are counted and sorted over ranges, and the driver sees
+    each range's number of rows and the values that stand at the quantiles' places."""
+    counts = df.select(dim.value().alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted_and_kept(counts, [F.col("v")])
+    before, total = {}, 0
+    for p, n in sorted(tuple(r) for r in counts.groupBy(F.spark_partition_id()).agg(F.sum("n")).collect()):
+        before[p], total = total, total + n
+    places = np.unique([total * k >> bits for k in range(1, 1 << bits)])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = before.get(TaskContext.get().partitionId(), 0)
+        for b in batches:
+            ends = at + np.cumsum(b.column(1).to_numpy())
+            starts = np.concatenate(([at], ends[:-1])) if len(ends) else ends
+            hit = np.searchsorted(places, ends) > np.searchsorted(places, starts)
+            yield b.select(["v"]).filter(pa.array(hit))
+            at = int(ends[-1]) if len(ends) else at
+
+    return sorted(r["v"].encode() for r in counts.mapInArrow(pick, "v string").collect())
 
 
 def curve_rows(df: DataFrame, dims: list[Dimension], bits: int, keep: dict[str, Column]) -> DataFrame:
