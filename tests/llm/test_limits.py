@@ -1,6 +1,9 @@
 """What a join may send to every executor."""
 
-from tidewell.llm import common
+import pyarrow as pa
+
+from tidewell.llm import common, hilbert, wavelet
+from tidewell.llm.bpe import vocabulary
 
 
 def test_salted_side_is_never_broadcast(spark):
@@ -13,3 +16,26 @@ def test_salted_side_is_never_broadcast(spark):
     assert "SortMergeJoin" in physical and "strategy=merge" in plan
     assert {(r["i"], r["v"]) for r in joined.collect()} == {(i, 7 if i < 3000 else i - 3000) for i in range(6000)}
 
+
+def test_string_borders_come_from_all_rows(spark):
+    """Over more rows than the sample had that borders once came from."""
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 'same', concat('é', lpad(cast(id * 7919 % 30000 as string), 6, '0'))) AS v").unionByName(spark.createDataFrame([(None,)], "v string"))
+    values = sorted(r["v"].encode() for r in df.where("v is not null").collect())
+    assert hilbert.quantised(df, [hilbert.Dimension("v", "string")], 5) == [sorted({values[len(values) * k >> 5] for k in range(1, 32)})]
+    assert hilbert.quantised(df.limit(0), [hilbert.Dimension("v", "string")], 5) == [[]]
+
+
+def test_op4_encodes_a_word_once(monkeypatch):
+    """Words of an earlier batch aren't given to the library again, also after all were forgotten."""
+    e = wavelet.WordEncoder(vocabulary("word_bpe_49k.json").decode())
+    texts = pa.array(["zolo nervin, Alta 12x", "alta zolo. nervin élan", "", "quorb zolo"])
+    given, plain = [], e.plain
+    monkeypatch.setattr(e, "plain", lambda some: given.extend(some) or plain(some))
+    for limit in (1 << 19, 2, 0):
+        monkeypatch.setattr(wavelet, "HELD_WORDS", limit)
+        for _ in range(2):
+            given.clear()
+            ids, lengths = e.encode(texts)
+            want = [x.ids for x in e.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+        assert ("zolo" in " ".join(given).split()) == (limit < 3)

@@ -44,6 +44,8 @@ SHARD_TOKENS = 1 << 22
 STEP, BLOCK = 512, 1 << 17
 #: Bytes of texts whose words are encoded together, and words of one text that is given to the library.
 TEXT_BYTES, TOGETHER = 12 << 20, 200
+#: Words whose ids a worker holds.
+HELD_WORDS = 1 << 20
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What keeps a text from being cut into words.
 WHOLE = "<\\||[\x1c-\x1f]|İ"
@@ -280,13 +282,37 @@ class WordEncoder:
         mark = json.loads(data)["model"].get("end_of_word_suffix") or ""
         self.kind = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.ends = np.array([bool(mark) and (self.library.id_to_token(i) or "").endswith(mark) for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        """The words of letters that are held: their strings, all of their ids, and each one's place and number in them."""
+        self.known, self.known_ids = pa.array([], pa.string()), np.zeros(0, self.kind)
+        self.known_at, self.known_number = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of texts as they are."""
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_letters(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of different words that are letters only, or no letters: all ids, and each word's place and number in them.
+        """Ids of different words that are letters only, or no letters: all ids, and each word's place and number in them. Words are
+        held from one batch to the next, HELD_WORDS at most, after which all are forgotten."""
+        place = pc.index_in(words, value_set=self.known)
+        if len(self.known) + place.null_count > HELD_WORDS:
+            self.forget()
+            place = pc.index_in(words, value_set=self.known)
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            some = words.take(pa.array(new))
+            ids, at, number = self.fresh_letters(some)
+            place[new] = len(self.known) + np.arange(len(new))
+            self.known_at = np.concatenate((self.known_at, len(self.known_ids) + at))
+            self.known_number = np.concatenate((self.known_number, number))
+            self.known_ids, self.known = np.concatenate((self.known_ids, ids)), pa.concat_arrays([self.known, some])
+        return self.known_ids, self.known_at[place], self.known_number[place]
+
+    def fresh_letters(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """of_letters() of words that aren't held.
 
         Such a word is one part, and the last token of a part says that it is; many words go to the library as one text.
         """
