@@ -1,8 +1,9 @@
 """What a join may send to every executor."""
 
+import numpy as np
 import pyarrow as pa
 
-from tidewell.llm import common, hilbert, wavelet
+from tidewell.llm import common, hilbert, jaccard, wavelet
 from tidewell.llm.bpe import vocabulary
 
 
@@ -39,3 +40,20 @@ def test_op4_encodes_a_word_once(monkeypatch):
             want = [x.ids for x in e.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
         assert ("zolo" in " ".join(given).split()) == (limit < 3)
+
+
+def test_short_forms_never_miss_a_link():
+    """op12 sends short forms of sets to the buckets; sizes on both sides of the change from 16 to 32 bits."""
+    rng, links = np.random.default_rng(3), 0
+    for n in (5, 300, 1000, 1024, 1025, 1270, 1290, 3000):
+        for gone in (0.05, 0.19, 0.2, 0.21, 0.4):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.sort(a[: len(a) - int(gone * n)])
+            pair = [a, b]
+            zero, sizes = np.zeros(2, np.int8), np.array([len(x) for x in pair])
+            found = jaccard.maybe_linked(np.arange(2), zero, sizes, list(pa.array([jaccard.short(x) for x in pair], pa.binary())), 4, 5)
+            exact = jaccard.linked(np.arange(2), zero, pair, 4, 5)
+            assert found or not exact
+            assert gone < 0.4 or not found
+            links += bool(exact)
+    assert links > 10
