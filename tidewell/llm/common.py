@@ -19,6 +19,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 BATCH_BYTES = 4 << 20
 #: Rows of a key up to which it is never hot.
 HOT_ROWS = 256
+#: Bits of a row's key that its place in its file takes; the file's number has the others.
+PLACE_BITS = 36
 #: What separates words everywhere in this subpackage.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -211,7 +213,27 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def stored(df: DataFrame) -> bool:
+    """Whether df is a Parquet table as it lies, which reads the same each time; what is made of one may not, so it is written where it is read twice."""
+    plan = df._jdf.queryExecution().analyzed().toString().strip()
+    return plan.startswith("Relation ") and plan.endswith("] parquet") and "\n" not in plan
+
+
 def keyed(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df, written with a column more that is unique for each row, and that column's name."""
+    """df with a column more that is unique for each row and the same each time that it is read, and that column's name.
+
+    Rows of a stored table are told by their file's number among the table's and their place in it, so no copy is made; other tables are written,
+    and so is one that reads a file twice.
+    """
     name = free_name(df, "_row")
-    return kept(df.withColumn(name, F.monotonically_increasing_id()), tag), name
+    path, file, place = (free_name(df, c) for c in ("_path", "_file", "_place"))
+    files = None
+    if stored(df):
+        at = df.metadataColumn("_metadata")
+        rows = df.select("*", at["file_path"].alias(path), at["row_index"].alias(place))
+        files = rows.groupBy(path).agg(F.count(F.lit(1)) == F.max(place) + 1).collect()  # as many as the driver has listed
+    if files is None or not all(once for _, once in files):
+        return kept(df.withColumn(name, F.monotonically_increasing_id()), tag), name
+    numbers = df.sparkSession.createDataFrame([(f, i) for i, (f, _) in enumerate(sorted(files))], f"{file} string, {name} long")
+    rows = rows.join(F.broadcast(numbers), F.col(path) == F.col(file))
+    return rows.withColumn(name, F.shiftleft(name, PLACE_BITS).bitwiseOR(F.col(place))).drop(path, file, place), name
